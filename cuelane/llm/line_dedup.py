@@ -43,7 +43,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     gone = dropped_lines(docs, id_col, text_col, min_chars, min_docs).groupBy("doc", "row").agg(F.collect_set("pos").alias("__gone")).withColumnsRenamed({"doc": "__doc", "row": "__row"})
     kept = docs.drop("kept_text", "n_lines", "n_dropped").join(gone, (F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)) == F.col("__doc")) & (F.xxhash64(text_col) == F.col("__row")), "left")
-    lines = F.split(_whole(text_col), "\n")
+    kept = kept.withColumn("__lines", F.split(_whole(text_col), "\n"))
+    lines = F.col("__lines")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), _whole(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     return kept.select(*docs.drop("kept_text", "n_lines", "n_dropped").columns, text.alias("kept_text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"))

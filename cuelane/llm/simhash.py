@@ -156,15 +156,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def linked(fps: DataFrame, radius: int = 4, pairs: DataFrame | None = None) -> DataFrame:
+def linked(fps: DataFrame, radius: int = 4) -> DataFrame:
     """(id, fp, component_id): component_id is the smallest id reachable over links of at most `radius` bits.
 
-    Work is done on different fingerprints, so copies cost one row. `pairs` may replace the links (a, b), for
-    instance by those that passed a further check. Ids may repeat or be null; a component of null ids only has null.
+    Work is done on different fingerprints, so copies cost one row. Ids may repeat or be null; a component of null
+    ids only has null.
     """
     fps = checkpointed(fps)
     groups = fps.groupBy("fp").agg(F.min("id").alias("low"))
-    roots = components(links(groups.select("fp"), radius) if pairs is None else pairs)
+    roots = components(links(groups.select("fp"), radius))
     named = groups.join(roots, groups.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     tops = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = checkpointed(named.join(tops, "root").select(F.col("fp").alias("f"), "component_id"))
@@ -179,34 +179,61 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def verified_pairs(docs: DataFrame, fps: DataFrame, radius: int, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """(a, b): linked fingerprints whose texts, one per fingerprint, have a Jaccard similarity of at least `similarity`
-    on runs of `words` words. fps holds (id, fp) for all documents.
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 5, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id), one row per input row: documents whose texts are equal, or chained by pairs with a Jaccard
+    similarity of at least `similarity` on runs of `words` words, share the smallest id of the chain.
+
+    Candidates are fingerprints of different words within `radius` bits; each pair of texts is verified on whole
+    texts. Texts with one fingerprint are compared with the first of them by hash. Null texts are empty and equal;
+    null ids take part but give no component_id of their own; repeated rows stay; an empty table stays empty.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    prints = fingerprints(docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("th")).alias("key"), F.col(text_col).alias("text")), "key", "text", features="words")
+    prints = checkpointed(prints.select("id.id", "id.th", "fp"))
+    nodes = prints.groupBy("fp", "th").agg(F.min("id").alias("low"))
+    first = nodes.groupBy("fp").agg(F.min("th").alias("rep"))
+    found = links(first.select("fp"), radius)
+    ra, rb = first.select(F.col("fp").alias("a"), F.col("rep").alias("ta")), first.select(F.col("fp").alias("b"), F.col("rep").alias("tb"))
+    pairs = found.join(ra, "a").join(rb, "b").select("ta", "tb")
+    pairs = checkpointed(pairs.unionByName(nodes.join(first, "fp").where("th <> rep").select(F.col("rep").alias("ta"), F.col("th").alias("tb"))))
+    edges = _verified(docs.select(F.col(id_col).alias("id"), text.alias("text")), prints, pairs, words, similarity)
+    roots = components(edges)
+    named = prints.groupBy("th").agg(F.min("id").alias("low")).join(roots, F.col("th") == F.col("node"), "left").select("th", "low", F.coalesce("root", "th").alias("root"))
+    tops = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    by_text = checkpointed(named.join(tops, "root").select(F.col("th").alias("t"), "component_id"))
+    return prints.join(by_text, F.col("th") == F.col("t")).select("id", "component_id")
 
-    A fingerprint shared by different texts is represented by its smallest text hash; equal fingerprints of different
-    texts count as linked already, as they differ in no bit."""
-    ship(docs.sparkSession)
-    found = checkpointed(links(fps.select("fp").distinct(), radius))
-    need = found.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    chosen = fps.groupBy("fp").agg(F.min("id").alias("id")).join(need, "fp")
+
+def _verified(texts: DataFrame, prints: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b) of the pairs (ta, tb) of text hashes that are similar enough. One document per text is read."""
+    need = pairs.select(F.explode(F.array("ta", "tb")).alias("th")).distinct()
+    chosen = prints.groupBy("th").agg(F.min("id").alias("low")).join(need, "th")
+    rows = texts.withColumn("h", F.xxhash64("text")).join(chosen, F.col("h").eqNullSafe(F.col("th")) & F.col("id").eqNullSafe(F.col("low"))).select("th", "text")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch.column(1)).cast(pa.binary()).to_pylist()
-            sets = [np.unique(np.array(shingle_hashes(words_of(t), words), np.uint64)).view(np.int64) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "s"])
+            own = batch.column(1)
+            for lo, hi in byte_slices(own, 8 << 20):
+                cells = [np.unique(np.array(shingle_hashes(words_of(t), words), np.uint64).astype(np.uint32)).tobytes() for t in own.slice(lo, hi - lo).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(cells, pa.binary())], names=["th", "s"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("fp", "text")
-    sets = checkpointed(rows.mapInArrow(hashes, "fp long, s binary").dropDuplicates(["fp"]))
+    sets = checkpointed(rows.mapInArrow(hashes, "th long, s binary").dropDuplicates(["th"]))
 
     def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sa, sb = sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), sets.select(F.col("fp").alias("b"), F.col("s").alias("sb"))
-    return found.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(jaccard, "a long, b long")
+    sa, sb = sets.select(F.col("th").alias("ta"), F.col("s").alias("sa")), sets.select(F.col("th").alias("tb"), F.col("s").alias("sb"))
+    return pairs.join(sa, "ta").join(sb, "tb").select(F.col("ta").alias("a"), F.col("tb").alias("b"), "sa", "sb").mapInArrow(jaccard, "a long, b long")
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with one document of each group of similar_groups: the one with the smallest id, with all its rows. Rows with a null id stay."""
+    groups = similar_groups(docs, id_col, text_col, **how)
+    gone = groups.where("id <> component_id").select(F.col("id").alias("__id")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
