@@ -1,7 +1,8 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
 P(grade > j) = sigmoid(score - threshold_j): one score from hashed-text weights shared by all grades, thresholds in
-order. Features are the different words and symbol runs of a text, and how often its words repeat.
+order. Features are the different words of a text, their beginnings (inflected forms share them), its symbol runs, and
+how often its words repeat.
 """
 
 from __future__ import annotations
@@ -17,21 +18,28 @@ from pyspark.sql import functions as F
 
 from cuelane.llm.common import byte_slices, list_offsets, ship, texts_of
 
-#: The most labelled documents learned from, in how many of them a feature must be, passes over them, L1 strength.
-FIT_DOCS, LEAST_DOCS, PASSES, LASSO = 10_000, 4, 12, 2e-4
+#: The most labelled documents learned from, in how many of them a feature must be, passes over them, L1 strength, step size.
+FIT_DOCS, LEAST_DOCS, PASSES, LASSO, RATE = 10_000, 4, 40, 1e-3, 1.0
+DAMP = 3.0
 MODEL_SCHEMA = "feature long, weight double"
-#: Features 0 to 19 stand for the share of different words; real tokens hash above.
+#: How fast further evidence against a text counts for less is set by DAMP. Features 0 to 19 stand for the share of different words; real tokens hash above.
 SHARES = 20
 
 
 def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token hash per dictionary entry, entry of each token, offsets): words lower-cased, symbol runs apart."""
+    """(hashes [entries, 3] of each different token and its first four and five letters, 0 for none; entry of each token; offsets). Words are lower-cased, symbol runs stand apart."""
     from xxhash import xxh64_intdigest as h
 
     spaced = pc.replace_substring_regex(pc.utf8_lower(texts), r"([^\pL\pM\pN\s]+)", r" \1 ")
     lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(spaced))
     tokens = lists.flatten().dictionary_encode()
-    hashes = np.array([h(x, 5) >> 1 | 1 << 40 for x in tokens.dictionary.to_pylist()], np.int64)
+    hashes = np.zeros((len(tokens.dictionary), 3), np.int64)
+    for i, x in enumerate(tokens.dictionary.to_pylist()):
+        hashes[i, 0] = h(x, 5) >> 1 | 1 << 40
+        if len(x) > 4 and x[0].isalpha():
+            hashes[i, 1] = h(x[:4], 6) >> 1 | 1 << 40
+            if len(x) > 5:
+                hashes[i, 2] = h(x[:5], 7) >> 1 | 1 << 40
     return hashes, tokens.indices.to_numpy().astype(np.int64), list_offsets(lists)
 
 
@@ -46,8 +54,13 @@ def _share(kinds: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return np.minimum(SHARES - 1, (SHARES * kinds / np.maximum(tokens, 1) ** 0.9).astype(np.int64))
 
 
-def fit(grades: np.ndarray, rows: np.ndarray, features: np.ndarray, levels: int, least: int = LEAST_DOCS, passes: int = PASSES, lasso: float = LASSO) -> pd.DataFrame:
-    """Weights and thresholds from (row, feature) pairs: mini-batches, per-weight step sizes, soft thresholding. Thresholds come as features -1, -2, ..."""
+def damped(found: np.ndarray) -> np.ndarray:
+    """Score from summed evidence: each further piece of evidence against a text says less, so that ten bad words do not push it out of the grade that one puts it in."""
+    return -DAMP * np.log1p(-found)
+
+
+def fit(grades: np.ndarray, rows: np.ndarray, features: np.ndarray, levels: int, least: int = LEAST_DOCS, passes: int = PASSES, lasso: float = LASSO, rate: float = RATE) -> pd.DataFrame:
+    """Weights and thresholds from (row, feature) pairs: mini-batches, per-weight step sizes, soft thresholding; no weight is positive. Thresholds come as features -1, -2, ..."""
     names, use, df = np.unique(features, return_inverse=True, return_counts=True)
     keep = df >= least
     rows, use = rows[keep[use]], (np.cumsum(keep) - 1)[use[keep[use]]]
@@ -68,7 +81,8 @@ def fit(grades: np.ndarray, rows: np.ndarray, features: np.ndarray, levels: int,
             lens = start[part + 1] - start[part]
             at = np.repeat(start[part] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
             f, own = use[at], np.repeat(np.arange(len(part)), lens)
-            score = np.bincount(own, weights=w[f], minlength=len(part))
+            found = np.bincount(own, weights=w[f], minlength=len(part))
+            score = damped(found)
             high = 1 / (1 + np.exp(-np.clip(score[:, None] - cuts, -30, 30)))  # P(grade > j)
             g = grades[part]
             # log-likelihood of the cumulative link: P(g) = P(> g-1) - P(> g)
@@ -77,15 +91,15 @@ def fit(grades: np.ndarray, rows: np.ndarray, features: np.ndarray, levels: int,
             r = np.arange(len(part))
             prob = np.maximum(pad[r, g] - pad[r, g + 1], 1e-9)
             up = (slope[r, g] - slope[r, g + 1]) / prob
+            up *= DAMP / (1 - found)  # the slope of damped
             grad = -np.bincount(f, weights=up[own], minlength=m) / len(part)
             hit = np.flatnonzero(grad)
             seen[hit] += grad[hit] ** 2
-            step = 0.2 / np.sqrt(seen[hit])
-            moved = w[hit] - step * grad[hit]
-            w[hit] = np.sign(moved) * np.maximum(np.abs(moved) - step * lasso, 0)
+            step = rate / np.sqrt(seen[hit])
+            w[hit] = np.minimum(w[hit] - step * grad[hit] + step * lasso, 0)  # weights speak against a text only: else long texts gather credit from common words
             for j in range(levels - 1):
                 d = np.where(g == j, slope[:, j + 1], 0) / prob - np.where(g == j + 1, slope[:, j + 1], 0) / prob
-                cuts[j] += 0.05 * d.mean()
+                cuts[j] += rate * d.mean()
             cuts = np.maximum.accumulate(cuts + np.arange(levels - 1) * 1e-6)
     some = np.flatnonzero(np.abs(w) > 1e-4)
     return pd.DataFrame({"feature": np.concatenate((names[some], -1 - np.arange(levels - 1))), "weight": np.concatenate((w[some], cuts))})
@@ -114,7 +128,7 @@ def learn(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col:
                 hashes, use, off = _features(texts.slice(lo, hi - lo))
                 doc, entry = _distinct(use, off, len(hashes))
                 kinds = np.bincount(doc, minlength=hi - lo)
-                cells = [np.append(hashes[e], s).tobytes() for e, s in zip(np.split(entry, np.cumsum(kinds)[:-1]), _share(kinds, np.diff(off)), strict=True)]
+                cells = [np.append(hashes[e][hashes[e] > 0], s).tobytes() for e, s in zip(np.split(entry, np.cumsum(kinds)[:-1]), _share(kinds, np.diff(off)), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([0] * (hi - lo), pa.int32()), batch.column(0).slice(lo, hi - lo), pa.array(cells, pa.binary())], names=["one", "grade", "features"])
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
@@ -152,7 +166,7 @@ def score(docs: DataFrame, model: pd.DataFrame | None, id_col: str = "doc_id", t
 
     def weigh(features: np.ndarray) -> np.ndarray:
         if not len(known):
-            return np.zeros(len(features))
+            return np.zeros(features.shape)
         at = np.minimum(np.searchsorted(known, features), len(known) - 1)
         return np.where(known[at] == features, weights[at], 0)
 
@@ -164,8 +178,8 @@ def score(docs: DataFrame, model: pd.DataFrame | None, id_col: str = "doc_id", t
             for lo, hi in byte_slices(texts):
                 hashes, use, off = _features(texts.slice(lo, hi - lo))
                 doc, entry = _distinct(use, off, len(hashes))
-                total = np.bincount(doc, weights=weigh(hashes)[entry], minlength=hi - lo) + weigh(_share(np.bincount(doc, minlength=hi - lo), np.diff(off)))
-                high = 1 / (1 + np.exp(-np.clip(total[:, None] - cuts, -50, 50)))
+                total = np.bincount(doc, weights=weigh(hashes).sum(axis=1)[entry], minlength=hi - lo) + weigh(_share(np.bincount(doc, minlength=hi - lo), np.diff(off)))
+                high = 1 / (1 + np.exp(-np.clip(damped(total)[:, None] - cuts, -50, 50)))
                 cols = [batch.column(batch.schema.get_field_index(c)).slice(lo, hi - lo) for c in keep_cols]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(high.sum(axis=1)), pa.array(high[:, -1]), pa.array(high[:, -1] >= least)], names=[*keep_cols, *names])
 
@@ -174,5 +188,5 @@ def score(docs: DataFrame, model: pd.DataFrame | None, id_col: str = "doc_id", t
 
 
 def grades_of(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, grade): 0 for low quality, 1 for toxic text of good quality, 2 for good and clean; null where quality is. A null toxic mark counts as clean."""
-    return labels.select(id_col, F.when(F.col("quality") == 0, 0).when(F.col("quality").isNull(), None).when(F.coalesce(F.col("toxic"), F.lit(0)) != 0, 1).otherwise(2).alias("grade"))
+    """(id, grade): one point for good quality and one for text that is not toxic, so 2 is good and clean; null where quality is. A null toxic mark counts as clean."""
+    return labels.select(id_col, (F.when(F.col("quality") > 0, 1).when(F.col("quality").isNotNull(), 0) + F.when(F.col("toxic") != 0, 0).otherwise(1)).alias("grade"))
