@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cuelane.operators import segment, words
+from cuelane.plans import fixtures
+
+MODULES = ["q_words"]
+
+
+def _all() -> list:
+    return [importlib.import_module(f"cuelane.plans.{m}") for m in MODULES]
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Words -> padding -> pause and speaker breaks -> segments without bracketed remarks."""
+    rows = segment.segment_rows(segment.pause_speaker_segments(words.pad_words(fixtures.words(spark, sf_dir))))
+    return segment.drop_bracketed(rows).select("media_id", "seg_idx", "start_ms", "end_ms", "text", "speaker", "mixed_speakers")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"flagship": flagship} | {k: f for m in _all() for k, f in m.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in _all() for k, s in m.SQL.items()}
