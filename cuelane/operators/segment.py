@@ -129,17 +129,14 @@ def comma_cuts(starts: list[int], ends: list[int], words: list[str], max_pause:
 
 
 def punct_comma_segments(words: DataFrame, max_pause: int = 300, max_ms: int = 8000) -> DataFrame:
-    """seg_idx per word by comma_cuts. Breaks that do not depend on earlier ones are set by windows first, so the helper sees one sentence at a time."""
-    base = punct_segments(words, max_pause).withColumnRenamed("seg_idx", "base")
-    schema = T.StructType([*base.schema.fields, T.StructField("part", T.IntegerType())])
+    """seg_idx per word by comma_cuts, one recording at a time, as a cut depends on the one before."""
+    schema = T.StructType([*words.schema.fields, T.StructField("seg_idx", T.IntegerType())])
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["start_ms", "input_pos"])
-        return pdf.assign(part=comma_cuts(pdf["start_ms"].tolist(), pdf["end_ms"].tolist(), pdf["word"].tolist(), 1 << 60, max_ms))
+        return pdf.assign(seg_idx=comma_cuts(pdf["start_ms"].tolist(), pdf["end_ms"].tolist(), pdf["word"].tolist(), max_pause, max_ms))
 
-    parts = base.groupBy("media_id", "base").applyInPandas(cut, schema)
-    w = W.partitionBy("media_id").orderBy("base", "part")
-    return parts.withColumn("seg_idx", F.dense_rank().over(w) - 1).drop("base", "part")
+    return words.groupBy("media_id").applyInPandas(cut, schema)
 
 
 def _punct_cut(words: list[dict], cap: int, marks: str) -> int | None:
