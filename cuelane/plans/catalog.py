@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cuelane.operators import segment, words
 from cuelane.plans import fixtures
 
-MODULES = ["q_words", "q_intervals"]
+MODULES = ["q_words", "q_intervals", "q_qc"]
 
 
 def _all() -> list:
