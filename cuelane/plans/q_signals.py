@@ -117,7 +117,7 @@ def e12(spark, d):
     return o.select("vec_id", F.round(F.array_max(F.transform("samples", F.abs)), 6).alias("peak"), F.round(F.get("samples", F.lit(0)), 6).alias("head")).where("peak > 0")
 
 
-@query("q14_mixdown", oracle("pcm", """s AS (SELECT 'g' || (vec_id // 4) AS media_id, (vec_id % 4) * 40 + pos AS at, sum(sample) AS x FROM pcm GROUP BY ALL), g AS (SELECT media_id, (at // 64)::BIGINT AS block, at % 64 AS off, greatest(-32768, least(32767, x)) AS x FROM s)
+@query("q14_mixdown", oracle("pcm", """s AS (SELECT 'g' || (vec_id // 4) AS media_id, (vec_id % 4) * 40 + pos AS place, sum(sample) AS x FROM pcm GROUP BY ALL), g AS (SELECT media_id, (place // 64)::BIGINT AS block, place % 64 AS off, greatest(-32768, least(32767, x)) AS x FROM s)
 SELECT media_id, block, sum(x)::BIGINT AS total, sum(x * (off + 1))::BIGINT AS moment FROM g GROUP BY ALL"""))
 def q14(spark, d):
     e = fx.table(spark, d, "embeddings").where("embedding IS NOT NULL").select(F.concat(F.lit("g"), F.expr("vec_id div 4")).alias("media_id"), (F.col("vec_id") % 4 * 40).cast("int").alias("start"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 32767).cast("int")).alias("samples"))
