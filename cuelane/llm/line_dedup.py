@@ -17,7 +17,7 @@ def _whole(text_col: str) -> Column:
 def keyed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(doc, row, pos, h1, h2) of every line whose key has at least `min_chars` code points; row tells apart different
     texts under one id, h1 and h2 are a 128-bit hash of the key. A null id counts as one document behind all others."""
-    lines = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text_col).alias("row"), F.posexplode(F.split(F.translate(_whole(text_col), _UPPER, _LOWER), "\n")).alias("pos", "line"))
+    lines = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text_col).alias("row"), F.posexplode_outer(F.split(F.translate(_whole(text_col), _UPPER, _LOWER), "\n")).alias("pos", "line"))  # outer: else a filter splits every text twice
     keys = lines.where(F.length("line") >= min_chars).withColumn("key", F.btrim("line", F.lit(_SPACE))).where(F.length("key") >= min_chars)
     return keys.select("doc", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
 
@@ -29,8 +29,10 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int =
         shared = lines.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     else:
         shared = lines.select("h1", "h2", "doc").distinct().groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    shared = shared.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first")
-    return lines.join(shared, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).where("doc <> first").select("doc", "row", "pos")
+    # a key more than the hashes has both sides shuffled for the join, so that adaptive execution can split the rows of a very common line
+    shared = shared.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first", F.col("h1").bitwiseXOR(F.col("h2")).alias("k3"))
+    on = (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("h3") == F.col("k3"))
+    return lines.withColumn("h3", F.col("h1").bitwiseXOR(F.col("h2"))).join(shared, on).where("doc <> first").select("doc", "row", "pos")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
