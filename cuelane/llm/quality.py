@@ -20,9 +20,10 @@ from cuelane.llm.common import byte_slices, list_offsets, ship, texts_of
 
 #: The most labelled documents learned from, in how many of them a feature must be, passes over them, L1 strength, step size.
 FIT_DOCS, LEAST_DOCS, PASSES, LASSO, RATE = 10_000, 4, 40, 1e-3, 1.0
+#: How fast further evidence against a text counts for less.
 DAMP = 3.0
 MODEL_SCHEMA = "feature long, weight double"
-#: How fast further evidence against a text counts for less is set by DAMP. Features 0 to 19 stand for the share of different words; real tokens hash above.
+#: Features 1 to SHARES stand for the share of different words, 0 for none, tokens hash above.
 SHARES = 20
 
 
@@ -51,7 +52,7 @@ def _distinct(use: np.ndarray, off: np.ndarray, entries: int) -> tuple[np.ndarra
 
 def _share(kinds: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Which of SHARES steps the share of different tokens falls into; long texts repeat more, so counts go by their roots."""
-    return np.minimum(SHARES - 1, (SHARES * kinds / np.maximum(tokens, 1) ** 0.9).astype(np.int64))
+    return 1 + np.minimum(SHARES - 1, (SHARES * kinds / np.maximum(tokens, 1) ** 0.9).astype(np.int64))
 
 
 def damped(found: np.ndarray) -> np.ndarray:
