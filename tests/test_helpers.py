@@ -133,3 +133,26 @@ def test_long_recording_takes_half(spark):
     want = {(m, i, max(a, x), min(b, y), sp) for m, i, a, b in seg for n, x, y, sp in turns if m == n and x < b and y > a}
     got = [tuple(r) for r in intervals.crop_turns(s, t).select("media_id", "seg_idx", "start_ms", "end_ms", "speaker").collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_align_helpers():
+    from cuelane.operators import align
+
+    assert align.cut_text_at_ratio("One two. Three four five six.", 0.3) == ("One two.", "Three four five six.")
+    assert align.cut_text_at_ratio("abcdef ghijkl mnopqr", 0.0) == ("", "abcdef ghijkl mnopqr") and align.cut_text_at_ratio("short", 0.95) == ("short", "")
+    assert align.cut_text_at_ratio("some words here a longer tail", 0.6)[0][-2:] != " a"
+    for _ in range(200):
+        entries, segs, t = [], [], 0
+        for i in range(RNG.randint(1, 8)):
+            entries.append((t, t + RNG.randint(200, 3000), " ".join(f"w{i}x{j}" for j in range(RNG.randint(1, 12)))))
+            t = entries[-1][1] + RNG.choice([0, 200])
+        cut = sorted(RNG.sample(range(1, t + 1), min(t, RNG.randint(1, 6))))
+        segs = list(zip([0, *cut], [*cut, t + 1], strict=True))
+        words = [w for _, _, x in entries for w in x.split()]
+        got = align.lay_by_time(segs, entries)
+        said = "".join("".join(got).split())
+        assert len(got) == len(segs) and "".join(words).startswith(said[:5])
+        parts = align.share_by_durations([b - a for a, b in segs], [x for _, _, x in entries])
+        assert len(parts) == len(segs) and "".join("".join(parts).split()) == "".join(words)
+    assert align.lay_by_time([(0, 1000)], [(0, 1000, "all of it")]) == ["all of it"] and align.share_by_durations([], ["x"]) == []
+    assert align.lay_by_time([(0, 500), (500, 1000)], []) == ["", ""]
