@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cuelane.operators import segment, words
 from cuelane.plans import fixtures
 
-MODULES = ["q_words", "q_intervals", "q_qc", "q_review", "q_signals", "q_text", "q_align", "q_hungarian"]
+MODULES = ["q_words", "q_intervals", "q_qc", "q_review", "q_signals", "q_text", "q_align", "q_hungarian", "q_records"]
 
 
 def _all() -> list:
