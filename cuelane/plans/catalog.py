@@ -7,8 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelane.operators import segment, words
-from cuelane.plans import fixtures
+from cuelane.plans import q_words
 
 MODULES = ["q_words", "q_intervals", "q_qc", "q_review", "q_signals", "q_text", "q_align", "q_hungarian", "q_records"]
 
@@ -18,13 +17,11 @@ def _all() -> list:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words -> padding -> pause and speaker breaks -> segments without bracketed remarks."""
-    rows = segment.segment_rows(segment.pause_speaker_segments(words.pad_words(fixtures.words(spark, sf_dir))))
-    return segment.drop_bracketed(rows).select("media_id", "seg_idx", "start_ms", "end_ms", "text", "speaker", "mixed_speakers")
+    return q_words.flagship(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"flagship": flagship} | {k: f for m in _all() for k, f in m.Q.items()}
+    return {k: f for m in _all() for k, f in m.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
