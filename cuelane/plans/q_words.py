@@ -236,7 +236,7 @@ def p19(spark, d):
     return wd.word_trim_window(s.select("media_id", "seg_idx", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), local.alias("words")))
 
 
-@query("flagship", oracle("words", _PAD + ", " + _marked("gap > 300 OR coalesce(speaker <> prev, false)", "pad") + """, fs AS (SELECT media_id, seg_idx, speaker FROM (SELECT media_id, seg_idx, speaker, row_number() OVER (PARTITION BY media_id, seg_idx ORDER BY count(*) DESC, min(input_pos)) AS rn FROM mk WHERE speaker IS NOT NULL GROUP BY ALL) WHERE rn = 1),
+@query("flagship", oracle("words", _PAD + ", " + _marked("gap > 300 OR coalesce(speaker <> prev, false)", "pad") + """, fs AS (SELECT media_id, seg_idx, speaker FROM (SELECT media_id, seg_idx, speaker, row_number() OVER (PARTITION BY media_id, seg_idx ORDER BY count(*) DESC, min(input_pos)) AS rn FROM mk WHERE speaker IS NOT NULL GROUP BY media_id, seg_idx, speaker) WHERE rn = 1),
 fg AS (SELECT media_id, seg_idx, min(start_ms) AS start_ms, arg_max(end_ms, input_pos) AS end_ms, trim(replace(string_agg(word, ' ' ORDER BY input_pos), '"', '')) AS text, count(DISTINCT speaker) > 1 AS mixed_speakers FROM mk GROUP BY media_id, seg_idx)
 SELECT media_id, seg_idx, start_ms, end_ms, text, speaker, mixed_speakers FROM fg LEFT JOIN fs USING (media_id, seg_idx) WHERE NOT (text LIKE '[%' AND text LIKE '%]')"""))
 def flagship(spark, d):
