@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -13,3 +16,17 @@ def shared_folder(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cuelane-shared-"))
     return sc.getCheckpointDir()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per session, so that workers can import it wherever the driver started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_cuelane_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = os.path.join(tempfile.mkdtemp(prefix="cuelane-"), "cuelane_pkg.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    sc.addPyFile(path)
+    sc._cuelane_shipped = True
