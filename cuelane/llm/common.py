@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from cuelane.plans.session import ship as ship
+
 #: Bytes of text that one step inside a Python worker holds at once.
 SLICE_BYTES = 12 << 20
 
@@ -21,20 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per session, so that workers can import it wherever the driver started."""
-    sc = spark.sparkContext
-    if getattr(sc, "_cuelane_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(prefix="cuelane-"), "cuelane_pkg.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    sc.addPyFile(path)
-    sc._cuelane_shipped = True
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage in the folder that the cluster names in spark.checkpoint.dir; only where none is set, as in tests, a temporary folder is used."""
     sc = df.sparkSession.sparkContext
