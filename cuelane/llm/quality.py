@@ -60,16 +60,17 @@ def damped(found: np.ndarray) -> np.ndarray:
     return -DAMP * np.log1p(-found)
 
 
-def fit(grades: np.ndarray, rows: np.ndarray, features: np.ndarray, levels: int, least: int = LEAST_DOCS, passes: int = PASSES, lasso: float = LASSO, rate: float = RATE) -> pd.DataFrame:
-    """Weights and thresholds from (row, feature) pairs: mini-batches, per-weight step sizes, soft thresholding; no weight is positive. Thresholds come as features -1, -2, ..."""
-    names, use, df = np.unique(features, return_inverse=True, return_counts=True)
-    keep = df >= least
-    rows, use = rows[keep[use]], (np.cumsum(keep) - 1)[use[keep[use]]]
-    names = names[keep]
+def fit(grades: np.ndarray, cells: list[np.ndarray], levels: int, least: int = LEAST_DOCS, passes: int = PASSES, lasso: float = LASSO, rate: float = RATE) -> pd.DataFrame:
+    """Weights and thresholds from the features of each rated text: mini-batches, per-weight step sizes, soft thresholding; no weight is positive. Thresholds come as features -1, -2, ..."""
+    names, df = np.unique(np.concatenate(cells), return_counts=True)
+    names = names[df >= least]
     n, m = len(grades), len(names)
-    order = np.argsort(rows, kind="stable")
-    rows, use = rows[order], use[order]
-    start = np.searchsorted(rows, np.arange(n + 1))
+    known = []
+    for x in cells:  # features that are frequent enough, by number
+        at = np.minimum(np.searchsorted(names, x), max(m - 1, 0))
+        known.append(at[names[at] == x].astype(np.int32) if m else np.zeros(0, np.int32))
+    start = np.concatenate(([0], np.cumsum([len(x) for x in known])))
+    use = np.concatenate(known)
     above = np.array([(grades > j).mean() for j in range(levels - 1)]).clip(1e-3, 1 - 1e-3)
     cuts = -np.log(above / (1 - above))
     w, seen = np.zeros(m), np.full(m, 1e-8)
@@ -135,8 +136,7 @@ def learn(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col:
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.iloc[np.lexsort((rows["features"].map(hash_bytes), rows["grade"]))]  # the same order whatever the partitions
         cells = [np.frombuffer(x, np.int64) for x in rows["features"]]
-        own = np.repeat(np.arange(len(cells)), [len(x) for x in cells])
-        return fit(rows["grade"].to_numpy(np.int64), own, np.concatenate(cells), levels)
+        return fit(rows["grade"].to_numpy(np.int64), cells, levels)
 
     return sample.mapInArrow(tokens, "one int, grade int, features binary").groupBy("one").applyInPandas(train, MODEL_SCHEMA).toPandas()
 
@@ -176,7 +176,7 @@ def score(docs: DataFrame, model: pd.DataFrame | None, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(batch.schema.get_field_index("__text")))
-            for lo, hi in byte_slices(texts):
+            for lo, hi in byte_slices(texts, 6 << 20):
                 hashes, use, off = _features(texts.slice(lo, hi - lo))
                 doc, entry = _distinct(use, off, len(hashes))
                 total = np.bincount(doc, weights=weigh(hashes).sum(axis=1)[entry], minlength=hi - lo) + weigh(_share(np.bincount(doc, minlength=hi - lo), np.diff(off)))

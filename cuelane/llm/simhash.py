@@ -213,7 +213,7 @@ def _verified(texts: DataFrame, prints: DataFrame, pairs: DataFrame, words: int,
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column(1)
-            for lo, hi in byte_slices(own, 8 << 20):
+            for lo, hi in byte_slices(own, 4 << 20):
                 cells = [np.unique(np.array(shingle_hashes(words_of(t), words), np.uint64).astype(np.uint32)).tobytes() for t in own.slice(lo, hi - lo).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(cells, pa.binary())], names=["th", "s"])
 
