@@ -130,7 +130,7 @@ def learn(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col:
                 hashes, use, off = _features(texts.slice(lo, hi - lo))
                 doc, entry = _distinct(use, off, len(hashes))
                 kinds = np.bincount(doc, minlength=hi - lo)
-                cells = [np.append(hashes[e][hashes[e] > 0], s).tobytes() for e, s in zip(np.split(entry, np.cumsum(kinds)[:-1]), _share(kinds, np.diff(off)), strict=True)]
+                cells = [np.sort(np.append(hashes[e][hashes[e] > 0], s)).tobytes() for e, s in zip(np.split(entry, np.cumsum(kinds)[:-1]), _share(kinds, np.diff(off)), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([0] * (hi - lo), pa.int32()), batch.column(0).slice(lo, hi - lo), pa.array(cells, pa.binary())], names=["one", "grade", "features"])
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
