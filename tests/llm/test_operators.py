@@ -130,6 +130,27 @@ def test_similar_groups(spark):
     assert {r.doc_id for r in simhash.drop_similar(docs_of(spark, rows)).collect()} == {1, 4, 5, None, 7}
 
 
+def five_word_jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_groups_beyond_the_radius(spark):
+    """Pairs of similarity 0.8 and more stay one group where their fingerprints differ in more bits than the radius."""
+    r = random.Random(11)
+    rows = []
+    while len(rows) < 60:
+        text = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        near = [*text[:-5], *(f"internationalisation{r.randrange(10**6)}" for _ in range(5))]
+        pair = " ".join(text), " ".join(near)
+        a, b = simhash.fingerprint_texts([t.encode() for t in pair], 5, "words").tolist()
+        if (a ^ b).bit_count() > 5:
+            assert five_word_jaccard(*pair) >= 0.8
+            rows += [(len(rows), pair[0]), (len(rows) + 1, pair[1])]
+    got = {x.id: x.component_id for x in simhash.similar_groups(docs_of(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_line_dedup(spark):
     rows = [(1, "Shared line here\nown one of 1"), (2, "  SHARED line HERE \r\nshort\nshort"), (3, "Shared line here"), (3, "Shared line here"), (4, None), (5, ""), (6, "short\nÉcole des lignes"), (7, "école des lignes"), (None, "Shared line here\nnull own line")]
     got = sorted((str(r.doc_id), r.kept_text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect())
