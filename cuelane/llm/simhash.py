@@ -234,8 +234,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Candidates are fingerprints of different words within `radius` bits and texts that share a band key of minima, which
     finds the pairs that a fingerprint sets further apart; each pair of texts is verified on whole texts. Texts with one
-    fingerprint or band key are compared with the first of them by hash. Null texts are empty and equal; null ids take
-    part but give no component_id of their own; repeated rows stay; an empty table stays empty.
+    fingerprint or band key are compared with the first of them by hash; then all texts of a band key that are not yet
+    in one chain are compared with each other. Null texts are empty and equal; null ids take part but give no
+    component_id of their own; repeated rows stay; an empty table stays empty.
     """
     prints = checkpointed(_prints(docs, id_col, text_col, words))
     nodes = prints.select("fp", "th").distinct()
@@ -249,6 +250,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = checkpointed(pairs.select(F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb")).distinct())
     sets = _sets(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), prints, pairs.select(F.explode(F.array("ta", "tb")).alias("th")), words)
     roots = components(_verified(pairs, sets, similarity))
+    rest = checkpointed(_unmet(shared, roots).join(pairs, ["ta", "tb"], "left_anti"))
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_verified(rest, sets, similarity)))
     named = prints.groupBy("th").agg(F.min("id").alias("low")).join(roots, F.col("th") == F.col("node"), "left").select("th", "low", F.coalesce("root", "th").alias("root"))
     tops = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_text = checkpointed(named.join(tops, "root").select(F.col("th").alias("t"), "component_id"))
@@ -262,6 +265,19 @@ def _shared(prints: DataFrame) -> DataFrame:
     return checkpointed(members.join(several, "band").select("band", "th", "rep"))
 
 
+def _unmet(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(ta, tb), ta < tb, each once: texts of one band key with different roots. In each key the texts of its most
+    frequent root are paired with the others only, so that a large group costs its size times the texts outside it."""
+    of = shared.join(roots, F.col("th") == F.col("node"), "left").select("band", "th", F.coalesce("root", "th").alias("root"))
+    counts = of.groupBy("band", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    of = checkpointed(of.join(main, "band"))
+    out = of.where("root <> main").select("band", F.col("th").alias("x"), F.col("root").alias("rx"))
+    every = of.select(F.col("band").alias("bb"), F.col("th").alias("y"), F.col("root").alias("ry"), (F.col("root") == F.col("main")).alias("in_main"))
+    met = out.join(every, (F.col("band") == F.col("bb")) & (F.col("rx") != F.col("ry")) & (F.col("in_main") | (F.col("x") < F.col("y"))))
+    return met.select(F.least("x", "y").alias("ta"), F.greatest("x", "y").alias("tb")).distinct()
+
+
 def _sets(texts: DataFrame, prints: DataFrame, need: DataFrame, words: int) -> DataFrame:
     """(th, s): the hashed runs of words of each text hash in need. One document per text is read."""
     chosen = prints.groupBy("th").agg(F.min("id").alias("low")).join(need.distinct(), "th")

@@ -151,6 +151,37 @@ def test_similar_groups_beyond_the_radius(spark):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def test_similar_groups_equal_all_pairs(spark):
+    """Texts of one fingerprint (words of up to three bytes count nothing beside longer ones) in several groups, edits of
+    edits, and texts between 0.5 and 0.8, against all pairs."""
+    r = random.Random(3)
+    head = "measured values follow below"
+    rows = []
+    for _ in range(6):
+        text = [f"{r.randrange(100)}" for _ in range(200)]
+        for _ in range(6):
+            rows.append((len(rows), f"{head} {' '.join(text)}"))
+            for _ in range(r.randrange(1, 7)):
+                text[r.randrange(200)] = f"{r.randrange(100)}"
+    texts = [t for _, t in rows]
+    assert len(set(simhash.fingerprint_texts([t.encode() for t in texts], 5, "words").tolist())) == 1
+    edges = [(i, j) for i in range(len(rows)) for j in range(i) if five_word_jaccard(texts[i], texts[j]) >= 0.8]
+    comp = roots(len(rows), edges)
+    low = {}
+    for (i, _), c in zip(rows, comp, strict=True):
+        low[c] = min(i, low.get(c, i))
+    got = {x.id: x.component_id for x in simhash.similar_groups(docs_of(spark, rows)).collect()}
+    assert len(edges) > 20 and got == {i: low[c] for (i, _), c in zip(rows, comp, strict=True)}
+
+
+def test_unmet_pairs(spark):
+    """Of a key's texts all pairs of different roots are named, also B and C beside a first text that is like neither."""
+    shared = spark.createDataFrame([(1, t, 1) for t in (1, 2, 3, 4, 5)] + [(2, 2, 2), (2, 9, 2)], "band long, th long, rep long")
+    roots_ = spark.createDataFrame([(1, 1), (4, 1), (2, 2), (9, 2)], "node long, root long")
+    got = sorted((x.ta, x.tb) for x in simhash._unmet(shared, roots_).collect())
+    assert got == [(1, 2), (1, 3), (1, 5), (2, 3), (2, 4), (2, 5), (3, 4), (3, 5), (4, 5)]
+
+
 def test_line_dedup(spark):
     rows = [(1, "Shared line here\nown one of 1"), (2, "  SHARED line HERE \r\nshort\nshort"), (3, "Shared line here"), (3, "Shared line here"), (4, None), (5, ""), (6, "short\nÉcole des lignes"), (7, "école des lignes"), (None, "Shared line here\nnull own line")]
     got = sorted((str(r.doc_id), r.kept_text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect())
