@@ -238,6 +238,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     in one chain are compared with each other. Null texts are empty and equal; null ids take part but give no
     component_id of their own; repeated rows stay; an empty table stays empty.
     """
+    return _grouped(docs, id_col, text_col, radius, words, similarity).select("id", "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 5, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """similar_groups with the text hash th."""
     prints = checkpointed(_prints(docs, id_col, text_col, words))
     nodes = prints.select("fp", "th").distinct()
     first = nodes.groupBy("fp").agg(F.min("th").alias("rep"))
@@ -255,7 +260,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = prints.groupBy("th").agg(F.min("id").alias("low")).join(roots, F.col("th") == F.col("node"), "left").select("th", "low", F.coalesce("root", "th").alias("root"))
     tops = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_text = checkpointed(named.join(tops, "root").select(F.col("th").alias("t"), "component_id"))
-    return prints.join(by_text, F.col("th") == F.col("t")).select("id", "component_id")
+    return prints.join(by_text, F.col("th") == F.col("t")).select("id", "th", "component_id")
 
 
 def _shared(prints: DataFrame) -> DataFrame:
@@ -310,7 +315,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one document of each group of similar_groups: the one with the smallest id, with all its rows. Rows with a null id stay."""
-    groups = similar_groups(docs, id_col, text_col, **how)
-    gone = groups.where("id <> component_id").select(F.col("id").alias("__id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+    """docs with one document of each group of similar_groups: the one with the smallest id, with all its rows of the group. Rows with a null id stay."""
+    groups = _grouped(docs, id_col, text_col, **how)
+    gone = groups.where("id <> component_id").select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
+    return docs.join(gone, (F.col(id_col) == F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__th")), "left_anti")

@@ -182,6 +182,13 @@ def test_unmet_pairs(spark):
     assert got == [(1, 2), (1, 3), (1, 5), (2, 3), (2, 4), (2, 5), (3, 4), (3, 5), (4, 5)]
 
 
+def test_drop_similar_repeated_id(spark):
+    """An id with two texts goes only with the text whose group has a smaller id."""
+    x, y = (" ".join(f"{c}{i}" for i in range(40)) for c in ("left", "right"))
+    kept = simhash.drop_similar(docs_of(spark, [(5, x), (9, x), (5, y), (2, y)])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(2, y), (5, x)]
+
+
 def test_line_dedup(spark):
     rows = [(1, "Shared line here\nown one of 1"), (2, "  SHARED line HERE \r\nshort\nshort"), (3, "Shared line here"), (3, "Shared line here"), (4, None), (5, ""), (6, "short\nÉcole des lignes"), (7, "école des lignes"), (None, "Shared line here\nnull own line")]
     got = sorted((str(r.doc_id), r.kept_text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect())
