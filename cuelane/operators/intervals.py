@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -152,32 +150,79 @@ def stitch_overlapping_turns(turns: DataFrame, windows: DataFrame, overlap: int)
     return j.select("media_id", F.greatest(F.col("start_ms") + F.col("w0"), "lo").alias("start_ms"), F.least(F.col("end_ms") + F.col("w0"), "hi").alias("end_ms"), "speaker").where("end_ms > start_ms")
 
 
-def diarization_error(reference: DataFrame, hypothesis: DataFrame, collar: int = 250, most_speakers: int = 4) -> DataFrame:
-    """(media_id, missed, false_alarm, confusion, total, der): missed, false and confused speaker time over reference time, outside a collar around reference borders; speakers are mapped one to one for the least confusion."""
-    ev = lambda df, side: df.select("media_id", F.lit(side).alias("side"), "speaker", "start_ms", "end_ms")
+def best_assignment(gain: list[list[int]]) -> int:
+    """The largest sum of entries with no two in one row or column (shortest augmenting paths); entries are not negative."""
+    if gain and len(gain) > len(gain[0]):
+        gain = [list(c) for c in zip(*gain, strict=True)]
+    n, m = len(gain), len(gain[0]) if gain else 0
+    u, v, match = [0] * (n + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        match[0], j, way = i, 0, [0] * (m + 1)
+        least, used = [float("inf")] * (m + 1), [False] * (m + 1)
+        while match[j]:
+            used[j] = True
+            row, step, at = match[j], float("inf"), 0
+            for k in range(1, m + 1):
+                if not used[k]:
+                    cost = -gain[row - 1][k - 1] - u[row] - v[k]
+                    if cost < least[k]:
+                        least[k], way[k] = cost, j
+                    if least[k] < step:
+                        step, at = least[k], k
+            for k in range(m + 1):
+                if used[k]:
+                    u[match[k]] += step
+                    v[k] -= step
+                else:
+                    least[k] -= step
+            j = at
+        while j:
+            match[j] = match[way[j]]
+            j = way[j]
+    return sum(gain[match[k] - 1][k - 1] for k in range(1, m + 1) if match[k])
+
+
+def _mapped(pairs: list) -> int:
+    """The most time that a one to one map of speakers explains; pairs: (ref, hyp, ms)."""
+    rs, hs = sorted({p[0] for p in pairs}), sorted({p[1] for p in pairs})
+    time = {(p[0], p[1]): p[2] for p in pairs}
+    return int(best_assignment([[time.get((r, h), 0) for h in hs] for r in rs]))
+
+
+def _spoken(turns: DataFrame) -> DataFrame:
+    """(media_id, speaker, start_ms, end_ms): turns of one speaker that meet or overlap as one."""
+    t = turns.where("end_ms > start_ms").select("media_id", "speaker", "start_ms", "end_ms")
+    w = W.partitionBy("media_id", "speaker").orderBy("start_ms", "end_ms")
+    top = F.max("end_ms").over(w.rowsBetween(W.unboundedPreceding, -1))
+    t = t.withColumn("brk", F.when(F.col("start_ms") <= top, 0).otherwise(1)).withColumn("g", F.sum("brk").over(w))
+    return t.groupBy("media_id", "speaker", "g").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("g")
+
+
+def diarization_error(reference: DataFrame, hypothesis: DataFrame, collar: int = 250) -> DataFrame:
+    """(media_id, missed, false_alarm, confusion, total, der): missed, false and confused speaker time over reference time, outside a collar around reference borders; speakers are mapped one to one for the least confusion.
+
+    One sweep over the borders of both sides and of the collars gives active speakers; only the matrix of speakers of a recording meets in one place.
+    """
+    ref, hyp = _spoken(reference), _spoken(hypothesis)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ref, hyp = pdf[pdf.side == "r"], pdf[pdf.side == "h"]
-        cuts = sorted({*pdf.start_ms, *pdf.end_ms, *(ref.start_ms - collar), *(ref.start_ms + collar), *(ref.end_ms - collar), *(ref.end_ms + collar)})
-        borders = [*ref.start_ms, *ref.end_ms]
-        miss = false = total = both_time = 0
-        pair: dict[tuple[str, str], int] = {}
-        for a, b in itertools.pairwise(cuts):
-            mid = (a + b) / 2
-            if any(abs(mid - x) < collar for x in borders):
-                continue
-            r = set(ref[(ref.start_ms <= mid) & (ref.end_ms > mid)].speaker)
-            h = set(hyp[(hyp.start_ms <= mid) & (hyp.end_ms > mid)].speaker)
-            total += len(r) * (b - a)
-            miss += max(0, len(r) - len(h)) * (b - a)
-            false += max(0, len(h) - len(r)) * (b - a)
-            both_time += min(len(r), len(h)) * (b - a)
-            for x in r:
-                for y in h:
-                    pair[x, y] = pair.get((x, y), 0) + b - a
-        rs, hs = sorted({x for x, _ in pair})[:most_speakers], sorted({y for _, y in pair})
-        best = max((sum(pair.get(p, 0) for p in zip(rs, c, strict=False)) for c in itertools.permutations([*hs, *[""] * max(0, len(rs) - len(hs))], len(rs))), default=0)
-        conf = both_time - best
-        return pd.DataFrame([(pdf.media_id.iloc[0], int(miss), int(false), int(conf), int(total), (miss + false + conf) / total if total else 0.0)], columns=["media_id", "missed", "false_alarm", "confusion", "total", "der"])
-
-    return ev(reference, "r").unionByName(ev(hypothesis, "h")).groupBy("media_id").applyInPandas(run, "media_id string, missed long, false_alarm long, confusion long, total long, der double")
+    def events(df: DataFrame, start: Column, end: Column, name: str) -> DataFrame:
+        e = df.select("media_id", F.explode(F.array(F.struct(start.alias("t"), F.lit(1).alias("d")), F.struct(end.alias("t"), F.lit(-1).alias("d")))).alias("e"))
+        return e.select("media_id", "e.t", *[(F.col("e.d") if x == name else F.lit(0)).alias(x) for x in ("r", "h", "c")])
+
+    start, end = F.col("start_ms"), F.col("end_ms")
+    borders = reference.select("media_id", F.explode(F.array("start_ms", "end_ms")).alias("x"))
+    ev = events(ref, start, end, "r").unionByName(events(hyp, start, end, "h")).unionByName(events(borders, F.col("x") - collar, F.col("x") + collar, "c"))
+    ev = ev.groupBy("media_id", "t").agg(*[F.sum(x).alias(x) for x in "rhc"])
+    w = W.partitionBy("media_id").orderBy("t")
+    at = ev.select("media_id", F.col("t").alias("start_ms"), F.lead("t").over(w).alias("end_ms"), *[F.sum(x).over(w).alias(x) for x in "rhc"]).where("end_ms IS NOT NULL AND c = 0")
+    ms, r, h = F.col("end_ms") - F.col("start_ms"), F.col("r"), F.col("h")
+    sums = at.groupBy("media_id").agg(F.sum(F.greatest(F.lit(0), r - h) * ms).alias("missed"), F.sum(F.greatest(F.lit(0), h - r) * ms).alias("false_alarm"), F.sum(F.least("r", "h") * ms).alias("both"), F.sum(r * ms).alias("total"))
+    heard = overlap_join(at.where("r > 0 AND h > 0").select("media_id", "start_ms", "end_ms"), ref.select("media_id", F.col("speaker").alias("x"), F.col("start_ms").alias("r0"), F.col("end_ms").alias("r1")), "start_ms", "end_ms", "r0", "r1")
+    heard = overlap_join(heard, hyp.select("media_id", F.col("speaker").alias("y"), F.col("start_ms").alias("h0"), F.col("end_ms").alias("h1")), "start_ms", "end_ms", "h0", "h1")
+    pairs = heard.groupBy("media_id", "x", "y").agg(F.sum(ms).alias("ms"))
+    best = pairs.groupBy("media_id").agg(F.collect_list(F.struct("x", "y", "ms")).alias("p")).select("media_id", F.udf(lambda p: _mapped(p), "long")("p").alias("best"))
+    every = reference.select("media_id").unionByName(hypothesis.select("media_id")).distinct()
+    out = every.join(sums, "media_id", "left").join(best, "media_id", "left").na.fill(0)
+    out = out.select("media_id", *[F.col(c).cast("long").alias(c) for c in ("missed", "false_alarm")], (F.col("both") - F.col("best")).cast("long").alias("confusion"), F.col("total").cast("long").alias("total"))
+    der = (F.col("missed") + F.col("false_alarm") + F.col("confusion")) / F.col("total")
+    return out.withColumn("der", F.when(F.col("total") > 0, der).otherwise(0.0))

@@ -1,5 +1,6 @@
 """Rules that depend on earlier cuts, and edge cases, against literal models and invariants."""
 
+import itertools
 import random
 
 import numpy as np
@@ -168,3 +169,32 @@ def test_hungarian():
     assert hu.ordinals_hu("a 3. nap 2024. végén 5.") == "a harmadik nap 2024. végén 5."
     assert hu.dates_hu("2024.03.01. volt, 2024-13-01 nem") == "kétezer-huszonnégy március elseje volt, 2024-13-01 nem"
     assert hu.normalise_text("A IV. nap: 12 (alma)") == "A negyedik nap tizenkettő alma"
+
+
+def test_diarization_error_counts_everything(spark):
+    """Many speakers, turns after the first minute, overlaps and crossed names, against a literal scan and all maps."""
+    r = random.Random(4)
+    sides = {}
+    for side in "rh":
+        sides[side] = [(m, f"{side}{r.randrange(6)}", t := r.randrange(0, 150000), t + r.randrange(0, 9000)) for m in "ab" for _ in range(30)]
+    want = {}
+    for m in "ab":
+        ref, hyp = ([x[1:] for x in sides[s] if x[0] == m] for s in "rh")
+        borders = [y for x in ref for y in x[1:]]
+        cuts = sorted({y for x in ref + hyp for y in x[1:]} | {y + d for y in borders for d in (-250, 250)})
+        miss = false = total = both = 0
+        pair = {}
+        for a, b in itertools.pairwise(cuts):
+            mid = (a + b) / 2
+            if any(abs(mid - x) < 250 for x in borders):
+                continue
+            on = [{s for s, x, y in side if x <= mid < y} for side in (ref, hyp)]
+            n, k = len(on[0]), len(on[1])
+            miss, false, total, both = miss + max(0, n - k) * (b - a), false + max(0, k - n) * (b - a), total + n * (b - a), both + min(n, k) * (b - a)
+            for p in itertools.product(*on):
+                pair[p] = pair.get(p, 0) + b - a
+        best = max(sum(pair.get((f"r{i}", f"h{j}"), 0) for i, j in enumerate(c)) for c in itertools.permutations(range(6)))
+        want[m] = (miss, false, both - best, total)
+    frames = [spark.createDataFrame(sides[s], "media_id string, speaker string, start_ms long, end_ms long") for s in "rh"]
+    got = {x.media_id: (x.missed, x.false_alarm, x.confusion, x.total) for x in intervals.diarization_error(*frames).collect()}
+    assert got == want
