@@ -14,6 +14,8 @@ from cuelane.functions.normalise import LETTERS, MOST, cardinal_hu, roman_value
 
 #: Names of months, ordinals that are not built from the cardinal, and endings of the last number word.
 MONTHS = "január február március április május június július augusztus szeptember október november december".split()
+SHORT_MONTHS = {"jan.": 1, "feb.": 2, "márc.": 3, "már.": 3, "ápr.": 4, "máj.": 5, "jún.": 6, "júl.": 7, "aug.": 8, "szept.": 9, "szep.": 9, "okt.": 10, "nov.": 11, "dec.": 12}
+ROMAN_MONTHS = {r: i for i, r in enumerate("I II III IV V VI VII VIII IX X XI XII".split(), 1)}
 ORDINALS = {1: "első", 2: "második"}
 ORDINAL_ENDS = {"nulla": "nulladik", "egy": "egyedik", "kettő": "kettedik", "három": "harmadik", "négy": "negyedik", "öt": "ötödik", "hat": "hatodik", "hét": "hetedik", "nyolc": "nyolcadik", "kilenc": "kilencedik", "tíz": "tizedik", "húsz": "huszadik", "harminc": "harmincadik", "negyven": "negyvenedik", "ötven": "ötvenedik", "hatvan": "hatvanadik", "hetven": "hetvenedik", "nyolcvan": "nyolcvanadik", "kilencven": "kilencvenedik", "száz": "századik", "ezer": "ezredik", "millió": "milliomodik", "milliárd": "milliárdodik"}
 #: Days as said in dates, where they are not the ordinal with the ending of possession.
@@ -66,14 +68,23 @@ def alphanumeric_hu(text: str) -> str:
 
 
 def dates_hu(text: str) -> str:
-    """Year month day with dots, hyphens or slashes, and year and month name and day, in words. Impossible dates stay."""
+    """Year month day with dots, hyphens or slashes, and year and month name, short name or Roman numeral and day, in words; an ending after a short month's day is added as it is. Impossible dates stay."""
 
     def say(year: str, month: int, day: str) -> str | None:
         return f"{cardinal_hu(int(year))} {MONTHS[month - 1]} {day_hu(int(day))}" if 1 <= month <= 12 and 1 <= int(day) <= 31 else None
 
     text = re.sub(r"\b(\d{4})([-./])\s?(\d{1,2})\2\s?(\d{1,2})\b\.?", lambda m: say(m[1], int(m[3]), m[4]) or m[0], text)
     names = "|".join(MONTHS)
-    return re.sub(rf"\b(\d{{4}})\.?\s+({names})\s+(\d{{1,2}})\b\.?", lambda m: say(m[1], MONTHS.index(m[2].lower()) + 1, m[3]) or m[0], text, flags=re.I)
+    text = re.sub(rf"\b(\d{{4}})\.?\s+({names})\s+(\d{{1,2}})\b\.?", lambda m: say(m[1], MONTHS.index(m[2].lower()) + 1, m[3]) or m[0], text, flags=re.I)
+    short = "|".join(map(re.escape, SHORT_MONTHS))
+    text = re.sub(rf"\b(\d{{4}})\.\s*({short})\s*(\d{{1,2}})\.(?!\d)", lambda m: say(m[1], SHORT_MONTHS[m[2]], m[3]) or m[0], text)
+    text = re.sub(r"\b(\d{4})\.\s*([IVX]+)\.\s*(\d{1,2})\.(?!\d)", lambda m: say(m[1], ROMAN_MONTHS.get(m[2], 0), m[3]) or m[0], text)
+
+    def with_ending(m: re.Match) -> str:
+        said = say(m[1], SHORT_MONTHS[m[2]], m[3])
+        return said + m[4] if said else m[0]
+
+    return re.sub(rf"\b(\d{{4}})\.\s*({short})\s*(\d{{1,2}})-([a-záíéóöőúüű]+)\b", with_ending, text)
 
 
 def ordinals_hu(text: str) -> str:

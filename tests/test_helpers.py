@@ -198,3 +198,18 @@ def test_diarization_error_counts_everything(spark):
     frames = [spark.createDataFrame(sides[s], "media_id string, speaker string, start_ms long, end_ms long") for s in "rh"]
     got = {x.media_id: (x.missed, x.false_alarm, x.confusion, x.total) for x in intervals.diarization_error(*frames).collect()}
     assert got == want
+
+
+def test_dates_hu_nine_shapes(spark):
+    from cuelane.functions import hungarian as hu
+    from cuelane.plans import q_hungarian
+
+    want = "kétezer-huszonöt június elseje"
+    for text in ("2025. június 1.", "2025. 06. 01.", "2025.06.01.", "2025. jún. 1.", "2025.jún.1.", "2025. VI. 1.", "2025.VI.1.", "2025-06-01"):
+        assert hu.dates_hu(f"a {text} nap") == f"a {want} nap"
+        assert hu.normalise_text(f"a {text} nap") == f"a {want.replace("-", "")} nap"
+    assert hu.dates_hu("2024. aug. 10-én volt") == "kétezer-huszonnégy augusztus tizedikeén volt"
+    assert hu.dates_hu("2025. XV. 1. és 2025. jún. 40.") == "2025. XV. 1. és 2025. jún. 40."
+    rows = spark.sql("SELECT id AS o_orderkey, make_date(2025, CAST(1 + id % 12 AS int), 1) AS o_orderdate FROM range(36)").select("o_orderkey", q_hungarian._stamp().alias("t")).collect()
+    assert {r.t for r in rows if r.o_orderkey in (5, 14)} >= {"2025. VI. 1.", "2025. III. 1."}
+    assert not any(c.isdigit() for r in rows for c in hu.dates_hu(r.t))
