@@ -249,6 +249,52 @@ def test_decontamination(spark):
     assert not decontaminate.contamination(docs_of(spark), empty).where("contaminated").count()
 
 
+def best_window(text, item):
+    """Highest weighted similarity of all item-sized windows of the text."""
+    b, d = ([tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in (item.split(), text.split()))
+    return max((weighted(d[s : s + len(b)], b) for s in range(max(1, len(d) - len(b) + 1))), default=0)
+
+
+def test_decontamination_of_edited_copies(spark):
+    """Moved, swapped, inserted, deleted and replaced words against all windows; recall by brute force over both sides of 0.8."""
+    r = random.Random(8)
+    items = [(i, " ".join(f"v{r.randrange(400)}" for _ in range(r.choice([14, 20, 33, 50])))) for i in range(30)] + [(98, items_repeat := "tick tock " * 12), (99, "short one")]
+    rows = []
+    for i, text in items[:30]:
+        w = text.split()
+        half = len(w) // 2
+        at = r.randrange(1, len(w) - 2)
+        edits = [w[half:] + w[:half], [*w[:at], "new", *w[at:]], [*w[:at], "new", "words", *w[at:]], w[:at] + w[at + 1 :], [*w[:at], "other", *w[at + 1 :]], [*w[1:at], w[0], *w[at:]], w[: int(len(w) * 0.85)], w[: int(len(w) * 0.7)]]
+        for e in edits:
+            rows.append((len(rows), " ".join([f"p{r.randrange(99)}" for _ in range(r.randrange(60))] + e + [f"s{r.randrange(99)}" for _ in range(r.randrange(60))])))
+    rows += [(900, "lead " + items_repeat + "trail"), (901, "a short one, indeed"), (902, "short and one"), (None, items[0][1]), (903, items[0][1]), (903, "another text"), (904, None), (905, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_of(spark, rows)
+    got = {x.doc_id: x for x in decontaminate.contamination(docs, bench).collect()}
+    want = {(d, k) for d, t in rows[:-8] for k, item in items[:30] if best_window(t, item) >= 0.8 - 1e-9}
+    found = {(d, k) for d, t in rows[:-8] for k in got[d].item_ids}
+    assert len(want) > 120 and found <= want and len(found) >= 0.99 * len(want)
+    swapped = [d for d, t in rows[:240] if d % 8 == 0 and len(items[d // 8][1].split()) == 50]
+    assert swapped and all(got[d].item_ids == [d // 8] and got[d].similarity > 0.9 for d in swapped)
+    assert got[900].item_ids == [98] and got[901].item_ids == [99] and not got[902].contaminated
+    left = sorted((str(x.doc_id), x.text) for x in decontaminate.clean(docs, bench).where("doc_id > 890 or doc_id is null").collect())
+    assert left == [("902", "short and one"), ("903", "another text"), ("904", None), ("905", "")]
+
+
+def test_near_contents_are_whole(spark):
+    """All pairs of one length within the radius, and no others."""
+    r = np.random.default_rng(4)
+    seeds = r.integers(0, 1 << 63, 12, dtype=np.uint64).tolist()
+    near = [x ^ sum(1 << b for b in r.choice(63, d, replace=False).tolist()) for x in seeds for d in range(15, 30)]
+    windows = spark.createDataFrame([(5, i % 2, i, 0, x) for i, x in enumerate(near)], "k int, n int, c1 long, c2 long, fp long")
+    items = spark.createDataFrame([(i, 5, i % 2, x) for i, x in enumerate(seeds)], "item long, k int, n int, ifp long")
+    got = [(x.c1, x.item) for x in decontaminate.near_contents(windows, items).collect()]
+    want = {(i, j) for i, x in enumerate(near) for j, y in enumerate(seeds) if i % 2 == j % 2 and (x ^ y).bit_count() <= decontaminate.RADIUS}
+    assert len(got) == len(want) and set(got) == want
+    with pytest.raises(ValueError):
+        decontaminate.near_contents(windows, items, 24)
+
+
 def test_vector_search(spark):
     r = np.random.default_rng(3)
     x = r.normal(size=(1200, 8)).astype(np.float32)
