@@ -1,9 +1,9 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one per block element. A line weighs its text outside links, nothing where the
-structure says that it is no article text. Sums over sliding windows of lines show where text surges and where it
-dives to nothing; lines between these points are kept. Inside an article or main element every line of text counts as
-dense, so that short paragraphs and headings stay.
+Markup is stripped into lines, one per block element. A line weighs its text outside links, times the share of that text,
+so that menus weigh little or nothing. Inside an article or main element each character counts as much as a whole surge
+elsewhere; elements whose tag, role or name says that they are no article text weigh nothing. Sums over sliding windows
+of lines show where text surges and where it dives to nothing; the text between these points is kept.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,65 +20,85 @@ from pyspark.sql import functions as F
 
 from cuelane.llm.common import byte_slices, ship, texts_of
 
-#: Lines in a window, and the characters in one at which text surges.
+#: Lines in a window, and the weight in one at which text surges.
 WINDOW, SURGE = 3, 60
+#: What a character inside an article or main element counts, and the characters that a doubtful name there has to be made up for with.
+GAIN, DOUBT = 60, 100
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_ATTRS = r"""(?:[\s/]+|=|[^\s/>=]++(?:\s*=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>"'][^\s>]*|(?=>|\Z)))?)*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)({_ATTRS})(?:>|\Z)", re.S)
+_ATTR = re.compile(r"""([^\s/>=]+)\s*(?:=\s*("[^"]*"?|'[^']*'?|[^\s>"'][^\s>]*))?""")
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
-_BLANK = re.compile(r"[\s​﻿]+")
+_BLANK = re.compile(r"\s+")
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "canvas", "object", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rb", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br", "label"}
 _OUT_TAGS = {"nav", "aside", "form", "menu", "dialog", "button", "select", "head", "footer"}
 _OUT_NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adslot", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "disqus",
-    "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "overlay", "paywall", "popup", "promo", "promoted", "promotion", "recommended", "related",
-    "replies", "reply", "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "tags", "toolbar", "widget", "widgets", "hidden",
+    "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notification", "overlay", "paywall", "popup", "promo", "promoted", "promotion",
+    "replies", "respond", "sidebar", "signup", "skip", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "hidden",
 }
+#: Names that may well stand on article text: inside an article they only weigh against it.
+_DOUBTFUL_NAMES = {"notice", "recommended", "related", "reply", "share", "sharing", "social", "tags", "widget", "widgets"}
 _OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 #: Start tags that end an open element of the kind to the right.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def _is_out(tag: str, attrs: str, in_article: bool) -> bool:
+def _standing(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
+    """(out, doubtful) of an element: no article text by its tag, role or names, or by names that inside an article prove little."""
     if tag in _OUT_TAGS or tag == "header" and not in_article:
-        return True
+        return True, False
     if not attrs or attrs.isspace():
-        return False
+        return False, False
     found = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTR.findall(attrs)}
     if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "") in _OUT_ROLES or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
+        return True, False
     if tag in ("body", "html", "article", "main"):
-        return False
+        return False, False
     names = set(_NAME_PARTS.split(found.get("class", "") + " " + found.get("id", "")))
-    return bool(names & _OUT_NAMES) or ("header" in names and not in_article)
+    doubtful = bool(names & _DOUBTFUL_NAMES)
+    return bool(names & _OUT_NAMES) or not in_article and (doubtful or "header" in names), doubtful and in_article
 
 
-def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
-    """(text, characters outside links, out of the article or not, inside an article or main element) per block line."""
-    lines: list[tuple[str, int, int, bool]] = []
+class Line(NamedTuple):
+    """A block's text, its characters outside links, and where it stands."""
+
+    text: str
+    plain: int
+    out: bool
+    article: bool
+    doubtful: bool
+
+
+def lines_of(page: str) -> list[Line]:
+    """The page's block lines, in order."""
+    lines: list[Line] = []
     buf: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # tag, out, article
-    out = article = links = 0
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, out, article, doubtful
+    out = article = doubtful = links = 0
+
+    def tidy(text: str) -> str:
+        return _BLANK.sub(" ", html.unescape(text) if "&" in text else text).strip()
 
     def flush() -> None:
         nonlocal linked
         if buf:
-            text = "".join(buf)
-            text = _BLANK.sub(" ", html.unescape(text) if "&" in text else text).strip()
+            text = tidy("".join(buf))
             if text:
-                lines.append((text, max(0, len(text) - linked), out, article > 0))
+                lines.append(Line(text, max(0, len(text) - linked), out > 0, article > 0, doubtful > 0))
             buf.clear()
         linked = 0
 
     def pop(to: int) -> None:
-        nonlocal out, article, links
+        nonlocal out, article, doubtful, links
         while len(stack) > to:
-            tag, was_out, was_article = stack.pop()
+            tag, was_out, was_article, was_doubtful = stack.pop()
             out -= was_out
             article -= was_article
+            doubtful -= was_doubtful
             links -= tag == "a"
 
     pos, size = 0, len(page)
@@ -86,7 +108,7 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
         if piece:
             buf.append(piece)
             if links:
-                linked += len(piece)
+                linked += len(tidy(piece))
         if not m:
             break
         pos = m.end()
@@ -118,31 +140,49 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
         if tag not in _INLINE and stack and (stack[-1][0] == "p" or stack[-1][0] in _ENDS.get(tag, ())):
             pop(len(stack) - 1)
         is_article = tag in ("article", "main") or bool(re.search(r"role\s*=\s*[\"']?(?:main|article)\b", m[2]))
-        is_out = _is_out(tag, m[2], article > 0)
-        stack.append((tag, is_out, is_article and not is_out))
+        is_out, is_doubtful = _standing(tag, m[2], article > 0)
+        stack.append((tag, is_out, is_article and not is_out, is_doubtful))
         out += is_out
         article += is_article and not is_out
+        doubtful += is_doubtful
         links += tag == "a"
     flush()
     return lines
 
 
-def surges(weights: list[int], window: int, surge: int) -> list[bool]:
-    """Which lines lie between a surge (a window of `window` lines sums to `surge` or more) and the dive to nothing after it, reaching back to where the sum rose from nothing."""
+def weight_of(line: Line, articles: bool) -> float:
+    """What a line adds to its windows; with `articles` the page has article elements with text, and only they count."""
+    if line.out or articles and not line.article:
+        return 0.0
+    dense = line.plain * line.plain / len(line.text)
+    if line.doubtful:
+        return max(0.0, dense - DOUBT)
+    return dense * GAIN if line.article else dense
+
+
+def surges(weights: list[float], window: int, surge: float) -> list[bool]:
+    """Which lines lie between a surge and the dive after it: in a run of windows of `window` lines that all weigh
+    something, one of which weighs `surge` or more (the page's heaviest window always does), from the first to the last
+    line that weighs something."""
     n = len(weights)
-    sums = [sum(weights[i : i + window]) for i in range(n)]
+    before = [0.0, *accumulate(weights)]
+    held = [0, *accumulate(w > 0 for w in weights)]
+    ends = [min(n, i + window) for i in range(n)]
+    sums = [before[e] - before[i] for i, e in enumerate(ends)]
+    some = [held[e] > held[i] for i, e in enumerate(ends)]
+    least = min(surge, max(sums, default=0))
     keep = [False] * n
     i = 0
     while i < n:
-        if not sums[i]:
+        if not some[i]:
             i += 1
             continue
         j = i
-        while j < n and sums[j]:
+        while j < n and some[j]:
             j += 1
-        if max(sums[i:j]) >= surge:
-            for x in range(i, j):
-                keep[x] = weights[x] > 0
+        if max(sums[i:j]) >= least:
+            heavy = [x for x in range(i, j) if weights[x] > 0]
+            keep[heavy[0] : heavy[-1] + 1] = [True] * (heavy[-1] + 1 - heavy[0])
         i = j
     return keep
 
@@ -150,9 +190,10 @@ def surges(weights: list[int], window: int, surge: int) -> list[bool]:
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The page's main text, blocks joined by an empty line; empty if it has none."""
     lines = lines_of(page or "")
-    inside = any(a and not o for _, _, o, a in lines)
-    weights = [0 if out or inside and not art else surge + len(text) if art else plain for text, plain, out, art in lines]
-    return "\n\n".join(x[0] for x, k in zip(lines, surges(weights, window, surge), strict=True) if k)
+    articles = any(x.article and not x.out for x in lines)
+    weights = [weight_of(x, articles) for x in lines]
+    kept = surges(weights, window, surge)
+    return "\n\n".join(x.text for x, w, k in zip(lines, weights, kept, strict=True) if k and not x.out and (w or not x.doubtful) and (x.article or not articles))
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -333,6 +333,45 @@ def test_html(spark):
     assert sorted((str(r.page_id), len(r.text), r.n_chars) for r in got) == sorted([("1", 51, 51), ("1", 51, 51), ("2", 0, 0), ("None", 0, 0)]) or all(len(r.text) == r.n_chars for r in got)
 
 
+def test_html_markup():
+    main = html_extract.main_text
+    assert main("<article><p data-x=it's>Hello there</p><p>and here</article>") == "Hello there\n\nand here"
+    assert main("<article><p title='a > b' x=\"1\" / y = z>one</p></article>") == "one"
+    assert main("<article><p>zero\u200bwidth \ufeff mark&nbsp; and\u2003blank</p></article>") == "zero\u200bwidth \ufeff mark and blank"
+    assert main("<p>Short text only</p>") == "Short text only"
+    long = "<article>" + "<p>Some words of a long page.</p>" * 40_000 + "</article>"
+    assert main(long).count("Some words") == 40_000
+
+
+def test_html_window_step():
+    """Text dives where three lines in a row hold links only, with and without an article element; doubtful names weigh but do not decide."""
+    main = html_extract.main_text
+    links = "".join(f"<li><a href=/{i}>More of the same kind {i}</a></li>" for i in range(4))
+    for head, foot in (("<article>", "</article>"), ("<div>", "</div>")):
+        body = "<p>" + "The first part runs on for a while here. " * 3 + f"</p><p><a href=/x>One linked line</a></p><p>Sh is.</p><p>{'It goes on. ' * 9}</p>"
+        got = main(f"<body>{head}{body}<ul>{links}</ul>{foot}</body>").split("\n\n")
+        assert got[1:3] == ["One linked line", "Sh is."] and len(got) == 4 and "More of the same" not in " ".join(got)
+    cards = "<article><h2><a href=/1>Title of a card</a></h2></article>" * 5
+    assert main(f"<body>{cards}<article><h1>Story</h1><p>Told at length.</p></article></body>") == "Story\n\nTold at length."
+    prose = "A paragraph about how people share things with one another, and what that does to the things and to the people."
+    assert main(f'<article><p>Lead.</p><p class="share">{prose}</p><p class="share">Share this</p><p class=comment>{prose}</p></article>') == f"Lead.\n\n{prose}"
+    assert main(f'<body><div class="notice">{prose}</div><p>{prose}</p></body>') == prose
+
+
+def test_surges_by_definition():
+    r = random.Random(2)
+    for _ in range(400):
+        w = [r.choice([0, 0, 0, 5, 30, 70]) for _ in range(r.randrange(0, 25))]
+        n, size, surge = len(w), r.choice([1, 2, 3, 4]), r.choice([20, 60, 100])
+        sums = [sum(w[i : i + size]) for i in range(n)]
+        least = min(surge, max(sums, default=0))
+        want = []
+        for x in range(n):
+            runs = [(i, j) for i in range(n) for j in range(i + 1, n + 1) if i <= x < j and all(sums[i:j]) and max(sums[i:j]) >= least]
+            want.append(any(any(w[i : x + 1]) and any(w[x:j]) for i, j in runs))
+        assert html_extract.surges(w, size, surge) == want, w
+
+
 def test_quality(spark):
     good, junk, rude = "river hill stone walk light".split(), "$$ %% !! ##".split(), "blorgo blorga blorgu".split()
     rows, grades = [], []
