@@ -318,6 +318,28 @@ def test_vector_search(spark):
     assert hnsw.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vector_search_in_doubles(spark):
+    """Differences below single precision are kept; clashing columns are not read; an id with two vectors answers once."""
+    rows = [(0, [1e8, 1.0]), (1, [1e8, 1.5]), (2, [1e8 + 1, 1.0]), (3, [-5.0, 3.0]), (3, [1e8, 1.25]), (4, [1e300, 1.0])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS dim", "2 AS shard", "3 AS slice", "4 AS score")
+    got = hnsw.nearest(docs).orderBy("rank").collect()
+    assert [(g.query_id, g.vec_id, g.score) for g in got][:3] == [(0, 3, 0.25), (0, 1, 0.5), (0, 2, 1.0)] and len(got) == 4
+
+
+def test_vector_recall(spark):
+    """All queries of one shard and of several against brute force."""
+    r = np.random.default_rng(6)
+    x = np.concatenate((r.normal(size=(3000, 24)), r.normal(size=(40, 24))[r.integers(0, 40, 2000)] + 0.05 * r.normal(size=(2000, 24))))
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    for size in (16_384, 1000):
+        got = hnsw.nearest(d, every=20, shard_rows=size).collect()
+        by = {}
+        for g in got:
+            by.setdefault(g.query_id, set()).add(g.vec_id)
+        hits = sum(len(by[q] & set(np.argsort(((x - x[q]) ** 2).sum(1))[1:11].tolist())) for q in range(0, 5000, 20))
+        assert len(got) == 2500 and hits >= 0.9 * 2500
+
+
 PAGE = """<html><head><title>T</title><script>if(a<b){x="</p>"}</script></head><body><nav><a href=/>Home</a></nav><div class="cookie-notice">We use cookies a lot on this page and tell you so at length.</div>
 <article><h1>Head &amp; line</h1><p>First <b>bold</b>  text<br>goes on.<p>Second &eacute; one</article><section id="comments"><p>A long reader comment that should not be kept in any case at all.</p></section><footer>&copy; x</footer></body>"""
 
