@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cuelane.llm.common import byte_slices, checkpointed, ship, texts_of
 
@@ -164,8 +165,13 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     return left.join(right, on).select("a", "b")
 
 
+def _spread(key: str) -> Column:
+    """A second join key that follows from the first: both sides are shuffled for the join, so that adaptive execution can split a very frequent key."""
+    return F.xxhash64(key)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node reachable, for every node with an edge (a, b).
+    """(node, root): the smallest node reachable, for every node with an edge (a, b) but that smallest one itself.
 
     Alternating star contraction: each round links neighbours to the smallest node around, by aggregation and join,
     so that no node's neighbourhood is gathered in one place. Lineage is cut every round.
@@ -175,7 +181,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").withColumn("x", _spread("u")).join(low.withColumn("x", _spread("u")), ["u", "x"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
@@ -187,6 +193,27 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def connected(fps: DataFrame, radius: int) -> DataFrame:
+    """(node, root) of all but the smallest of each component over links of at most `radius` bits; fps has one row per fingerprint.
+
+    Each fingerprint is first compared with the smallest one under each of its keys. Then, under each key, only those
+    that are not yet in one component are compared: the members of a large group of near copies cost one comparison
+    a key, not one for each other member.
+    """
+    under = Window.partitionBy("p", "v")
+    index = variants(fps, radius).withColumns({"rep": F.min("fp").over(under), "n": F.count("*").over(under)}).where("n > 1")
+    shared = checkpointed(index.select(F.xxhash64("p", "v").alias("band"), F.col("fp").alias("th"), "rep"))
+
+    def near(a: str, b: str) -> Column:
+        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
+
+    roots = components(shared.where((F.col("th") != F.col("rep")) & near("th", "rep")).select(F.col("th").alias("a"), F.col("rep").alias("b")))
+    rest = checkpointed(_unmet(shared, roots, near("x", "y")))
+    if rest.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest.select(F.col("ta").alias("a"), F.col("tb").alias("b"))))
+
+
 def linked(fps: DataFrame, radius: int = 4) -> DataFrame:
     """(id, fp, component_id): component_id is the smallest id reachable over links of at most `radius` bits.
 
@@ -194,11 +221,13 @@ def linked(fps: DataFrame, radius: int = 4) -> DataFrame:
     ids only has null.
     """
     fps = checkpointed(fps)
-    groups = fps.groupBy("fp").agg(F.min("id").alias("low"))
-    roots = components(links(groups.select("fp"), radius))
-    named = groups.join(roots, groups.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    tops = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = checkpointed(named.join(tops, "root").select(F.col("fp").alias("f"), "component_id"))
+    groups = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("low")))
+    roots = connected(groups.select("fp"), radius)
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    named = checkpointed(groups.join(roots, F.col("fp") == F.col("node")).select("fp", "low", "root"))
+    tops = named.groupBy(F.col("root").alias("top")).agg(F.min("low").alias("component_id"))
+    tops = named.join(tops, (F.col("root") == F.col("top")) & (_spread("root") == _spread("top"))).select(F.col("fp").alias("f"), "component_id")
+    by_fp = checkpointed(tops.unionByName(groups.join(named.select(F.col("fp").alias("f")), F.col("fp") == F.col("f"), "left_anti").select(F.col("fp").alias("f"), F.col("low").alias("component_id"))))
     return fps.join(by_fp, F.col("fp") == F.col("f")).select("id", "fp", "component_id")
 
 
@@ -270,9 +299,10 @@ def _shared(prints: DataFrame) -> DataFrame:
     return checkpointed(members.join(several, "band").select("band", "th", "rep"))
 
 
-def _unmet(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(ta, tb), ta < tb, each once: texts of one band key with different roots. In each key the texts of its most
-    frequent root are paired with the others only, so that a large group costs its size times the texts outside it."""
+def _unmet(shared: DataFrame, roots: DataFrame, near: Column | None = None) -> DataFrame:
+    """(ta, tb), ta < tb, each once: texts (or fingerprints) x and y of one band key with different roots, where near
+    holds. In each key those of its most frequent root are paired with the others only, so that a large group costs its
+    size times the number outside it."""
     of = shared.join(roots, F.col("th") == F.col("node"), "left").select("band", "th", F.coalesce("root", "th").alias("root"))
     counts = of.groupBy("band", "root").agg(F.count("*").alias("n"))
     main = counts.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
@@ -280,6 +310,7 @@ def _unmet(shared: DataFrame, roots: DataFrame) -> DataFrame:
     out = of.where("root <> main").select("band", F.col("th").alias("x"), F.col("root").alias("rx"))
     every = of.select(F.col("band").alias("bb"), F.col("th").alias("y"), F.col("root").alias("ry"), (F.col("root") == F.col("main")).alias("in_main"))
     met = out.join(every, (F.col("band") == F.col("bb")) & (F.col("rx") != F.col("ry")) & (F.col("in_main") | (F.col("x") < F.col("y"))))
+    met = met if near is None else met.where(near)
     return met.select(F.least("x", "y").alias("ta"), F.greatest("x", "y").alias("tb")).distinct()
 
 

@@ -120,6 +120,26 @@ def test_links_are_whole(spark, radius):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("radius", [3, 4, 5])
+def test_connected_equals_all_pairs(spark, radius):
+    """Chains of near fingerprints, a dense group and lone ones against components over all pairs."""
+    r = np.random.default_rng(radius)
+    fps = set(r.integers(0, 1 << 63, 40, dtype=np.uint64).tolist())
+    for s in r.integers(0, 1 << 63, 8, dtype=np.uint64).tolist():
+        x = s
+        for _ in range(40):
+            fps.add(x)
+            x = (x if r.random() < 0.5 else s) ^ sum(1 << b for b in r.choice(64, r.integers(1, radius + 4), replace=False).tolist())
+    fps = [x - (1 << 64) if x >> 63 else x for x in fps]
+    comp = roots(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if ((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count() <= radius])
+    low = {}
+    for f, c in zip(fps, comp, strict=True):
+        low[c] = min(f, low.get(c, f))
+    got = {x.node: x.root for x in simhash.connected(spark.createDataFrame([(x,) for x in fps], "fp long"), radius).collect()}
+    assert {f: got.get(f, f) for f in fps} == {f: low[c] for f, c in zip(fps, comp, strict=True)}
+    assert len({low[c] for c in comp}) > 40
+
+
 def test_similar_groups(spark):
     base = [f"term{i}" for i in range(200)]
     near = list(base)
