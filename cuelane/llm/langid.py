@@ -197,7 +197,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
                     owner = np.repeat(np.arange(n), np.diff(off))
                     share = np.bincount(owner * k + labels, weights=letters, minlength=n * k).reshape(n, k)
                     total = share.sum(axis=1)
-                    some = total > 0
+                    some = (total > 0) & pc.match_substring_regex(texts.slice(lo, n), r"\pL").to_numpy(zero_copy_only=False)
                     pred[some] = share[some].argmax(axis=1)
                     score[some] = share[some].max(axis=1) / total[some]
                     turn = np.concatenate(([True], (labels[1:] != labels[:-1]) | (owner[1:] != owner[:-1]))) if len(labels) else np.zeros(0, bool)

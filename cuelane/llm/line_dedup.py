@@ -10,6 +10,13 @@ _SPACE = " \t\n\x0b\x0c\r"
 _LAST = (1 << 63) - 1
 
 
+def _doc(docs: DataFrame, id_col: str) -> Column:
+    """A document's place in the order of ids, null behind all others."""
+    if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
+
+
 def _whole(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 
@@ -17,7 +24,7 @@ def _whole(text_col: str) -> Column:
 def keyed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(doc, row, pos, h1, h2) of every line whose key has at least `min_chars` code points; row tells apart different
     texts under one id, h1 and h2 are a 128-bit hash of the key. A null id counts as one document behind all others."""
-    lines = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text_col).alias("row"), F.posexplode_outer(F.split(F.translate(_whole(text_col), _UPPER, _LOWER), "\n")).alias("pos", "line"))  # outer: else a filter splits every text twice
+    lines = docs.select(_doc(docs, id_col).alias("doc"), F.xxhash64(text_col).alias("row"), F.posexplode_outer(F.split(F.translate(_whole(text_col), _UPPER, _LOWER), "\n")).alias("pos", "line"))  # outer: else a filter splits every text twice
     keys = lines.where(F.length("line") >= min_chars).withColumn("key", F.btrim("line", F.lit(_SPACE))).where(F.length("key") >= min_chars)
     return keys.select("doc", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
 
@@ -44,7 +51,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and are treated alike; rows with a null id count together as one last document. An empty table stays empty.
     """
     gone = dropped_lines(docs, id_col, text_col, min_chars, min_docs).groupBy("doc", "row").agg(F.collect_set("pos").alias("__gone")).withColumnsRenamed({"doc": "__doc", "row": "__row"})
-    kept = docs.drop("kept_text", "n_lines", "n_dropped").join(gone, (F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)) == F.col("__doc")) & (F.xxhash64(text_col) == F.col("__row")), "left")
+    kept = docs.drop("kept_text", "n_lines", "n_dropped").join(gone, _doc(docs, id_col).eqNullSafe(F.col("__doc")) & (F.xxhash64(text_col) == F.col("__row")), "left")
     kept = kept.withColumn("__lines", F.split(_whole(text_col), "\n"))
     lines = F.col("__lines")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))

@@ -108,7 +108,8 @@ def fit(grades: np.ndarray, cells: list[np.ndarray], levels: int, least: int = L
 
 
 def learn(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = FIT_DOCS) -> pd.DataFrame | None:
-    """The model from documents joined to grades (id, grade int from 0), or None where no two grades are rated.
+    """The model from documents joined to grades (id, grade int from 0), or None where no two grades are rated
+    or no document is.
 
     At most about `most` rated documents are learned from, chosen by a hash of the id; their features are made where
     the texts are, and one task fits. What comes to the driver is the model: at most the features of that sample.
@@ -138,7 +139,8 @@ def learn(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col:
         cells = [np.frombuffer(x, np.int64) for x in rows["features"]]
         return fit(rows["grade"].to_numpy(np.int64), cells, levels)
 
-    return sample.mapInArrow(tokens, "one int, grade int, features binary").groupBy("one").applyInPandas(train, MODEL_SCHEMA).toPandas()
+    model = sample.mapInArrow(tokens, "one int, grade int, features binary").groupBy("one").applyInPandas(train, MODEL_SCHEMA).toPandas()
+    return model if (model["feature"] < 0).any() else None
 
 
 def hash_bytes(x: bytes) -> int:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelane.llm import decontaminate, hnsw, html_extract, langid, line_dedup, quality, sentencepiece_bpe, sharding, simhash, token_counts
-from cuelane.llm.common import table
+from cuelane.llm.common import shared_folder, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.shard_rows(table(spark, sf_dir, "documents"))
+    out = sharding.shard_rows(table(spark, sf_dir, "documents"), map_folder=f"{shared_folder(spark)}/shard-map-{uuid.uuid4().hex}")  # a folder of its own, so that each run begins with version 1
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
 
 

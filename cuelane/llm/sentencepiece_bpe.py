@@ -35,6 +35,9 @@ class PieceModel:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        for text in ("a  b ", "\ufb01 \u00bd e\u0301\u3000\t\u200b"):  # texts that any normaliser would change
+            if sp.decode(sp.encode(text)) != text:
+                raise ValueError("the model normalises texts; only models that leave them as they are can be encoded here")
         self.size = n = sp.get_piece_size()
         self.bos, self.eos = sp.bos_id(), sp.eos_id()
         pieces = [sp.id_to_piece(i) for i in range(n)]
@@ -190,7 +193,7 @@ class PieceModel:
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each text with begin and end, flat, and offsets."""
-        sep = next(c for c in map(chr, range(0xE000, 0xF8FF)) if not pc.any(pc.match_substring(texts, c)).as_py())
+        sep = separator(texts)
         full = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(SPACE, pc.replace_substring(texts, " ", SPACE), ""))
         cut = pc.replace_substring_regex(full, f"([^{SPACE}]){SPACE}", f"\\1{sep}{SPACE}")
         lists = pc.split_pattern(pc.replace_substring(cut, "\n", f"{sep}\n{sep}"), sep)
@@ -220,6 +223,21 @@ class PieceModel:
             return b"".join(b"\xef\xbf\xbd" if c in range(0xDC80, 0xDD00) else chr(c).encode() for c in map(ord, raw.decode("utf-8", "surrogateescape")))
 
 
+def separator(texts: pa.Array) -> str:
+    """A string that no text holds: one private-use character, or, where all are in use, a run of one between two of another that is longer than any in the texts."""
+
+    def held(x: str) -> bool:
+        return bool(pc.any(pc.match_substring(texts, x)).as_py())
+
+    for c in map(chr, range(0xE000, 0xF900)):
+        if not held(c):
+            return c
+    k = 1
+    while held("\ue000" + "\ue001" * k):
+        k += 1
+    return "\ue000" + "\ue001" * k + "\ue000"
+
+
 def model(path: str | None) -> PieceModel:
     if path is None:
         import public_tokenizers

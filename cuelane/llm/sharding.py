@@ -79,18 +79,38 @@ def map_frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, MAP_SCHEMA)
 
 
-def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, n_slots: int = SLOTS, old: list[tuple] | None = None) -> DataFrame:
+def store_map(spark: SparkSession, rows: list[tuple], folder: str) -> None:
+    """Adds a version of a map to its folder, one Parquet folder per version."""
+    map_frame(spark, rows).coalesce(1).write.parquet(f"{folder}/map-{rows[0][0]:08d}")
+
+
+def stored_map(spark: SparkSession, folder: str) -> list[tuple] | None:
+    """The latest version in a map folder, or None where there is none; one row per virtual slot."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in files.listStatus(path)) if files.exists(path) else []
+    names = [n for n in names if n.startswith("map-") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+    return [tuple(r) for r in spark.read.parquet(f"{folder}/{names[-1]}").collect()] if names else None
+
+
+def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, n_slots: int = SLOTS, map_folder: str | None = None) -> DataFrame:
     """(id, size, text_crc32, shard, slot, vslot, map_version): every row in one shard, shard sizes near equal.
 
     size is the text's UTF-8 bytes plus 8 (null: 8), slot the row's place in its shard, from 0 without gaps. Rows that
     are equal in id and text are numbered, and the number is hashed too, so copies spread over slots. Empty tables
-    give an empty result. With `old` (rows of a stored map) that map is edited instead of a new one made.
+    give an empty result. With `map_folder` the latest map there is edited where there is one, and the map used is stored
+    as the next version, so that rows move only as far as loads have changed.
     """
     same = docs.select(F.col(id_col).alias("id"), (text_size(text_col) + 8).alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("text_crc32")).groupBy("id", "size", "text_crc32").agg(F.count("*").alias("copies"))
     rows = same.select("id", "size", "text_crc32", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
     rows = rows.withColumn("vslot", slot_of(n_slots, "id", "text_crc32", "copy"))
     loads = slot_loads(rows)
-    table = map_frame(docs.sparkSession, first_map(loads, shards) if old is None else rebalanced_map(old, loads, shards))
+    spark = docs.sparkSession
+    old = stored_map(spark, map_folder) if map_folder else None
+    now = first_map(loads, shards) if old is None else rebalanced_map(old, loads, shards)
+    if map_folder and now:
+        store_map(spark, now, map_folder)
+    table = map_frame(spark, now)
     placed = rows.withColumn("at", F.row_number().over(Window.partitionBy("vslot").orderBy("id", "text_crc32", "size", "copy")))
     small = F.broadcast(table.select("vslot", "shard", "base", F.col("version").alias("map_version")))  # at most n_slots rows
     return placed.join(small, "vslot").select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("base") + F.col("at") - 1).alias("slot"), "vslot", "map_version")

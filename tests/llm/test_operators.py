@@ -56,6 +56,11 @@ def test_sentencepiece(spark):
     texts = ["".join(RNG.choice("ab the ing▁\n\tαβ日x  ,.") for _ in range(RNG.randint(0, 50))) for _ in range(300)]
     ids, off = m.encode_texts(pa.array(texts))
     assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [[1, *x, 2] for x in sp.encode(texts)]
+    every = "".join(map(chr, range(0xE000, 0xF900))) + " a \ue000\ue001 b\nc\ue000\ue001\ue001"
+    sep = sentencepiece_bpe.separator(pa.array([every]))
+    assert len(sep) > 1 and sep not in every
+    ids, off = m.encode_texts(pa.array([every, "x y"]))
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [[1, *x, 2] for x in sp.encode([every, "x y"])]
     odd = [300, 200, 130, 131, 132, 500]  # bytes that form no character
     assert m.decode(np.array(odd)).decode() == sp.decode(odd)
 
@@ -213,6 +218,8 @@ def test_line_dedup(spark):
     rows = [(1, "Shared line here\nown one of 1"), (2, "  SHARED line HERE \r\nshort\nshort"), (3, "Shared line here"), (3, "Shared line here"), (4, None), (5, ""), (6, "short\nÉcole des lignes"), (7, "école des lignes"), (None, "Shared line here\nnull own line")]
     got = sorted((str(r.doc_id), r.kept_text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect())
     assert got == sorted([("1", "Shared line here\nown one of 1", 2, 0), ("2", "short\nshort", 3, 1), ("3", "", 1, 1), ("3", "", 1, 1), ("4", "", 1, 0), ("5", "", 1, 0), ("6", "short\nÉcole des lignes", 2, 0), ("7", "école des lignes", 1, 0), ("None", "null own line", 2, 1)])
+    named = spark.createDataFrame([("b", "a shared line\nx"), ("a", "a shared line"), (None, "A shared LINE ")], "doc_id string, text string")
+    assert sorted((str(r.doc_id), r.kept_text) for r in line_dedup.dedup_lines(named).collect()) == [("None", ""), ("a", "a shared line"), ("b", "x")]
     three = line_dedup.dedup_lines(docs_of(spark, rows), min_docs=5)
     assert three.agg({"n_dropped": "sum"}).first()[0] == 0
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
@@ -236,6 +243,21 @@ def test_sharding(spark):
     assert sharding.shard_rows(docs_of(spark, [])).count() == 0
 
 
+def test_sharding_with_a_stored_map(spark, tmp_path):
+    """The second run edits the first one's map: most rows stay, shards stay even, versions are kept side by side."""
+    folder = f"file://{tmp_path}/map"
+    rows = [(i, "w" * (i % 90)) for i in range(3000)] + [(5000, "long " * 4000)]
+    first = {r.doc_id: r for r in sharding.shard_rows(docs_of(spark, rows), shards=6, map_folder=folder).collect()}
+    more = rows + [(6000 + i, "new words " * 9) for i in range(600)]
+    second = {r.doc_id: r for r in sharding.shard_rows(docs_of(spark, more), shards=7, map_folder=folder).collect()}
+    assert {r.map_version for r in first.values()} == {1} and {r.map_version for r in second.values()} == {2}
+    moved = sum(first[i].shard != second[i].shard for i in first)
+    assert moved < 0.35 * len(first)
+    sizes = [sum(r["size"] for r in second.values() if r.shard == s) for s in range(7)]
+    assert max(sizes) <= 1.1 * sum(sizes) / 7
+    assert [r[0] for r in sharding.stored_map(spark, folder)][:1] == [2]
+
+
 def weighted(a, b):
     return sum(min(a.count(x), b.count(x)) for x in set(a)) / len(b)
 
@@ -436,6 +458,10 @@ def test_quality(spark):
     cuts = sorted(w for f, w in model.values.tolist() if f < 0)
     assert cuts == sorted(cuts) and all(0 <= r.p_top <= 1 and 0 <= r.expected_grade <= 2 for r in got.values())
     assert quality.learn(docs, quality.grades_of(labels.limit(0))) is None
+    assert quality.learn(docs, quality.grades_of(labels.selectExpr("doc_id + 100000 AS doc_id", "quality", "toxic"))) is None
+    assert quality.learn(docs.limit(0), quality.grades_of(labels)) is None
+    wide = quality.score(docs.limit(3).selectExpr("*", "'x' AS p_top", "2 AS expected_grade"), model, extra=True)
+    assert wide.count() == 3 and dict(wide.dtypes)["p_top"] == "double" and "text" in wide.columns
     assert quality.score(docs, None).where("keep").count() == 603
 
 
@@ -449,6 +475,9 @@ def test_language(spark):
     got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
     assert all(got[i].lang_pred == lang for i, _, lang in rows)
     assert got[900].lang_pred == got[901].lang_pred == "und" and got[900].score == 0 and got[902].lang_pred == "en" and got[None].lang_pred == "de"
+    marks = spark.createDataFrame([(1, "\u0301\u0302 \u0308"), (2, "e\u0301"), (2, "e\u0301"), (3, "the house " * 30_000)], "doc_id long, text string").selectExpr("*", "'u' AS lang_pred", "9 AS score")
+    assert sorted((r.doc_id, r.lang_pred == "und", r.score) for r in langid.predict(marks, model).where("doc_id < 3").select("doc_id", "lang_pred", "score").collect())[0] == (1, True, 0.0)
+    assert langid.predict(marks, model).where("doc_id = 3 and lang_pred = 'en'").count() == 1 and langid.predict(marks, model).where("doc_id = 2").count() == 2
     mixed = " ".join(words["en"] * 3) + " " + " ".join(words["ru"] * 3)
     assert [s[0] for s in langid.spans(mixed, model)] == ["en", "ru"]
     scores = np.random.default_rng(1).normal(size=(60, 3)) * 3
