@@ -193,6 +193,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _keyed(fps: DataFrame, radius: int) -> DataFrame:
+    """(band, th, rep, fp): the fingerprints under each of their keys that several have; th is fp, rep the smallest of the key."""
+    under = Window.partitionBy("p", "v")
+    index = variants(fps, radius).withColumns({"rep": F.min("fp").over(under), "n": F.count("*").over(under)}).where("n > 1")
+    return index.select(F.xxhash64("p", "v").alias("band"), F.col("fp").alias("th"), "rep", "fp")
+
+
+def _within(a: str, b: str, radius: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
+
+
 def connected(fps: DataFrame, radius: int) -> DataFrame:
     """(node, root) of all but the smallest of each component over links of at most `radius` bits; fps has one row per fingerprint.
 
@@ -200,20 +211,24 @@ def connected(fps: DataFrame, radius: int) -> DataFrame:
     that are not yet in one component are compared: the members of a large group of near copies cost one comparison
     a key, not one for each other member.
     """
-    under = Window.partitionBy("p", "v")
-    index = variants(fps, radius).withColumns({"rep": F.min("fp").over(under), "n": F.count("*").over(under)}).where("n > 1")
-    shared = checkpointed(index.select(F.xxhash64("p", "v").alias("band"), F.col("fp").alias("th"), "rep"))
-
-    def near(a: str, b: str) -> Column:
-        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
-
-    roots = components(shared.where((F.col("th") != F.col("rep")) & near("th", "rep")).select(F.col("th").alias("a"), F.col("rep").alias("b")))
-    rest = checkpointed(_unmet(shared, roots, near("x", "y")))
+    shared = checkpointed(_keyed(fps, radius))
+    roots = components(shared.where((F.col("th") != F.col("rep")) & _within("th", "rep", radius)).select(F.col("th").alias("a"), F.col("rep").alias("b")))
+    rest = checkpointed(_unmet(shared, roots, radius))
     if rest.isEmpty():
         return roots
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest.select(F.col("ta").alias("a"), F.col("tb").alias("b"))))
 
 
+def _lowest(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, component_id): the smallest `low` of the component of each key of groups (key, low); keys without a root are alone."""
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    named = checkpointed(groups.join(roots, F.col("key") == F.col("node")).select("key", "low", "root"))
+    tops = named.groupBy(F.col("root").alias("top")).agg(F.min("low").alias("component_id"))
+    tops = named.join(tops, (F.col("root") == F.col("top")) & (_spread("root") == _spread("top"))).select("key", "component_id")
+    alone = groups.join(named.select(F.col("key").alias("k")), F.col("key") == F.col("k"), "left_anti")
+    return checkpointed(tops.unionByName(alone.select("key", F.col("low").alias("component_id"))))
+
+
 def linked(fps: DataFrame, radius: int = 4) -> DataFrame:
     """(id, fp, component_id): component_id is the smallest id reachable over links of at most `radius` bits.
 
@@ -222,13 +237,8 @@ def linked(fps: DataFrame, radius: int = 4) -> DataFrame:
     """
     fps = checkpointed(fps)
     groups = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = connected(groups.select("fp"), radius)
-    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    named = checkpointed(groups.join(roots, F.col("fp") == F.col("node")).select("fp", "low", "root"))
-    tops = named.groupBy(F.col("root").alias("top")).agg(F.min("low").alias("component_id"))
-    tops = named.join(tops, (F.col("root") == F.col("top")) & (_spread("root") == _spread("top"))).select(F.col("fp").alias("f"), "component_id")
-    by_fp = checkpointed(tops.unionByName(groups.join(named.select(F.col("fp").alias("f")), F.col("fp") == F.col("f"), "left_anti").select(F.col("fp").alias("f"), F.col("low").alias("component_id"))))
-    return fps.join(by_fp, F.col("fp") == F.col("f")).select("id", "fp", "component_id")
+    by_fp = _lowest(groups.select(F.col("fp").alias("key"), "low"), connected(groups.select("fp"), radius))
+    return fps.join(by_fp, F.col("fp") == F.col("key")).select("id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -262,9 +272,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     similarity of at least `similarity` on runs of `words` words, share the smallest id of the chain.
 
     Candidates are fingerprints of different words within `radius` bits and texts that share a band key of minima, which
-    finds the pairs that a fingerprint sets further apart; each pair of texts is verified on whole texts. Texts with one
-    fingerprint or band key are compared with the first of them by hash; then all texts of a band key that are not yet
-    in one chain are compared with each other. Null texts are empty and equal; null ids take part but give no
+    finds the pairs that a fingerprint sets further apart; each pair of texts is verified on whole texts. Texts that share
+    a key are compared with the first of them by hash; then all texts of a key that are not yet in one chain are compared
+    with each other. Null texts are empty and equal; null ids take part but give no
     component_id of their own; repeated rows stay; an empty table stays empty.
     """
     return _grouped(docs, id_col, text_col, radius, words, similarity).select("id", "component_id")
@@ -273,44 +283,47 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 5, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """similar_groups with the text hash th."""
     prints = checkpointed(_prints(docs, id_col, text_col, words))
-    nodes = prints.select("fp", "th").distinct()
-    first = nodes.groupBy("fp").agg(F.min("th").alias("rep"))
-    found = links(first.select("fp"), radius)
-    ra, rb = first.select(F.col("fp").alias("a"), F.col("rep").alias("ta")), first.select(F.col("fp").alias("b"), F.col("rep").alias("tb"))
-    pairs = found.join(ra, "a").join(rb, "b").select("ta", "tb")
-    pairs = pairs.unionByName(nodes.join(first, "fp").where("th <> rep").select(F.col("rep").alias("ta"), F.col("th").alias("tb")))
-    shared = _shared(prints)
-    pairs = pairs.unionByName(shared.where("th <> rep").select(F.col("rep").alias("ta"), F.col("th").alias("tb")))
-    pairs = checkpointed(pairs.select(F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb")).distinct())
-    sets = _sets(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), prints, pairs.select(F.explode(F.array("ta", "tb")).alias("th")), words)
+    shared = checkpointed(_shared(prints, radius))
+    first = shared.where((F.col("th") != F.col("rep")) & (F.col("fp").isNull() | _within("fp", "rep_fp", radius)))
+    pairs = checkpointed(first.select(F.least("th", "rep").alias("ta"), F.greatest("th", "rep").alias("tb")).distinct())
+    sets = _sets(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), prints, shared.select("th"), words)
     roots = components(_verified(pairs, sets, similarity))
-    rest = checkpointed(_unmet(shared, roots).join(pairs, ["ta", "tb"], "left_anti"))
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_verified(rest, sets, similarity)))
-    named = prints.groupBy("th").agg(F.min("id").alias("low")).join(roots, F.col("th") == F.col("node"), "left").select("th", "low", F.coalesce("root", "th").alias("root"))
-    tops = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_text = checkpointed(named.join(tops, "root").select(F.col("th").alias("t"), "component_id"))
-    return prints.join(by_text, F.col("th") == F.col("t")).select("id", "th", "component_id")
+    rest = checkpointed(_unmet(shared, roots, radius).join(pairs, ["ta", "tb"], "left_anti"))
+    if not rest.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_verified(rest, sets, similarity)))
+    by_text = _lowest(prints.groupBy(F.col("th").alias("key")).agg(F.min("id").alias("low")), roots)
+    return prints.join(by_text, F.col("th") == F.col("key")).select("id", "th", "component_id")
 
 
-def _shared(prints: DataFrame) -> DataFrame:
-    """(band, th, rep) of the band keys that several texts have; rep is the smallest text hash of the key."""
-    members = prints.select("th", F.explode("bands").alias("band")).distinct()
-    several = members.groupBy("band").agg(F.min("th").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return checkpointed(members.join(several, "band").select("band", "th", "rep"))
-
+def _shared(prints: DataFrame, radius: int) -> DataFrame:
+    """(band, th, rep, fp, rep_fp) of the keys that several texts have; rep is the key's first text.
 
-def _unmet(shared: DataFrame, roots: DataFrame, near: Column | None = None) -> DataFrame:
-    """(ta, tb), ta < tb, each once: texts (or fingerprints) x and y of one band key with different roots, where near
-    holds. In each key those of its most frequent root are paired with the others only, so that a large group costs its
-    size times the number outside it."""
-    of = shared.join(roots, F.col("th") == F.col("node"), "left").select("band", "th", F.coalesce("root", "th").alias("root"))
+    Keys are the band keys of minima, the fingerprint, and for one text of each fingerprint the one-wildcard segments;
+    only the last carry the fingerprints, which have to be within the radius.
+    """
+    nodes = prints.select("fp", "th").distinct()
+    members = prints.select("th", F.explode("bands").alias("band")).unionByName(nodes.select("th", F.xxhash64(F.lit("fingerprint"), "fp").alias("band"))).distinct()
+    several = members.groupBy("band").agg(F.min("th").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    none = F.lit(None).cast("long")
+    found = members.join(several, "band").select("band", "th", "rep", none.alias("fp"), none.alias("rep_fp"))
+    first = nodes.groupBy("fp").agg(F.min("th").alias("text"))
+    keyed = _keyed(first.select("fp"), radius).select("band", "fp", F.col("rep").alias("rep_fp"))
+    texts, reps = first.select("fp", F.col("text").alias("th")), first.select(F.col("fp").alias("rep_fp"), F.col("text").alias("rep"))
+    return found.unionByName(keyed.join(texts, "fp").join(reps, "rep_fp").select("band", "th", "rep", "fp", "rep_fp"))
+
+
+def _unmet(shared: DataFrame, roots: DataFrame, radius: int) -> DataFrame:
+    """(ta, tb), ta < tb, each once: texts (or fingerprints) of one key with different roots, within `radius` bits where
+    the key carries fingerprints. In each key those of its most frequent root are paired with the others only, so that a
+    large group costs its size times the number outside it."""
+    of = shared.join(roots, F.col("th") == F.col("node"), "left").select("band", "th", "fp", F.coalesce("root", "th").alias("root"))
     counts = of.groupBy("band", "root").agg(F.count("*").alias("n"))
     main = counts.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
     of = checkpointed(of.join(main, "band"))
-    out = of.where("root <> main").select("band", F.col("th").alias("x"), F.col("root").alias("rx"))
-    every = of.select(F.col("band").alias("bb"), F.col("th").alias("y"), F.col("root").alias("ry"), (F.col("root") == F.col("main")).alias("in_main"))
-    met = out.join(every, (F.col("band") == F.col("bb")) & (F.col("rx") != F.col("ry")) & (F.col("in_main") | (F.col("x") < F.col("y"))))
-    met = met if near is None else met.where(near)
+    out = of.where("root <> main").select("band", F.col("th").alias("x"), F.col("fp").alias("fx"), F.col("root").alias("rx"))
+    every = of.select(F.col("band").alias("bb"), F.col("th").alias("y"), F.col("fp").alias("fy"), F.col("root").alias("ry"), (F.col("root") == F.col("main")).alias("in_main"))
+    near = F.col("fx").isNull() | F.col("fy").isNull() | _within("fx", "fy", radius)
+    met = out.join(every, (F.col("band") == F.col("bb")) & (F.col("rx") != F.col("ry")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & near)
     return met.select(F.least("x", "y").alias("ta"), F.greatest("x", "y").alias("tb")).distinct()
 
 

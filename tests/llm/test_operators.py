@@ -201,9 +201,9 @@ def test_similar_groups_equal_all_pairs(spark):
 
 def test_unmet_pairs(spark):
     """Of a key's texts all pairs of different roots are named, also B and C beside a first text that is like neither."""
-    shared = spark.createDataFrame([(1, t, 1) for t in (1, 2, 3, 4, 5)] + [(2, 2, 2), (2, 9, 2)], "band long, th long, rep long")
+    shared = spark.createDataFrame([(1, t, 1) for t in (1, 2, 3, 4, 5)] + [(2, 2, 2), (2, 9, 2)], "band long, th long, rep long").selectExpr("*", "cast(null as long) AS fp")
     roots_ = spark.createDataFrame([(1, 1), (4, 1), (2, 2), (9, 2)], "node long, root long")
-    got = sorted((x.ta, x.tb) for x in simhash._unmet(shared, roots_).collect())
+    got = sorted((x.ta, x.tb) for x in simhash._unmet(shared, roots_, 4).collect())
     assert got == [(1, 2), (1, 3), (1, 5), (2, 3), (2, 4), (2, 5), (3, 4), (3, 5), (4, 5)]
 
 
