@@ -13,7 +13,7 @@ from cuelane.plans.session import shared_folder as shared_folder
 from cuelane.plans.session import ship as ship
 
 #: Bytes of text that one step inside a Python worker holds at once.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

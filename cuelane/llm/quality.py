@@ -62,8 +62,11 @@ def damped(found: np.ndarray) -> np.ndarray:
 
 def fit(grades: np.ndarray, cells: list[np.ndarray], levels: int, least: int = LEAST_DOCS, passes: int = PASSES, lasso: float = LASSO, rate: float = RATE) -> pd.DataFrame:
     """Weights and thresholds from the features of each rated text: mini-batches, per-weight step sizes, soft thresholding; no weight is positive. Thresholds come as features -1, -2, ..."""
-    names, df = np.unique(np.concatenate(cells), return_counts=True)
-    names = names[df >= least]
+    flat = np.concatenate(cells)
+    flat.sort()
+    first = np.flatnonzero(np.concatenate((flat[:1] == flat[:1], flat[1:] != flat[:-1])))
+    names = flat[first[np.diff(np.append(first, len(flat))) >= least]]
+    del flat, first
     n, m = len(grades), len(names)
     known = []
     for x in cells:  # features that are frequent enough, by number
@@ -127,7 +130,7 @@ def learn(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col:
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(1))
-            for lo, hi in byte_slices(texts, 4 << 20):
+            for lo, hi in byte_slices(texts, 2 << 20):
                 hashes, use, off = _features(texts.slice(lo, hi - lo))
                 doc, entry = _distinct(use, off, len(hashes))
                 kinds = np.bincount(doc, minlength=hi - lo)
@@ -136,8 +139,7 @@ def learn(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col:
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.iloc[np.lexsort((rows["features"].map(hash_bytes), rows["grade"]))]  # the same order whatever the partitions
-        cells = [np.frombuffer(x, np.int64) for x in rows["features"]]
-        return fit(rows["grade"].to_numpy(np.int64), cells, levels)
+        return fit(rows["grade"].to_numpy(np.int64), [np.frombuffer(x, np.int64) for x in rows["features"]], levels)
 
     model = sample.mapInArrow(tokens, "one int, grade int, features binary").groupBy("one").applyInPandas(train, MODEL_SCHEMA).toPandas()
     return model if (model["feature"] < 0).any() else None
@@ -178,7 +180,7 @@ def score(docs: DataFrame, model: pd.DataFrame | None, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(batch.schema.get_field_index("__text")))
-            for lo, hi in byte_slices(texts, 6 << 20):
+            for lo, hi in byte_slices(texts, 3 << 20):
                 hashes, use, off = _features(texts.slice(lo, hi - lo))
                 doc, entry = _distinct(use, off, len(hashes))
                 total = np.bincount(doc, weights=weigh(hashes).sum(axis=1)[entry], minlength=hi - lo) + weigh(_share(np.bincount(doc, minlength=hi - lo), np.diff(off)))

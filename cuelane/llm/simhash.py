@@ -22,7 +22,7 @@ from cuelane.llm.common import byte_slices, checkpointed, ship, texts_of
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Hashes turned into bits at once.
-STEP = 1 << 18
+STEP = 1 << 16
 #: Keys of minima per text and minima in a key: a pair of similarity 0.8 shares no key once in 2,800 pairs, 0.9 once in 10^7.
 BANDS, ROWS = 20, 5
 #: Odd multipliers that stand for independent orders of the runs of words.
@@ -60,9 +60,9 @@ def majority(hashes: np.ndarray, weights: np.ndarray | None, offsets: np.ndarray
             ones[own[cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int32)
             total[own[cut]] += np.diff(np.append(cut, len(own)))
         else:
-            w = weights[lo : lo + STEP]
+            w = weights[lo : lo + STEP].astype(np.int32)
             ones[own[cut]] += np.add.reduceat(bits * w[:, None], cut, axis=0, dtype=np.int64)
-            total[own[cut]] += np.add.reduceat(w, cut)
+            total[own[cut]] += np.add.reduceat(w, cut, dtype=np.int64)
     return np.packbits(2 * ones > total[:, None], axis=1).reshape(-1).view(">u8").astype(np.uint64)
 
 
@@ -123,7 +123,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(1))
-            for lo, hi in byte_slices(texts, 4 << 20):
+            for lo, hi in byte_slices(texts, 2 << 20):
                 fp = fingerprint_texts(texts.slice(lo, hi - lo).cast(pa.binary()).to_pylist(), shingle, features)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
@@ -257,7 +257,7 @@ def _prints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(2))
-            for lo, hi in byte_slices(texts, 4 << 20):
+            for lo, hi in byte_slices(texts, 2 << 20):
                 own = texts.slice(lo, hi - lo).cast(pa.binary()).to_pylist()
                 fp, keys = fingerprint_texts(own, words, "words"), band_keys(own, words)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1)))
@@ -335,7 +335,7 @@ def _sets(texts: DataFrame, prints: DataFrame, need: DataFrame, words: int) -> D
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column(1)
-            for lo, hi in byte_slices(own, 4 << 20):
+            for lo, hi in byte_slices(own, 2 << 20):
                 cells = [np.unique(np.array(shingle_hashes(words_of(t), words), np.uint64).astype(np.uint32)).tobytes() for t in own.slice(lo, hi - lo).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(cells, pa.binary())], names=["th", "s"])
 
