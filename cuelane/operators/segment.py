@@ -70,7 +70,7 @@ def snap_change_points(words: DataFrame, points: DataFrame, max_shift: int = 250
     bounds = words.select("media_id", (F.row_number().over(order()) - 1).alias("idx"), ((F.lag("end_ms").over(order()) + F.col("start_ms")) / 2).alias("t")).where("idx > 0")
     both = bounds.select("media_id", "t", "idx", F.lit(0).alias("kind")).unionByName(points.select("media_id", F.col("t_ms").cast("double").alias("t"), F.lit(None).cast("int").alias("idx"), F.lit(1).alias("kind")))
     before = W.partitionBy("media_id").orderBy("t", "kind", "idx").rowsBetween(W.unboundedPreceding, 0)
-    after = W.partitionBy("media_id").orderBy("t", "kind", "idx").rowsBetween(0, W.unboundedFollowing)
+    after = W.partitionBy("media_id").orderBy(F.desc("t"), F.desc("kind"), F.desc("idx")).rowsBetween(W.unboundedPreceding, 0)  # the same order from the end: a growing frame, where a shrinking one would be read anew for each row
     left = F.when(F.col("kind") == 0, F.struct("t", (-F.col("idx")).alias("neg")))  # of boundaries at one time the first counts
     right = F.when(F.col("kind") == 0, F.struct("t", "idx"))
     near = both.select("media_id", "kind", "t", F.max(left).over(before).alias("p"), F.min(right).over(after).alias("n")).where("kind = 1")

@@ -114,13 +114,13 @@ def a5(spark, d):
     return tl.timing_stats(_onsets(spark, d))
 
 
-@query("q11_tail_trim", oracle("clips", """c AS (SELECT media_id, attempt, actual_ms // 5 AS n, greatest(1, actual_ms // 5 - l_suppkey % 90) AS loud, l_partkey % 40 AS fade, actual_ms, end_ms - start_ms AS window_ms FROM clips WHERE actual_ms > 100),
+@query("q11_tail_trim", oracle("clips", """c AS (SELECT media_id, attempt, actual_ms // 5 AS n, greatest(1, actual_ms // 5 - l_suppkey % 90) AS loud, l_partkey % 40 AS fade, actual_ms, end_ms - start_ms AS window_ms FROM clips),
 th AS (SELECT unnest([-50, -55, -60, -65, -70, -75, -80]) AS t),
 v AS (SELECT media_id, attempt, actual_ms, window_ms, t, (least(n, loud + CASE WHEN fade < 20 THEN (-50 - t) // 5 * 3 ELSE 0 END) * 5 + 100) AS new_ms FROM c, th),
 f AS (SELECT *, new_ms >= actual_ms OR new_ms >= 0.7 * window_ms AS fine FROM v)
 SELECT media_id, attempt::VARCHAR AS stem, coalesce(max(t) FILTER (fine), -80) AS threshold_db, (CASE WHEN max(t) FILTER (fine) IS NOT NULL THEN arg_max(new_ms, t) FILTER (fine) ELSE arg_min(new_ms, t) END)::BIGINT AS new_ms FROM f GROUP BY media_id, attempt"""))
 def q11(spark, d):
-    c = fx.clips(spark, d).where("actual_ms > 100").select("media_id", F.col("attempt").cast("string").alias("stem"), "actual_ms", (F.col("end_ms") - F.col("start_ms")).alias("window_ms"), F.expr("actual_ms div 5").alias("n"), F.expr("greatest(1, actual_ms div 5 - l_suppkey % 90)").alias("loud"), (F.col("l_partkey") % 40).alias("fade"))
+    c = fx.clips(spark, d).select("media_id", F.col("attempt").cast("string").alias("stem"), "actual_ms", (F.col("end_ms") - F.col("start_ms")).alias("window_ms"), F.expr("actual_ms div 5").alias("n"), F.expr("greatest(1, actual_ms div 5 - l_suppkey % 90)").alias("loud"), (F.col("l_partkey") % 40).alias("fade"))
     ch = c.select("media_id", "stem", "loud", "fade", F.explode(F.expr("sequence(0L, n - 1)")).alias("idx"))
     db = F.when(F.col("idx") < F.col("loud"), F.lit(-20)).when(F.col("fade") < 20, -50 - 5 * F.ceil((F.col("idx") - F.col("loud") + 1) / 3)).otherwise(-90)
     return tl.tail_trim(ch.withColumn("db", db), c.drop("n", "loud", "fade"))

@@ -108,13 +108,13 @@ def b6(spark, d):
     return bt.block_translation_join(s, a).select("media_id", "item", "line")
 
 
-@query("j10_context_entries", oracle("segments srt", _IT + """, bw AS (SELECT media_id, batch_id, min(start_ms) AS b0, max(end_ms) AS b1 FROM it GROUP BY ALL), sr AS (SELECT media_id, entry_id, start_ms, end_ms FROM srt WHERE entry_id % 9 < 2),
+@query("j10_context_entries", oracle("segments srt", _IT + """, bw AS (SELECT media_id, batch_id, min(start_ms) AS b0, max(end_ms) AS b1 FROM it GROUP BY ALL), sr AS (SELECT media_id, entry_id, start_ms, end_ms FROM srt),
 c AS (SELECT bw.media_id, batch_id, entry_id, greatest(b0 - end_ms, start_ms - b1) AS need FROM bw JOIN sr USING (media_id)),
 r AS (SELECT *, CASE WHEN need < 6000 THEN 1 WHEN need < 10800 THEN 2 WHEN need < 19440 THEN 3 WHEN need < 34992 THEN 4 ELSE 5 END AS rung FROM c),
 l AS (SELECT *, min(rung) OVER (PARTITION BY media_id, batch_id) AS low FROM r) SELECT media_id, batch_id, entry_id FROM l WHERE rung = low"""))
 def j10(spark, d):
     b = _items(spark, d).groupBy("media_id", "batch_id").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
-    return bt.context_entries(b, fx.srt(spark, d).where("entry_id % 9 < 2"))
+    return bt.context_entries(b, fx.srt(spark, d))
 
 
 @query("j14_choose_alignment", oracle("segments", _IT + """, x AS (SELECT *, CASE WHEN (batch_id + item) % (2 + length(media_id) % 4) = 0 THEN text ELSE '' END AS by_time, 'm:' || text AS by_model, 's:' || text AS by_share, length(media_id) % 5 = 0 AS model_ok FROM it),

@@ -125,9 +125,9 @@ def q14(spark, d):
     return m.groupBy("media_id", "block").agg(F.sum("x").alias("total"), F.sum(F.col("x") * (F.col("off") + 1)).alias("moment"))
 
 
-@query("q15_loop_background", oracle("pcm", """l AS (SELECT DISTINCT media_id, 100 + vec_id % 50 AS n FROM pcm WHERE vec_id % 5 = 0), o AS (SELECT media_id, unnest(range(n)) AS pos FROM l) SELECT o.media_id, o.pos, round(sample * 0.4::DOUBLE, 6) AS x FROM o JOIN pcm p ON p.media_id = o.media_id AND p.pos = o.pos % 64"""))
+@query("q15_loop_background", oracle("pcm", """l AS (SELECT DISTINCT media_id, 100 + vec_id % 50 AS n FROM pcm), o AS (SELECT media_id, unnest(range(n)) AS pos FROM l) SELECT o.media_id, o.pos, round(sample * 0.4::DOUBLE, 6) AS x FROM o JOIN pcm p ON p.media_id = o.media_id AND p.pos = o.pos % 64"""))
 def q15(spark, d):
-    p = fx.pcm(spark, d).where("vec_id % 5 = 0")
+    p = fx.pcm(spark, d)
     return sn.loop_background(p.select("media_id", "pos", F.col("sample").cast("double").alias("x")), p.select("media_id", (F.lit(100) + F.col("vec_id") % 50).alias("n")).distinct(), 40).withColumn("x", F.round("x", 6))
 
 

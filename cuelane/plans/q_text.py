@@ -113,9 +113,9 @@ def t1(spark, d):
     return fx.table(spark, d, "documents").where("lang = 'en'").select("doc_id", _en(F.col("text")).alias("text"))
 
 
-@query("t4_apply_word_rules", "SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\\bthe\\b', 'of', 'g'), '(?i)\\bof\\b', 'X$1', 'g') AS text FROM documents WHERE lang = 'en'")
+@query("t4_apply_word_rules", "SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\\bthe\\b', 'of', 'g'), '(?i)\\bof\\b', 'X$1', 'g') AS text FROM documents")
 def t4(spark, d):
-    return fx.table(spark, d, "documents").where("lang = 'en'").select("doc_id", nm.apply_word_rules(F.col("text"), [("the", "of"), ("of", "X$1")]).alias("text"))
+    return fx.table(spark, d, "documents").select("doc_id", nm.apply_word_rules(F.col("text"), [("the", "of"), ("of", "X$1")]).alias("text"))
 
 
 @query("t5_apply_force_rules", "SELECT doc_id, replace(replace(text, 'th', ' TH  '), 'er', 'R ') AS text FROM documents")
