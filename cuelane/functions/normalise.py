@@ -50,23 +50,31 @@ def normalise_en(text: Column, substrings: list[tuple[str, str]], words: list[tu
     return F.concat(F.lit("... "), F.lower(F.trim(F.regexp_replace(t, "\\s+", " "))))
 
 
-def clean_chars(text: Column) -> Column:
-    """Symbols *"':()/#@[]{} become spaces, hyphens go, single spaces."""
+#: Doubled number words that keep a space where other hyphens go.
+DOUBLED = {"egy-egy": "egy egy", "két-két": "két két", "három-három": "három három", "négy-négy": "négy négy", "öt-öt": "öt öt"}
+
+
+def clean_chars(text: Column, final: list[tuple[str, str]] = ()) -> Column:
+    """Symbols *"':()/#@[]{} (fixed values) become spaces, hyphens go but for doubled number words, single spaces; at the end plain replacements in order."""
     t = F.regexp_replace(text, "[*\"':()/#@\\[\\]{}]", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, "-", ""), "\\s+", " "))
+    for pair, apart in DOUBLED.items():
+        t = F.regexp_replace(t, f"(?U)\\b{pair}\\b", apart)
+    t = F.trim(F.regexp_replace(F.regexp_replace(t, "-", ""), "\\s+", " "))
+    for old, new in final:
+        t = F.replace(t, F.lit(old), F.lit(new))
+    return t
 
 
-#: Endings that a hyphen joins to a word, longest first where one holds another.
-SUFFIXES = ["nak", "nek", "val", "vel", "ban", "ben", "hoz", "hez", "höz", "ból", "ből", "ról", "ről", "tól", "től", "ba", "be", "ra", "re", "ig", "ért", "nál", "nél", "on", "en", "ön", "at", "et", "ot", "öt", "t", "k"]
+#: Endings of words.
+SUFFIXES = ["t", "n", "ban", "ben", "nak", "nek", "val", "vel", "hoz", "hez", "höz", "ról", "ről", "tól", "től", "ba", "be", "ra", "re", "ig", "ként", "kkal", "kkel", "unk", "ünk", "etek", "tok", "jük", "ások", "ések", "áson", "ésen", "ásban", "ésben", "ással", "éssel"]
 
 
 def strip_suffix(word: Column) -> Column:
-    """The word without '-suffix' of a known suffix, else without its longest listed ending."""
-    hyphen = F.regexp_extract(word, "^(.+)-(" + "|".join(SUFFIXES) + ")$", 1)
-    out = word
-    for s in sorted(SUFFIXES, key=len):
-        out = F.when((F.length(word) > len(s) + 1) & F.endswith(word, F.lit(s)), F.substring(word, 1, F.length(word) - len(s))).otherwise(out)
-    return F.when(hyphen != "", hyphen).otherwise(out)
+    """The word without '-suffix' of a known suffix, else without its longest listed ending, in any case of letters; something is always left."""
+    hyphen = F.regexp_extract(F.trim(word), "(?iu)^(.+)-(" + "|".join(SUFFIXES) + ")$", 1)
+    endings = [(F.length(word) > len(s)) & F.endswith(F.lower(word), F.lit(s)) for s in SUFFIXES]
+    longest = F.greatest(F.lit(0), *[F.when(e, len(s)).otherwise(0) for e, s in zip(endings, SUFFIXES, strict=True)])
+    return F.when(hyphen != "", hyphen).otherwise(F.substring(word, F.lit(1), F.length(word) - longest))
 
 
 #: Names of letters.

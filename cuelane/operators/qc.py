@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from cuelane.functions.normalise import numbers_to_words
+
 
 def text_for_comparison(text: Column) -> Column:
     """Lower case, 'ly' as 'j', without .,?!-, single spaces."""
@@ -19,11 +21,17 @@ def text_tolerance(text: Column, factor: float = 1.0, least: int = 2) -> Column:
     return F.greatest(F.ceil(words * F.lit(factor)), F.lit(least)).cast("int")
 
 
-def text_check(attempts: DataFrame, factor: float = 1.0, least: int = 2) -> DataFrame:
-    """Adds distance (-1 if above the tolerance), tolerance and text_ok. The distance is only counted up to the tolerance."""
+def text_check(attempts: DataFrame, factor: float = 1.0, least: int = 2, lang: str | None = None) -> DataFrame:
+    """Adds distance (-1 if above the tolerance), tolerance and text_ok. The distance is only counted up to the tolerance.
+
+    With lang (en, hu) whole numbers in the text read back are words before it is compared; a null one is empty.
+    """
     a = attempts.withColumn("tolerance", text_tolerance(F.col("gen_text"), factor, least))
-    full = F.levenshtein(text_for_comparison(F.col("gen_text")), text_for_comparison(F.coalesce("transcribed", F.lit(""))))
-    return a.withColumn("distance", full).withColumn("text_ok", (F.col("distance") <= F.col("tolerance")) | (F.col("distance") <= 1)).withColumn("distance", F.when(F.col("text_ok"), F.col("distance")).otherwise(-1))
+    heard = F.coalesce("transcribed", F.lit(""))
+    if lang is not None:
+        a, heard = numbers_to_words(a, lang, "transcribed"), F.coalesce("spoken", F.lit(""))
+    distance = F.call_function("levenshtein", text_for_comparison(F.col("gen_text")), text_for_comparison(heard), F.greatest(F.col("tolerance"), F.lit(1)))
+    return a.withColumn("distance", distance).withColumn("text_ok", F.col("distance") >= 0).drop(*["spoken"] if lang is not None else [])
 
 
 def pitch_ok(tolerance: float = 20.0) -> Column:

@@ -45,7 +45,7 @@ def q3(spark, d):
 
 @query("q4_text_check", oracle("attempts", _CHK + " SELECT stem, attempt, CASE WHEN text_ok THEN raw_distance ELSE -1 END AS distance, tolerance, text_ok FROM chk2"))
 def q4(spark, d):
-    return qc.text_check(fx.attempts(spark, d)).select("stem", "attempt", "distance", "tolerance", "text_ok")
+    return qc.text_check(fx.attempts(spark, d), lang="en").select("stem", "attempt", "distance", "tolerance", "text_ok")
 
 
 @query("q5_pitch_check", oracle("attempts", _CHK + " SELECT stem, attempt, pitch_ok FROM chk2"))

@@ -123,14 +123,25 @@ def t5(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", nm.apply_force_rules(F.col("text"), [("th", "TH", 1, 2), ("er", "R", 0, 1)]).alias("text"))
 
 
-@query("t9_clean_chars", "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '[*\"'':()/#@\\[\\]{}]', ' ', 'g'), '-', '', 'g'), '\\s+', ' ', 'g')) AS text FROM pages")
+_T9 = "replace(regexp_replace('egy-egy x-y ' || html || ' két-két', '[*\"'':()/#@\\[\\]{}]', ' ', 'g'), '\t', ' ')"
+for _pair, _apart in nm.DOUBLED.items():
+    _T9 = f"regexp_replace({_T9}, '\\b{_pair}\\b', '{_apart}', 'g')"
+
+
+@query("t9_clean_chars", f"SELECT page_id, replace(trim(regexp_replace(regexp_replace({_T9}, '-', '', 'g'), '\\s+', ' ', 'g')), 'the', 'THE') AS text FROM pages")
 def t9(spark, d):
-    return fx.table(spark, d, "pages").select("page_id", nm.clean_chars(F.col("html")).alias("text"))
+    html = F.concat(F.lit("egy-egy x-y "), "html", F.lit(" két-két"))
+    return fx.table(spark, d, "pages").select("page_id", nm.clean_chars(html, [("the", "THE")]).alias("text"))
+
+
+_T11 = " ".join(f"WHEN length(word) > {len(s)} AND ends_with(lower(word), '{s}') THEN left(word, length(word) - {len(s)})" for s in sorted(nm.SUFFIXES, key=len, reverse=True))
 
 
-@query("t11_strip_suffix")
+@query("t11_strip_suffix", oracle("words", f"d AS (SELECT DISTINCT word FROM words UNION SELECT DISTINCT word || '-BAN' FROM words), h AS (SELECT word, regexp_extract(trim(word), '(?i)^(.+)-({'|'.join(nm.SUFFIXES)})$', 1) AS hy FROM d) SELECT word, CASE WHEN hy <> '' THEN hy {_T11} ELSE word END AS stem FROM h"))
 def t11(spark, d):
-    return fx.words(spark, d).select("word").distinct().select("word", nm.strip_suffix(F.col("word")).alias("stem"))
+    w = fx.words(spark, d).select("word")
+    w = w.unionByName(w.select(F.concat("word", F.lit("-BAN")).alias("word"))).distinct()
+    return w.select("word", nm.strip_suffix(F.col("word")).alias("stem"))
 
 
 @query("t13_spell_letters", "WITH l AS (SELECT DISTINCT p_brand FROM part), c AS (SELECT p_brand, unnest(string_split(lower(p_brand), '')) AS c, unnest(range(length(p_brand))) AS i FROM l) SELECT p_brand, string_agg(CASE c " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in nm.LETTERS.items()) + " ELSE c END, ' ' ORDER BY i) AS spelt FROM c GROUP BY 1")

@@ -157,6 +157,29 @@ def test_align_helpers():
         assert len(parts) == len(segs) and "".join("".join(parts).split()) == "".join(words)
     assert align.lay_by_time([(0, 1000)], [(0, 1000, "all of it")]) == ["all of it"] and align.share_by_durations([], ["x"]) == []
     assert align.lay_by_time([(0, 500), (500, 1000)], []) == ["", ""]
+    assert align.best_place(10, [([7, 13], 5), ([10], 5)]) == 13 and align.best_place(10, [([2], 5), ([9, 11], 5)]) == 11 and align.best_place(10, [([2], 5)]) is None
+    assert align.blank_place("abc def", 1) == 3 and align.blank_place("abc def", 5) == 4 and align.blank_place("abcdef", 3) == 6
+    word = "x" * 52
+    assert align.cut_text_at_ratio(word, 0.4) == (f"{'x' * 51} x", "")  # no blank: all but one letter, which is too short to be left
+    assert align.cut_text_at_ratio("She said a, then left the room", 0.3) == ("She said", "a then left the room")
+    assert align.share_by_durations([1, 1, 1], ["abc"]) == ["a", "b", "c"]
+    assert align.share_by_durations([100, 100], ["First part here.", "Second part here."]) == ["First part here.", "Second part here."]
+
+
+def test_suffixes_and_characters(spark):
+    from pyspark.sql import functions as F
+
+    from cuelane.functions import normalise as nm
+    from cuelane.operators import qc
+
+    words = {"házként": "ház", "HÁZBAN": "HÁZ", "Google-ról": "Google", "Google-RÓL": "Google", "ban": "ba", "n": "n", "alma": "alma", "x-y": "x-y", "olvasásban": "olvas"}
+    got = {r.w: r.s for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", nm.strip_suffix(F.col("w")).alias("s")).collect()}
+    assert got == words
+    texts = {"egy-egy al-ma": "egy egy alma", "öt-öt": "öt öt", "tíz-egy-egyes": "tízegyegyes", "(a) 'b'  #c": "a b c"}
+    got = {r.w: r.s for r in spark.createDataFrame([(w,) for w in texts], "w string").select("w", nm.clean_chars(F.col("w")).alias("s")).collect()}
+    assert got == texts
+    said = spark.createDataFrame([("twelve men", "12 men"), ("one two three", None), ("aaa", "bbbbbbb")], "gen_text string, transcribed string")
+    assert [(r.distance, r.text_ok) for r in qc.text_check(said, lang="en").orderBy("gen_text").collect()] == [(-1, False), (-1, False), (0, True)]
 
 
 def test_hungarian():
