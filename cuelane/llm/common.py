@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,12 +12,30 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from cuelane.plans.session import shared_folder as shared_folder
-from cuelane.plans.session import ship as ship
+from cuelane.plans.session import ship as _ship
 
 #: Bytes of text that one step inside a Python worker holds at once.
 SLICE_BYTES = 4 << 20
 
 
+#: Bytes of a batch that Spark hands to a worker, and what it is unless set.
+BATCH_BYTES, _UNSET = 16 << 20, ("67108864b", "64m", "64MB", None)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, and makes batches for workers smaller where their bytes are not set."""
+    _ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in _UNSET:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
+def give_back() -> None:
+    """Returns freed memory of this worker to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,6 +62,7 @@ def byte_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
         held += int(n)
     if lo < len(sizes):
         yield lo, len(sizes)
+    give_back()
 
 
 def list_offsets(lists: pa.Array) -> np.ndarray:

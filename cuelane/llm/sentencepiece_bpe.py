@@ -24,7 +24,7 @@ from cuelane.llm.common import SLICE_BYTES, byte_slices, list_offsets, ragged_ta
 SPACE = "▁"
 _MODELS: dict[str, "PieceModel"] = {}
 #: Characters encoded in one step, and pieces whose ids a worker remembers between slices.
-STEP_CHARS, SEEN_PIECES = 400_000, 300_000
+STEP_CHARS, SEEN_PIECES = 200_000, 100_000
 
 
 class PieceModel:

@@ -194,9 +194,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def _keyed(fps: DataFrame, radius: int) -> DataFrame:
-    """(band, th, rep, fp): the fingerprints under each of their keys that several have; th is fp, rep the smallest of the key."""
+    """(band, th, rep, fp): the fingerprints under their keys; th is fp, rep the smallest of the key. Left out are those
+    that have nothing to be compared with: alone under a key, or one of two that are further apart than `radius`."""
     under = Window.partitionBy("p", "v")
     index = variants(fps, radius).withColumns({"rep": F.min("fp").over(under), "n": F.count("*").over(under)}).where("n > 1")
+    index = index.withColumn("far", F.max(~_within("fp", "rep", radius)).over(under))
+    index = index.where(F.col("far") & (F.col("n") > 2) | (F.col("fp") != F.col("rep")) & _within("fp", "rep", radius))
     return index.select(F.xxhash64("p", "v").alias("band"), F.col("fp").alias("th"), "rep", "fp")
 
 

@@ -66,7 +66,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A null text counts as empty: 0 bytes, 0 tokens. Repeated rows stay repeated, a null id stays null, an empty
     table gives an empty one, and other columns are not read. Only lengths leave the workers. Work is cut into
-    slices of `batch_bytes` of text, of batches that spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set) bounds; inside, each text of any length is cut at white space, where no token crosses.
+    slices of `batch_bytes` of text, of batches that spark.sql.execution.arrow.maxBytesPerBatch (16 MB unless set) bounds; inside, each text of any length is cut at white space, where no token crosses.
     """
     ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
