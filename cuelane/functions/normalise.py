@@ -93,6 +93,11 @@ _HU = "nulla egy kettő három négy öt hat hét nyolc kilenc".split()
 _HU_TENS = "_ tíz húsz harminc negyven ötven hatvan hetven nyolcvan kilencven".split()
 
 
+#: (size, name) from the largest down: short scale in English, long scale in Hungarian.
+SIZES_EN = [(1000 ** (i + 1), name) for i, name in enumerate("thousand million billion trillion quadrillion quintillion sextillion septillion octillion nonillion decillion".split())][::-1]
+SIZES_HU = [(1000, "ezer"), *[(10 ** (6 * i + 3 * half), prefix + end) for i, prefix in enumerate("mi bi tri kvadri kvinti".split(), 1) for half, end in enumerate(("llió", "lliárd"))]][::-1]
+
+
 def cardinal_en(n: int) -> str:
     if n < 20:
         return _EN[n]
@@ -100,7 +105,7 @@ def cardinal_en(n: int) -> str:
         return _EN_TENS[n // 10] + ("-" + _EN[n % 10] if n % 10 else "")
     if n < 1000:
         return _EN[n // 100] + " hundred" + (" and " + cardinal_en(n % 100) if n % 100 else "")
-    for size, name in ((10**9, "billion"), (10**6, "million"), (1000, "thousand")):
+    for size, name in SIZES_EN:
         if n >= size:
             rest = n % size
             return cardinal_en(n // size) + " " + name + ((" and " if rest < 100 else ", ") + cardinal_en(rest) if rest else "")
@@ -117,7 +122,7 @@ def cardinal_hu(n: int) -> str:
     if n < 1000:
         h, r = divmod(n, 100)
         return ("" if h == 1 else "két" if h == 2 else _HU[h]) + "száz" + (cardinal_hu(r) if r else "")
-    for size, name in ((10**9, "milliárd"), (10**6, "millió"), (1000, "ezer")):
+    for size, name in SIZES_HU:
         if n >= size:
             q, r = divmod(n, size)
             head = ("" if q == 1 and size == 1000 else "két" if q == 2 else cardinal_hu(q)) + name
@@ -126,8 +131,8 @@ def cardinal_hu(n: int) -> str:
 
 
 CARDINALS: dict[str, Callable[[int], str]] = {"en": cardinal_en, "hu": cardinal_hu}
-#: Larger numbers are left as digits.
-MOST = 10**12
+#: Numbers from here on have no name in the lists above and are left as digits.
+MOST = 10**36
 
 
 def numbers_to_words(rows: DataFrame, lang: str, col: str = "text") -> DataFrame:

@@ -15,16 +15,39 @@ from cuelane.operators.timeline import clip_name
 
 
 def apply_updates(segments: DataFrame, edits: DataFrame) -> DataFrame:
-    """Edits (op update) with reason (null: accepted) and changed: negative, empty or overlapping windows are rejected."""
+    """Edits (op update) with reason (null: accepted) and changed: edits of no segment, without times, with negative,
+    empty or overlapping windows are rejected. changed: an accepted edit gives other times, text or translation (a null
+    text or translation leaves it as it is), so that the clip of the old window is out of date."""
+    if "translated_text" not in edits.columns:
+        edits = edits.withColumn("translated_text", F.lit(None).cast("string"))
+    if "translated_text" not in segments.columns:
+        segments = segments.withColumn("translated_text", F.lit(None).cast("string"))
     w = W.partitionBy("media_id").orderBy("seg_idx")
-    s = segments.select("media_id", "seg_idx", F.col("start_ms").alias("s0"), F.col("end_ms").alias("s1"), F.lag("end_ms").over(w).alias("prev_end"), F.lead("start_ms").over(w).alias("next_start"))
-    e = edits.where("op = 'update'").withColumn("rn", F.row_number().over(W.partitionBy("media_id", "seg_idx").orderBy("start_ms", "end_ms", "text")))
+    s = segments.select("media_id", "seg_idx", F.col("start_ms").alias("s0"), F.col("end_ms").alias("s1"), F.lag("end_ms").over(w).alias("prev_end"), F.lead("start_ms").over(w).alias("next_start"), F.col("text").alias("x0"), F.col("translated_text").alias("y0"))
+    e = edits.where("op = 'update'").withColumn("rn", F.row_number().over(W.partitionBy("media_id", "seg_idx").orderBy("start_ms", "end_ms", "text", "translated_text")))
     j = e.join(s, ["media_id", "seg_idx"], "left")
     reason = (
-        F.when(F.col("s0").isNull(), "no such segment").when(F.col("rn") > 1, "duplicate").when(F.col("start_ms") < 0, "negative").when(F.col("start_ms") >= F.col("end_ms"), "empty")
+        F.when(F.col("s0").isNull(), "no such segment").when(F.col("rn") > 1, "duplicate").when(F.col("start_ms").isNull() | F.col("end_ms").isNull(), "no times").when(F.col("start_ms") < 0, "negative").when(F.col("start_ms") >= F.col("end_ms"), "empty")
         .when(F.col("start_ms") < F.col("prev_end"), "overlaps previous").when(F.col("end_ms") > F.col("next_start"), "overlaps next")
     )
-    return j.select("media_id", "seg_idx", "start_ms", "end_ms", reason.alias("reason"), (reason.isNull() & ((F.col("start_ms") != F.col("s0")) | (F.col("end_ms") != F.col("s1")))).alias("changed"))
+    other = [~F.col("start_ms").eqNullSafe(F.col("s0")), ~F.col("end_ms").eqNullSafe(F.col("s1"))]
+    other += [F.col(new).isNotNull() & ~F.col(new).eqNullSafe(F.col(old)) for new, old in (("text", "x0"), ("translated_text", "y0"))]
+    return j.select("media_id", "seg_idx", "start_ms", "end_ms", "text", "translated_text", reason.alias("reason"), (reason.isNull() & (other[0] | other[1] | other[2] | other[3])).alias("changed"))
+
+
+def updated_segments(segments: DataFrame, checked: DataFrame) -> DataFrame:
+    """Segments with the accepted updates of apply_updates. Words are dropped from all segments of an edited recording
+    (null, where segments have words), as they may not fit any more."""
+    names = ["start_ms", "end_ms", "text", "translated_text"]
+    new = checked.where("reason IS NULL").select("media_id", "seg_idx", *[F.col(c).alias(f"__{c}") for c in names])
+    out = segments.join(new, ["media_id", "seg_idx"], "left")
+    for c in names:
+        if c in segments.columns:
+            out = out.withColumn(c, F.coalesce(f"__{c}", c))
+    if "words" in segments.columns:
+        edited = new.select("media_id", F.lit(True).alias("__edited")).distinct()
+        out = out.join(edited, "media_id", "left").withColumn("words", F.when(F.col("__edited").isNull(), F.col("words")))
+    return out.select(*segments.columns)
 
 
 def apply_inserts(segments: DataFrame, edits: DataFrame) -> DataFrame:
@@ -35,7 +58,7 @@ def apply_inserts(segments: DataFrame, edits: DataFrame) -> DataFrame:
     hit = overlap_join(e, s, "a", "b", "s0", "s1").withColumn("rule", rule).groupBy("media_id", "seg_idx", "a", "b").agg(F.min("rule").alias("rule"))
     name = F.element_at(F.array(F.lit("inside"), F.lit("covers"), F.lit("start overlaps"), F.lit("end overlaps")), F.col("rule"))
     out = e.join(hit, ["media_id", "seg_idx", "a", "b"], "left")
-    return out.select("media_id", "seg_idx", F.col("a").alias("start_ms"), F.col("b").alias("end_ms"), F.when(F.col("b") <= F.col("a"), "empty").when(F.col("rule").isNotNull(), name).alias("reason"))
+    return out.select("media_id", "seg_idx", F.col("a").alias("start_ms"), F.col("b").alias("end_ms"), F.when(F.col("a").isNull() | F.col("b").isNull(), "no times").when(F.col("a") < 0, "negative").when(F.col("b") <= F.col("a"), "empty").when(F.col("rule").isNotNull(), name).alias("reason"))
 
 
 def inserted_segments(segments: DataFrame, checked: DataFrame, edits: DataFrame) -> DataFrame:
@@ -45,6 +68,13 @@ def inserted_segments(segments: DataFrame, checked: DataFrame, edits: DataFrame)
     return both.withColumn("seg_idx", F.row_number().over(W.partitionBy("media_id").orderBy("start_ms", "end_ms")) - 1)
 
 
+def check_deletes(segments: DataFrame, edits: DataFrame) -> DataFrame:
+    """Edits (op delete) with reason (null: accepted): an index that no segment of the recording has is rejected, and a repeated delete."""
+    e = edits.where("op = 'delete'").select("media_id", "seg_idx").withColumn("rn", F.row_number().over(W.partitionBy("media_id", "seg_idx").orderBy(F.lit(0))))
+    known = segments.select("media_id", "seg_idx", F.lit(True).alias("known"))
+    return e.join(known, ["media_id", "seg_idx"], "left").select("media_id", "seg_idx", F.when(F.col("known").isNull(), "no such segment").when(F.col("rn") > 1, "duplicate").alias("reason"))
+
+
 def apply_deletes(segments: DataFrame, edits: DataFrame) -> DataFrame:
     """Segments without the deleted indices, numbered anew (old_idx keeps the index before)."""
     gone = edits.where("op = 'delete'").select("media_id", "seg_idx").distinct()

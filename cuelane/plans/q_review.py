@@ -126,7 +126,7 @@ def j14(spark, d):
     return bt.choose_alignment(x).select("media_id", "batch_id", "item", "text")
 
 
-@query("j15_parse_alignment_answer", oracle("segments", _IT + " SELECT media_id, batch_id, item, trim(text) AS text FROM it WHERE (batch_id + length(media_id)) % 7 <> 3 AND (media_id, batch_id) NOT IN (SELECT (media_id, batch_id) FROM it WHERE trim(text) = '')"))
+@query("j15_parse_alignment_answer", oracle("segments", _IT + " SELECT media_id, batch_id, item, trim(text) AS text FROM it WHERE (batch_id + length(media_id)) % 7 <> 3 QUALIFY NOT bool_or(trim(text) = '') OVER (PARTITION BY media_id, batch_id)"))
 def j15(spark, d):
     i = _items(spark, d).withColumn("k", F.when(((F.col("batch_id") + F.length("media_id")) % 7 == 3) & (F.col("item") == 1), 99).otherwise(F.col("item")))
     a = i.groupBy("media_id", "batch_id").agg(F.count("*").alias("n"), F.concat(F.lit("Here it is: "), F.to_json(F.array_sort(F.collect_list(F.struct(F.col("k").alias("index"), "text")))), F.lit(" done")).alias("answer"))
@@ -134,10 +134,15 @@ def j15(spark, d):
 
 
 @query("b7_apply_updates", oracle("edits", """s AS (SELECT media_id, seg_idx, start_ms AS s0, end_ms AS s1, lag(end_ms) OVER w AS pe, lead(start_ms) OVER w AS ns FROM segments WINDOW w AS (PARTITION BY media_id ORDER BY seg_idx)),
-r AS (SELECT e.media_id, e.seg_idx, e.start_ms, e.end_ms, s0, s1, CASE WHEN e.start_ms < 0 THEN 'negative' WHEN e.start_ms >= e.end_ms THEN 'empty' WHEN e.start_ms < pe THEN 'overlaps previous' WHEN e.end_ms > ns THEN 'overlaps next' END AS reason FROM edits e JOIN s USING (media_id, seg_idx) WHERE op = 'update')
-SELECT media_id, seg_idx, start_ms, end_ms, reason, reason IS NULL AND (start_ms <> s0 OR end_ms <> s1) AS changed FROM r"""))
+r AS (SELECT e.media_id, e.seg_idx, e.start_ms, e.end_ms, s0, s1, e.text AS x1, CASE WHEN seg_idx % 2 = 0 THEN 'edit: ' || seg_idx END AS y1, CASE WHEN e.start_ms < 0 THEN 'negative' WHEN e.start_ms >= e.end_ms THEN 'empty' WHEN e.start_ms < pe THEN 'overlaps previous' WHEN e.end_ms > ns THEN 'overlaps next' END AS reason FROM edits e JOIN s USING (media_id, seg_idx) WHERE op = 'update'),
+tr AS (SELECT * REPLACE (CASE WHEN translated_text IS NOT NULL THEN 't: ' || text END AS translated_text) FROM segments) SELECT s.media_id, s.seg_idx, CASE WHEN ok THEN r.start_ms ELSE s.start_ms END AS start_ms, CASE WHEN ok THEN r.end_ms ELSE s.end_ms END AS end_ms, CASE WHEN ok THEN coalesce(x1, s.text) ELSE s.text END AS text, CASE WHEN ok THEN coalesce(y1, s.translated_text) ELSE s.translated_text END AS translated_text, reason,
+ coalesce(ok AND (r.start_ms <> s.start_ms OR r.end_ms <> s.end_ms OR coalesce(x1 <> s.text, x1 IS NOT NULL) OR coalesce(y1 <> s.translated_text, y1 IS NOT NULL)), false) AS changed
+FROM tr s LEFT JOIN (SELECT *, reason IS NULL AS ok FROM r) r USING (media_id, seg_idx)"""))
 def b7(spark, d):
-    return rv.apply_updates(fx.segments(spark, d), fx.edits(spark, d))
+    s = fx.segments(spark, d).select("media_id", "seg_idx", "start_ms", "end_ms", "text", F.when(F.col("translated_text").isNotNull(), F.concat(F.lit("t: "), "text")).alias("translated_text"))
+    checked = rv.apply_updates(s, fx.edits(spark, d).withColumn("translated_text", F.when(F.col("seg_idx") % 2 == 0, F.concat(F.lit("edit: "), "seg_idx"))))
+    out = rv.updated_segments(s, checked).join(checked.select("media_id", "seg_idx", "reason", "changed"), ["media_id", "seg_idx"], "left")
+    return out.withColumn("changed", F.coalesce("changed", F.lit(False)))
 
 
 _INS = """ins AS (SELECT e.media_id, e.seg_idx, e.start_ms, e.end_ms, e.text, min(CASE WHEN e.start_ms >= s.start_ms AND e.end_ms <= s.end_ms THEN 1 WHEN e.start_ms <= s.start_ms AND e.end_ms >= s.end_ms THEN 2 WHEN e.start_ms >= s.start_ms THEN 3 ELSE 4 END) FILTER (s.media_id IS NOT NULL) AS rule
@@ -152,12 +157,16 @@ def b8(spark, d):
 
 
 @query("b9_apply_deletes", oracle("edits", """k AS (SELECT media_id, seg_idx AS old_idx, text FROM segments s WHERE NOT EXISTS (SELECT 1 FROM edits e WHERE e.op = 'delete' AND e.media_id = s.media_id AND e.seg_idx = s.seg_idx))
-SELECT media_id, old_idx, text, (row_number() OVER (PARTITION BY media_id ORDER BY old_idx) - 1)::INT AS seg_idx FROM k"""))
+SELECT media_id, old_idx, text, (row_number() OVER (PARTITION BY media_id ORDER BY old_idx) - 1)::INT AS seg_idx, NULL::VARCHAR AS reason FROM k
+UNION ALL SELECT media_id, -seg_idx - 1, NULL, NULL, 'no such segment' FROM edits WHERE op = 'delete'"""))
 def b9(spark, d):
-    return rv.apply_deletes(fx.segments(spark, d), fx.edits(spark, d)).select("media_id", "old_idx", "text", "seg_idx")
+    s, e = fx.segments(spark, d), fx.edits(spark, d)
+    e = e.unionByName(e.where("op = 'delete'").withColumn("seg_idx", -F.col("seg_idx") - 1))
+    rejected = rv.check_deletes(s, e).where("reason IS NOT NULL").select("media_id", F.col("seg_idx").alias("old_idx"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("seg_idx"), "reason")
+    return rv.apply_deletes(s, e).select("media_id", "old_idx", "text", "seg_idx", F.lit(None).cast("string").alias("reason")).unionByName(rejected)
 
 
-@query("b10_invalidate_clips", oracle("edits", _CLIPS + f", w AS (SELECT s.media_id, {_NAME.replace('start_ms', 's.start_ms').replace('end_ms', 's.end_ms')} AS stem FROM segments s JOIN edits e USING (media_id, seg_idx) WHERE e.op = 'delete') SELECT ck.media_id, ck.stem, ck.seg_idx FROM ck JOIN w USING (media_id, stem)"))
+@query("b10_invalidate_clips", oracle("edits", _CLIPS + f", gone AS (SELECT DISTINCT media_id, seg_idx FROM edits WHERE op = 'delete'), w AS (SELECT DISTINCT media_id, {_NAME} AS stem FROM segments JOIN gone USING (media_id, seg_idx)) SELECT media_id, stem, seg_idx FROM ck JOIN w USING (media_id, stem)"))
 def b10(spark, d):
     s, e = fx.segments(spark, d), fx.edits(spark, d)
     return rv.invalidate_clips(s.join(e.where("op = 'delete'").select("media_id", "seg_idx"), ["media_id", "seg_idx"], "left_semi"), _clips(spark, d))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from cuelane.functions import normalise as nm
+from cuelane.functions import phonemes as ph
 from cuelane.operators import segment as sg
 from cuelane.operators.timeline import stamp
 from cuelane.plans import fixtures as fx
@@ -149,6 +150,33 @@ def t13(spark, d):
     return fx.table(spark, d, "part").select("p_brand").distinct().select("p_brand", nm.spell_letters(F.col("p_brand")).alias("spelt"))
 
 
+def _values(table: dict[str, str]) -> str:
+    return "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in table.items()) + ")"
+
+
+_T12 = "said"
+for _old, _new in ph.SEQUENCES.items():
+    _T12 = f"regexp_replace({_T12}, '{_old}', '{_new}', 'g')"
+_T12 = f"lower({_T12})"
+for _old, _new in ph.LEFT_OVER.items():
+    _T12 = f"replace({_T12}, '{_old}', '{_new}')"
+
+
+@query("t12_phonemes_to_hu", oracle("words", f"""d AS (SELECT DISTINCT word, translate(word, 'ehr', 'əʃɹ') AS w FROM words),
+c AS (SELECT word, w, i, substring(w, i::INT, 1) AS c FROM (SELECT word, w, unnest(range(1, length(w) + 1)) AS i FROM d)),
+t AS (SELECT word, i, CASE WHEN i % 6 = 0 OR c IN ('', 'ˈ', 'ˌ', '.') THEN '' WHEN (i + length(w)) % 4 = 0 THEN replace(c, '|', '') || ':' ELSE replace(c, '|', '') END AS t FROM c),
+p AS (SELECT t.*, v.new AS pair FROM (SELECT *, t || ' ' || lead(t) OVER (PARTITION BY word ORDER BY i) AS two FROM t) t LEFT JOIN {_values(ph.PAIRS)} v(old, new) ON two = old),
+k AS (SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY i) AS nth FROM (SELECT *, count(*) FILTER (pair IS NULL) OVER (PARTITION BY word ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM p)),
+taken AS (SELECT *, pair IS NOT NULL AND nth % 2 = 1 AS takes FROM k), o AS (SELECT *, coalesce(lag(takes) OVER (PARTITION BY word ORDER BY i), false) AS gone FROM taken),
+s AS (SELECT DISTINCT t, rtrim(t, ':') AS short FROM t), one AS (SELECT t, coalesce(a.new, CASE WHEN t LIKE '%:' THEN coalesce(l.new, b.new || right(b.new, 1)) END, e.new, replace(t, ':', '')) AS spelt FROM s LEFT JOIN {_values(ph.SINGLE)} a(old, new) ON a.old = t LEFT JOIN {_values(ph.SINGLE)} l(old, new) ON l.old = short || ':' LEFT JOIN {_values(ph.SINGLE)} b(old, new) ON b.old = short LEFT JOIN {_values(ph.SINGLE)} e(old, new) ON e.old = lower(t)),
+j AS (SELECT word, string_agg(CASE WHEN takes THEN pair ELSE spelt END, '' ORDER BY i) FILTER (NOT gone) AS said FROM o JOIN one USING (t) GROUP BY word) SELECT word, CASE WHEN said <> '' THEN {_T12} END AS spelling FROM j"""))
+def t12(spark, d):
+    w = fx.words(spark, d).select("word").distinct().withColumn("w", F.translate("word", "ehr", "əʃɹ"))
+    sound = lambda i: F.substring(F.col("w"), i, F.lit(1))
+    tokens = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.when(i % 6 == 0, "ˈ").when((i + F.length("w")) % 4 == 0, F.when(sound(i).isin("ˈ", "ˌ", "."), sound(i)).otherwise(F.concat(sound(i), F.lit("ː")))).otherwise(sound(i)))
+    return w.select("word", ph.phonemes_to_hu(tokens).alias("spelling"))
+
+
 @query("t2_roman_before_dot")
 def t2(spark, d):
     s = fx.table(spark, d, "documents").select("doc_id", F.regexp_replace(F.upper("text"), "([IVXLCDM])", "$1").alias("text"))

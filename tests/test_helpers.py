@@ -119,6 +119,18 @@ def test_review_cases(spark):
     edits = spark.createDataFrame([("t", 0, "update", 100, 1100, "x"), ("t", 1, "update", 500, 2000, "x"), ("t", 7, "delete", None, None, None), ("t", 8, "insert", 1100, 1400, "mid"), ("t", 9, "insert", 800, 1200, "bad")], "media_id string, seg_idx int, op string, start_ms long, end_ms long, text string")
     up = {r.seg_idx: r for r in review.apply_updates(seg, edits).collect()}
     assert up[0].reason is None and up[0].changed and up[1].reason == "overlaps previous"
+    worded = seg.selectExpr("*", "upper(text) AS translated_text", "array(text) AS words").unionByName(seg.selectExpr("'u' AS media_id", "seg_idx", "start_ms", "end_ms", "text", "NULL AS translated_text", "array(text) AS words"))
+    checked = review.apply_updates(worded, edits)
+    new = {(r.media_id, r.seg_idx): (r.start_ms, r.end_ms, r.text, r.translated_text, r.words) for r in review.updated_segments(worded, checked).collect()}
+    assert new == {("t", 0): (100, 1100, "x", "A", None), ("t", 1): (1500, 2500, "b", "B", None), ("u", 0): (0, 1000, "a", None, ["a"]), ("u", 1): (1500, 2500, "b", None, ["b"])}
+    schema = "media_id string, seg_idx int, op string, start_ms long, end_ms long, text string, translated_text string"
+    texts = spark.createDataFrame([("t", 0, "update", 0, 1000, None, "neu"), ("t", 1, "update", 1500, 2500, "b", None), ("u", 0, "update", 0, None, "x", None), ("u", 9, "update", 0, 1, "x", None), ("u", 1, "update", 1500, 2500, "c", None)], schema)
+    assert {(r.media_id, r.seg_idx): (r.reason, r.changed) for r in review.apply_updates(worded, texts).collect()} == {("t", 0): (None, True), ("t", 1): (None, False), ("u", 0): ("no times", False), ("u", 9): ("no such segment", False), ("u", 1): (None, True)}
+    deletes = spark.createDataFrame([("t", 0, "delete"), ("t", 0, "delete"), ("t", 2, "delete"), ("t", -1, "delete")], "media_id string, seg_idx int, op string")
+    assert sorted((r.seg_idx, r.reason or "") for r in review.check_deletes(seg, deletes).collect()) == [(-1, "no such segment"), (0, ""), (0, "duplicate"), (2, "no such segment")]
+    assert [(r.seg_idx, r.old_idx) for r in review.apply_deletes(seg, deletes).collect()] == [(0, 1)]
+    strange = spark.createDataFrame([("t", 1, "insert", -5, -1, "x"), ("t", 2, "insert", None, 3, "x")], "media_id string, seg_idx int, op string, start_ms long, end_ms long, text string")
+    assert {r.seg_idx: r.reason for r in review.apply_inserts(seg, strange).collect()} == {1: "negative", 2: "no times"}
     ins = review.apply_inserts(seg, edits)
     assert {r.seg_idx: r.reason for r in ins.collect()} == {8: None, 9: "start overlaps"}
     assert [r.start_ms for r in review.inserted_segments(seg, ins, edits).orderBy("seg_idx").collect()] == [0, 1100, 1500]
@@ -232,7 +244,22 @@ def test_dates_hu_nine_shapes(spark):
         assert hu.dates_hu(f"a {text} nap") == f"a {want} nap"
         assert hu.normalise_text(f"a {text} nap") == f"a {want.replace("-", "")} nap"
     assert hu.dates_hu("2024. aug. 10-én volt") == "kétezer-huszonnégy augusztus tizedikeén volt"
-    assert hu.dates_hu("2025. XV. 1. és 2025. jún. 40.") == "2025. XV. 1. és 2025. jún. 40."
+    assert hu.dates_hu("2025. XV. 1. és 2025. jún. 40.") == "2025. XV. 1. és 2025. június 40."  # the short month alone
+    assert hu.dates_hu("dec. 5-én, 12-én és 3-án; szept.ben") == "december ötödikén, tizenkettedikén és harmadikán; szept.ben"
+    assert hu.dates_hu("2025/06/01 és 2025.06.01 és 2025-6-1") == "2025/06/01 és 2025.06.01 és 2025-6-1"  # none of the shapes
+    assert hu.ordinals_hu("a 10000000000000. nap") == "a tízbilliomodik nap" and hu.ordinals_hu(f"a 1{'0' * 40}. nap") == f"a 1{'0' * 40}. nap"
+    assert hu.numbers_hu("1000000000001") == "egybillió-egy" and nm.cardinal_en(10**15 + 1) == "one quadrillion and one"
+    assert hu.clean_hu("egy-egy al-ma (x)", [("alma", "körte")]) == "egy egy körte x" and hu.times_hu("7:00:05") == "hét óra  perc öt másodperc"
     rows = spark.sql("SELECT id AS o_orderkey, make_date(2025, CAST(1 + id % 12 AS int), 1) AS o_orderdate FROM range(36)").select("o_orderkey", q_hungarian._stamp().alias("t")).collect()
     assert {r.t for r in rows if r.o_orderkey in (5, 14)} >= {"2025. VI. 1.", "2025. III. 1."}
     assert not any(c.isdigit() for r in rows for c in hu.dates_hu(r.t))
+
+
+def test_phonemes(spark):
+    from pyspark.sql import functions as F
+
+    from cuelane.functions import phonemes as ph
+
+    cases = {"d ʒ ɔː n": "dzsón", "i ə ɹ": "iar", "d ˈ ʒ": "dzs", "ˈ . |": None, "": None, "m j u z i ə m": "muzeum", "ŋ:: Q: aː": "nggqá", "t| ʃ": "cs", "t  ʃ": "ts", "m a n h a n": "manhatán", "z i ʌ m": "zeum", "ɹ: k": "rrk", "a: ɹ k": "ark", "n̩ ?": "an?"}
+    rows = spark.createDataFrame([(k,) for k in cases], "k string").select("k", ph.phonemes_to_hu(F.split("k", " ")).alias("v"), ph.phonemes_to_hu(F.lit(None).cast("array<string>")).alias("none")).collect()
+    assert {r.k: r.v for r in rows} == cases and all(r.none is None for r in rows)
