@@ -91,9 +91,13 @@ def s9(spark, d):
     return tr.sanitize_fields(fx.table(spark, d, "pages").select("page_id", F.col("html").alias("text")), ("text",))
 
 
-@query("s10_write_segments")
+@query("s10_write_segments", oracle("segments", "SELECT media_id, seg_idx, start_ms, end_ms, text, speaker FROM segments"))
 def s10(spark, d):
-    return tr.segments_json(fx.segments(spark, d))
+    at = f"{_place(spark)}/segments"
+    tr.write_segments(fx.segments(spark, d), at)
+    shape = "struct<segments: array<struct<seg_idx: int, start: double, end: double, text: string, speaker: string>>>"
+    told = tr.segments_json(spark.read.parquet(at)).select("media_id", F.inline(F.from_json("payload", shape)["segments"]))
+    return told.select("media_id", "seg_idx", F.round(F.col("start") * 1000).cast("long").alias("start_ms"), F.round(F.col("end") * 1000).cast("long").alias("end_ms"), "text", "speaker")
 
 
 _EN = "'... ' || lower(trim(regexp_replace(regexp_replace(replace({0}, '&', ' and '), '(?i)\\bthe\\b', 'le', 'g'), '\\s+', ' ', 'g')))"
