@@ -206,7 +206,7 @@ def _event_stream(spark, d):
 @query("x1_stream_qc_counters", "SELECT 'u' || (user_id % 20) AS media_id, epoch_ms(date_trunc('day', ts)) AS from_ms, count(*) AS total, count(*) FILTER (value < 50) AS successful, count(*) FILTER (NOT value < 50) AS failed FROM events WHERE value IS NOT NULL GROUP BY ALL")
 def x1(spark, d):
     e = _event_stream(spark, d).where("value IS NOT NULL").select(F.concat(F.lit("u"), F.col("user_id") % 20).alias("media_id"), F.col("user_id").alias("stem"), F.col("event_id").alias("attempt"), (F.col("value") < 50).alias("ok"), "ts")
-    out = st.drain(st.qc_counters(e, "400 days"), f"x1_{uuid.uuid4().hex[:8]}", _place(spark), "complete")
+    out = st.run_once(e, lambda x: st.qc_counters(x, "2 days"), _place(spark), close=True)
     return out.select("media_id", F.unix_millis("from").alias("from_ms"), "total", "successful", "failed")
 
 
@@ -220,7 +220,7 @@ def _place(spark) -> str:
 g AS (SELECT *, sum(CASE WHEN before IS NULL OR s - before > 21600000 THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT media_id, min(s) AS start_ms, max(t) AS end_ms, count(*) AS n_words FROM g GROUP BY media_id, g""")
 def x2(spark, d):
     e = _event_stream(spark, d).select(F.concat(F.lit("u"), "user_id").alias("media_id"), "ts", F.lit(60000).alias("duration_ms"))
-    return st.drain(st.pause_sessions(e, "400 days", 21_600_000), f"x2_{uuid.uuid4().hex[:8]}", _place(spark), "complete")
+    return st.run_once(e, lambda x: st.pause_sessions(x, "2 days", 21_600_000), _place(spark), close=True)
 
 
 @query("x3_stream_pending", "SELECT event_id // 10 AS seg_idx, 'u' || (event_id // 10 % 7) AS media_id, count(*) * 0 + 1 AS times FROM events GROUP BY event_id // 10")
