@@ -6,17 +6,17 @@ recordings have at most some hundred thousand words.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from cuelane.operators import chains
+
+
 def order():
     return W.partitionBy("media_id").orderBy("start_ms", "input_pos")
-WORD = "struct<word:string,start_ms:bigint,end_ms:bigint,score:double,speaker:string>"
 
 
 def joined(col: str, by: str, sep: str = " ") -> Column:
@@ -115,90 +115,147 @@ def gap_segments(segments: DataFrame, durations: DataFrame) -> DataFrame:
     return inner.unionByName(tail).where("b > a").select("media_id", F.col("a").alias("start_ms"), F.col("b").alias("end_ms"))
 
 
-# Rules that depend on earlier cuts: vectorised helpers over one recording or segment at a time.
-
-
-def comma_cuts(starts: list[int], ends: list[int], words: list[str], max_pause: int, max_ms: int) -> list[int]:
-    """Segment number per word: breaks at pauses, after sentence ends, and after a comma once the segment has lasted max_ms."""
-    out, seg, first = [], 0, 0
-    for i, w in enumerate(words):
-        if i and (starts[i] - ends[i - 1] > max_pause or words[i - 1][-1:] in ".!?" and words[i - 1] or words[i - 1].endswith(",") and ends[i - 1] - starts[first] >= max_ms):
-            seg, first = seg + 1, i
-        out.append(seg)
-    return out
+# Rules that depend on earlier cuts: the next cut of each word, and the chain of cuts from the first word on.
 
 
 def punct_comma_segments(words: DataFrame, max_pause: int = 300, max_ms: int = 8000) -> DataFrame:
-    """seg_idx per word by comma_cuts, one recording at a time, as a cut depends on the one before."""
-    schema = T.StructType([*words.schema.fields, T.StructField("seg_idx", T.IntegerType())])
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_ms", "input_pos"])
-        return pdf.assign(seg_idx=comma_cuts(pdf["start_ms"].tolist(), pdf["end_ms"].tolist(), pdf["word"].tolist(), max_pause, max_ms))
-
-    return words.groupBy("media_id").applyInPandas(cut, schema)
-
-
-def _punct_cut(words: list[dict], cap: int, marks: str) -> int | None:
-    best = None
-    for i, w in enumerate(words[:-1]):
-        if w["word"].rstrip()[-1:] and w["word"].rstrip()[-1:] in marks and w["end_ms"] - words[0]["start_ms"] <= cap:
-            best = i + 1
-    return best
-
-
-def split_recursive(words: list[dict], cap: int) -> list[list[dict]]:
-    """Cuts a list longer than cap ms after the last sentence end in reach, else the last comma, else into equal spans of time."""
-    if len(words) < 2 or words[-1]["end_ms"] - words[0]["start_ms"] <= cap:
-        return [words]
-    at = _punct_cut(words, cap, ".!?") or _punct_cut(words, cap, ",")
-    if at:
-        return split_recursive(words[:at], cap) + split_recursive(words[at:], cap)
-    begin, total = words[0]["start_ms"], words[-1]["end_ms"] - words[0]["start_ms"]
-    parts = max(2, -(-total // cap))
-    groups: list[list[dict]] = [[] for _ in range(parts)]
-    for w in words:
-        groups[min(parts - 1, (w["start_ms"] - begin) * parts // max(total, 1))].append(w)
-    groups = [g for g in groups if g]
-    if len(groups) == 1:
-        half = len(words) // 2
-        groups = [words[:half], words[half:]]
-    return [p for g in groups for p in split_recursive(g, cap)]
-
-
-def split_max_gap(words: list[dict], cap: int) -> list[list[dict]]:
-    """Cuts at the largest gap (the last of equal ones) among words that end within cap of the first start, and goes on with the rest."""
-    out = []
-    while len(words) > 1 and words[-1]["end_ms"] - words[0]["start_ms"] > cap:
-        inside = [i for i in range(1, len(words)) if words[i - 1]["end_ms"] - words[0]["start_ms"] <= cap] or [1]
-        at = max(inside, key=lambda i: (words[i]["start_ms"] - words[i - 1]["end_ms"], i))
-        out.append(words[:at])
-        words = words[at:]
-    return [*out, words]
-
-
-def split_halving(words: list[dict], cap: int) -> list[list[dict]]:
-    """As split_recursive, but cuts in the middle where no punctuation is in reach."""
-    if len(words) < 2 or words[-1]["end_ms"] - words[0]["start_ms"] <= cap:
-        return [words]
-    at = _punct_cut(words, cap, ".!?") or _punct_cut(words, cap, ",") or len(words) // 2
-    return split_halving(words[:at], cap) + split_halving(words[at:], cap)
-
-
-def split_long(segments: DataFrame, rule: Callable[[list[dict], int], list[list[dict]]] = split_recursive, cap: int = 11500) -> DataFrame:
-    """Segments (with words) longer than cap ms cut by rule, in order of time, renumbered. Only long ones are sent to Python; times, text and speaker are made anew from the words of each part."""
-    cols = segments.select("media_id", "seg_idx", "words", (F.col("end_ms") - F.col("start_ms") > cap).alias("long"))
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(m, s, i, [dict(w) for w in part]) for m, s, ws in zip(pdf["media_id"], pdf["seg_idx"], pdf["words"], strict=True) for i, part in enumerate(rule([w.asDict() if hasattr(w, "asDict") else dict(w) for w in ws], cap))]
-            yield pd.DataFrame(rows, columns=["media_id", "seg_idx", "part", "words"])
-
-    done = cols.where("long").select("media_id", "seg_idx", "words").mapInPandas(run, f"media_id string, seg_idx int, part int, words array<{WORD}>")
-    parts = done.unionByName(cols.where("NOT long").select("media_id", "seg_idx", F.lit(0).alias("part"), "words"))
-    num = parts.withColumn("idx", F.row_number().over(W.partitionBy("media_id").orderBy("seg_idx", "part")) - 1)
-    w = num.select("media_id", F.col("idx").alias("seg_idx"), F.posexplode("words").alias("input_pos", "w")).select("media_id", "seg_idx", "input_pos", "w.*")
-    return segment_rows(w)
+    """seg_idx per word: breaks at pauses, after sentence ends, and after a comma once the segment has lasted max_ms.
+
+    Pauses and sentence ends begin an island whatever came before. Only inside islands of max_ms or more a comma's break
+    depends on the one before: a segment can begin at the island's first word or after a comma, and for each such place
+    one ordered pass finds the first comma that ends late enough. Recordings are not null.
+    """
+    island = ["media_id", "__isl"]
+    inside = W.partitionBy(*island).orderBy("start_ms", "input_pos")
+    n = punct_segments(words, max_pause).withColumnRenamed("seg_idx", "__isl").withColumn("__k", F.row_number().over(inside).cast("long") - 1)
+    wide = W.partitionBy(*island)
+    slim = n.select(
+        *island, F.col("__k").alias("k"), "start_ms", "end_ms", F.col("word").endswith(",").alias("comma"), F.coalesce(F.lag(F.col("word").endswith(",")).over(inside), F.lit(True)).alias("can"),
+        F.lead("__k").over(inside).isNotNull().alias("inner"), (F.max("end_ms").over(wide) - F.min("start_ms").over(wide)).alias("lasts"),
+    ).where(F.col("lasts") >= max_ms)
+    slim = chains.stored(slim.where("comma OR can").drop("lasts"))
+    commas = slim.where("comma AND inner").select(*island, F.col("end_ms").alias("t"), F.col("k").alias("at"), F.lit(None).cast("long").alias("k"), F.lit(0).alias("kind"))
+    places = slim.where("can").select(*island, (F.col("start_ms") + max_ms).alias("t"), F.lit(None).cast("long").alias("at"), "k", F.lit(1).alias("kind"))
+    down = W.partitionBy(*island).orderBy(F.desc("t"), "kind").rowsBetween(W.unboundedPreceding, 0)  # commas that end at t or later
+    near = commas.unionByName(places).withColumn("at", F.min("at").over(down)).where("kind = 1").select(*island, "t", "k", "at")
+    odd = near.where("at < k").drop("at").join(commas.select(*island, F.col("t").alias("late"), "at"), island).where("late >= t AND at >= k").groupBy(*island, "k").agg(F.min("at").alias("far"))  # an earlier comma lasts that long itself
+    points = near.join(odd, [*island, "k"], "left").select(*island, "k", (F.when(F.col("at") >= F.col("k"), F.col("at")).otherwise(F.col("far")) + 1).alias("nxt"))
+    block = lambda c: F.expr(f"{c} div {chains.BLOCK}")
+    cuts = chains.chain(chains.stored(points.withColumn("b", block("k")).withColumn("nxt_b", block("nxt"))), island).where("k > 0")
+    out = n.join(cuts.select(*island, F.col("k").alias("__k"), F.lit(True).alias("__cut")), [*island, "__k"], "left")
+    return _numbered(out, (F.col("__k") == 0) | F.coalesce("__cut", F.lit(False))).drop("__k", "__cut", "__isl")
+
+
+#: Rules of split_words: marks or the largest gap decide where a stretch is cut, and what happens where no mark is in reach.
+RULES = ("recursive", "max_gap", "halving")
+
+
+def _reach(t: pa.Table, group: np.ndarray, rule: str, cap: int, width: int) -> pa.Table:
+    """Where the next cut is if a stretch begins at a word, for all words of a block at once: the words in reach are looked
+    at by their distance, nearest first, until no word of the batch reaches further."""
+    col = lambda c: t[c].combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    start, end, k, mark, after, hi, until = (col(c) for c in ("start_ms", "end_ms", "k", "mark", "after_ms", "hi", "until_ms"))
+    n = len(k)
+    best, comma, gap = np.full(n, -1), np.full(n, -1), np.full(n, np.iinfo(np.int64).min)
+    live, d = np.flatnonzero((col("edge") == 0) & (until - start > cap) & (hi - k > 1)), 0
+    open_rows = live
+    while len(live):
+        at = live + d
+        live = live[(at < n)]
+        at = live + d
+        same = (group[at] == group[live]) & (start[at] <= start[live] + cap)
+        live, at = live[same], at[same]
+        fits = (end[at] <= start[live] + cap) & (k[at] <= hi[live] - 2)
+        row, at = live[fits], at[fits]
+        if rule == "max_gap":
+            wide = after[at] - end[at] >= gap[row]
+            row, at = row[wide], at[wide]
+            gap[row], best[row] = after[at] - end[at], at
+        else:
+            best[row[mark[at] == 2]] = at[mark[at] == 2]
+            comma[row[mark[at] == 1]] = at[mark[at] == 1]
+        d += 1
+    if rule == "max_gap":
+        best[open_rows] = np.where(best[open_rows] < 0, open_rows, best[open_rows])  # no word in reach: the first word alone
+    else:
+        best = np.where(best < 0, comma, best)
+    own = np.flatnonzero(col("edge") == 0)
+    to, lo = best[own], col("lo")[own]
+    found = to >= 0
+    nxt = pa.array(np.where(found, k[to] + 1 - lo, 0), mask=~found)
+    nxt_b = pa.array(np.where(found, after[to] // width, 0), mask=~found)
+    names = ["media_id", "seg_idx", "lo", "b"]
+    return pa.table([t[c].take(pa.array(own)) for c in names] + [pa.array(k[own] - lo), nxt, nxt_b], names=[*names, "k", "nxt", "nxt_b"])
+
+
+def _cuts(spans: DataFrame, rule: str, cap: int) -> tuple[DataFrame, DataFrame]:
+    """One round over the words of open stretches: the cuts (media_id, seg_idx, k) that follow one from the other, and the
+    words of what no cut could be found for, as stretches of their own."""
+    width = max(cap, 60_000)  # of a block; a word's reach ends in the next one at most
+    blocks = spans.withColumn("b", F.expr(f"start_ms div {width}")).withColumn("edge", F.lit(0))
+    edges = blocks.where(f"start_ms - b * {width} <= {cap}").withColumn("b", F.col("b") - 1).withColumn("edge", F.lit(1))
+    schema = "media_id string, seg_idx int, lo long, b long, k long, nxt long, nxt_b long"
+    key = ["media_id", "seg_idx", "lo"]
+    points = chains.stored(chains.by_groups(blocks.unionByName(edges), [*key, "b"], ["k"], lambda t, g: _reach(t, g, rule, cap, width), schema))
+    reached = chains.stored(chains.chain(points, key))
+    cuts = reached.where("k > 0").select("media_id", "seg_idx", (F.col("lo") + F.col("k")).alias("k"))
+    if rule == "max_gap":
+        return cuts, spans.limit(0)
+    last = reached.groupBy(*key).agg((F.max("k") + F.col("lo")).alias("from"))
+    rest = spans.join(last, key).where("k >= from").withColumn("begin", F.min("start_ms").over(W.partitionBy(*key)))
+    rest = rest.where(f"until_ms - begin > {cap} AND hi - from > 1")
+    part = F.expr("IF(k - from < (hi - from) div 2, 0, 1)")
+    if rule == "recursive":
+        n = F.greatest(F.lit(2), F.ceil((F.col("until_ms") - F.col("begin")) / F.lit(cap)))
+        by_time = lambda c: F.least(n - 1, F.floor((F.col(c) - F.col("begin")) * n / (F.col("until_ms") - F.col("begin"))))
+        part = F.when(by_time("last_ms") == 0, part).otherwise(by_time("start_ms"))  # words that all begin in the first part are halved
+    group = W.partitionBy(*key, "part")
+    ends = group.orderBy("k").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    parts = rest.withColumn("part", part).select(
+        "media_id", "seg_idx", F.min("k").over(group).alias("lo"), (F.max("k").over(group) + 1).alias("hi"), "k", "start_ms", "end_ms", "after_ms", "mark", F.last("end_ms").over(ends).alias("until_ms"), F.last("start_ms").over(ends).alias("last_ms"),
+    )
+    parts = chains.stored(parts)
+    cuts = cuts.unionByName(parts.where("k = lo").select("media_id", "seg_idx", "k"))
+    return cuts, parts.withColumn("begin", F.min("start_ms").over(W.partitionBy("media_id", "seg_idx", "lo"))).where(f"until_ms - begin > {cap} AND hi - lo > 1").drop("begin")
+
+
+def split_words(words: DataFrame, rule: str = "recursive", cap: int = 11500) -> DataFrame:
+    """Words with seg_idx of segments cut until none is longer than cap ms (or is one word), renumbered in order.
+
+    recursive: after the last sentence end whose word ends within cap of the start, else the last comma, else into equal
+    spans of time. halving: the same, else in the middle. max_gap: at the largest gap in reach, the last of equal ones.
+    The last word of a stretch is never its mark. Each round finds all cuts of all open stretches that marks or gaps
+    give, in blocks of time, and cuts what is left over; words of short segments take no part. Recordings are not null.
+    """
+    if rule not in RULES:
+        raise ValueError(f"rule is one of {RULES}")
+    inside = W.partitionBy("media_id", "seg_idx").orderBy("start_ms", "input_pos")
+    whole = inside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    n = words.withColumn("k", F.row_number().over(inside).cast("long") - 1)
+    end = F.rtrim("word")
+    mark = F.when(end.rlike("[.!?]\\s*$"), 2).when(F.col("word").rlike(",\\s*$"), 1).otherwise(0).cast("long")
+    spans = n.select(
+        "media_id", F.col("seg_idx").cast("int").alias("seg_idx"), F.lit(0).cast("long").alias("lo"), F.count("*").over(whole).alias("hi"), "k", "start_ms", "end_ms", F.lead("start_ms").over(inside).alias("after_ms"), mark.alias("mark"),
+        F.last("end_ms").over(whole).alias("until_ms"), F.last("start_ms").over(whole).alias("last_ms"), F.first("start_ms").over(whole).alias("begin"),
+    ).where(f"until_ms - begin > {cap} AND hi > 1").drop("begin")
+    spans = chains.stored(spans)
+    cuts = None
+    while not spans.isEmpty():
+        found, spans = _cuts(spans, rule, cap)
+        cuts = found if cuts is None else cuts.unionByName(found)
+    if cuts is None:
+        cut = n.withColumn("__cut", F.lit(False))
+    else:
+        cut = n.join(cuts.distinct().withColumn("__cut", F.lit(True)), ["media_id", "seg_idx", "k"], "left")
+    first = F.when((F.col("k") == 0) | F.col("__cut"), 1).otherwise(0)
+    order = W.partitionBy("media_id").orderBy("seg_idx", "k")
+    return cut.withColumn("seg_idx", (F.sum(first).over(order) - 1).cast("int")).drop("k", "__cut")
+
+
+def split_long(segments: DataFrame, rule: str = "recursive", cap: int = 11500) -> DataFrame:
+    """Segments (with words) cut by split_words; times, text and speaker are made anew from the words of each part."""
+    w = segments.select("media_id", "seg_idx", F.posexplode("words").alias("input_pos", "w")).select("media_id", "seg_idx", "input_pos", "w.*")
+    return segment_rows(split_words(w, rule, cap))
 
 
 def resegment(words: DataFrame, points: DataFrame, max_pause: int = 300, padding: int = 100, cap: int = 11500) -> DataFrame:
@@ -206,4 +263,4 @@ def resegment(words: DataFrame, points: DataFrame, max_pause: int = 300, padding
     from cuelane.operators.words import pad_words
 
     padded = pad_words(words, padding)
-    return drop_bracketed(split_long(segment_rows(forced_segments(padded, snap_change_points(padded, points), max_pause, True)), split_recursive, cap))
+    return drop_bracketed(segment_rows(split_words(forced_segments(padded, snap_change_points(padded, points), max_pause, True), "recursive", cap)))

@@ -160,23 +160,23 @@ def w8(spark, d):
     return fx.segments(spark, d).select("media_id", "seg_idx", "start_ms", "end_ms", "text", "speaker", "mixed_speakers")
 
 
-def _long(spark, d):
-    return sg.segment_rows(sg.pause_segments(fx.words(spark, d), 100000))
+def _long(spark, d, rule):
+    return sg.segment_rows(sg.split_words(sg.pause_segments(fx.words(spark, d), 100000), rule)).drop("words")
 
 
 @query("w9_split_long_recursive")
 def w9(spark, d):
-    return sg.split_long(_long(spark, d), sg.split_recursive).drop("words")
+    return _long(spark, d, "recursive")
 
 
 @query("w10_split_long_max_gap")
 def w10(spark, d):
-    return sg.split_long(_long(spark, d), sg.split_max_gap).drop("words")
+    return _long(spark, d, "max_gap")
 
 
 @query("w11_split_long_halving")
 def w11(spark, d):
-    return sg.split_long(_long(spark, d), sg.split_halving).drop("words")
+    return _long(spark, d, "halving")
 
 
 @query("w12_resegment")

@@ -7,37 +7,11 @@ import numpy as np
 import pytest
 
 from cuelane.functions import normalise as nm
-from cuelane.operators import batching, intervals, segment, signals, timeline, words
+from cuelane.operators import batching, intervals, signals, timeline, words
 
 RNG = random.Random(11)
 
 
-def some_words(n):
-    t, out = 0, []
-    for _ in range(n):
-        t += RNG.choice([0, 40, 300, 301, 900])
-        d = RNG.randint(20, 900)
-        out.append({"word": RNG.choice(["a", "b.", "c,", "d!", "e"]), "start_ms": t, "end_ms": t + d})
-        t += d
-    return out
-
-
-@pytest.mark.parametrize("rule", [segment.split_recursive, segment.split_max_gap, segment.split_halving])
-def test_split_long(rule):
-    for _ in range(200):
-        ws = some_words(RNG.randint(1, 60))
-        parts = rule(ws, 3000)
-        assert [w for p in parts for w in p] == ws and all(parts)
-        assert all(len(p) == 1 or p[-1]["end_ms"] - p[0]["start_ms"] <= 3000 for p in parts)
-
-
-def test_comma_cuts():
-    starts, ends, ws = [0, 100, 200, 300, 1000], [90, 190, 290, 390, 1100], ["a", "b,", "c,", "d.", "e"]
-    assert segment.comma_cuts(starts, ends, ws, 600, 250) == [0, 0, 0, 1, 2]
-    assert segment.comma_cuts(starts, ends, ["a"] * 5, 610, 250) == [0] * 5
-    assert segment.comma_cuts(starts, ends, ["a"] * 5, 609, 250) == [0, 0, 0, 0, 1]
-
-
 def test_cut_batches():
     for _ in range(200):
         n = RNG.randint(0, 400)
