@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelane.llm.common import byte_slices, checkpointed, ship, texts_of
+from cuelane.llm.common import byte_slices, checkpointed, ragged_take, ship, texts_of
 
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -216,21 +216,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, th, fp, bands): text hash, fingerprint of different words and band keys on runs of `words` words, one row per input row."""
+    """(id, h, h2, th, fp, bands): hashes of the text, its number, fingerprint of different words and band keys on runs of `words` words, one row per input row. The number is the first hash; texts that share it and differ in the second have another one."""
     ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch.column(2))
+            texts = texts_of(batch.column(3))
             for lo, hi in byte_slices(texts, 2 << 20):
                 own = texts.slice(lo, hi - lo).cast(pa.binary()).to_pylist()
                 fp, keys = fingerprint_texts(own, words, "words"), band_keys(own, words)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(fp.view(np.int64)), bands], names=["id", "th", "fp", "bands"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in range(3)), pa.array(fp.view(np.int64)), bands], names=["id", "h", "h2", "fp", "bands"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, f"id {id_type}, th long, fp long, bands array<long>")
+    out = docs.select(F.col(id_col).alias("id"), *_hashes(text), text.alias("text")).mapInArrow(run, f"id {id_type}, h long, h2 long, fp long, bands array<long>")
+    return _numbered(checkpointed(out))
+
+
+def _hashes(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text).alias("h"), F.xxhash64(F.lit(7), text).alias("h2")
+
+
+def _numbered(prints: DataFrame) -> DataFrame:
+    """Adds th, one number per different text."""
+    met = prints.groupBy("h").agg(F.min("h2").alias("__lo"), F.max("h2").alias("__hi")).where("__lo <> __hi").select(F.col("h").alias("__h"), "__lo")
+    return prints.join(met, F.col("h") == F.col("__h"), "left").withColumn("th", F.when(F.col("h2") == F.coalesce("__lo", "h2"), F.col("h")).otherwise(F.xxhash64("h", "h2"))).drop("__h", "__lo")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 5, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -240,14 +251,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Candidates are fingerprints of different words within `radius` bits and texts that share a band key of minima, which
     finds the pairs that a fingerprint sets further apart; each pair of texts is verified on whole texts. Texts with one
     fingerprint or band key are compared with the first of them by hash; then all texts of a band key that are not yet
-    in one chain are compared with each other. Null texts are empty and equal; null ids take part but give no
+    in one chain are compared with each other, in chunks. Null texts are empty and equal; null ids take part but give no
     component_id of their own; repeated rows stay; an empty table stays empty.
     """
     return _grouped(docs, id_col, text_col, radius, words, similarity).select("id", "component_id")
 
 
 def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 5, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """similar_groups with the text hash th."""
+    """similar_groups with the text hashes h and h2."""
     prints = checkpointed(_prints(docs, id_col, text_col, words))
     nodes = prints.select("fp", "th").distinct()
     first = nodes.groupBy("fp").agg(F.min("th").alias("rep"))
@@ -260,12 +271,11 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     pairs = checkpointed(pairs.select(F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb")).distinct())
     sets = _sets(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), prints, pairs.select(F.explode(F.array("ta", "tb")).alias("th")), words)
     roots = components(_verified(pairs, sets, similarity))
-    rest = checkpointed(_unmet(shared, roots).join(pairs, ["ta", "tb"], "left_anti"))
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_verified(rest, sets, similarity)))
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_unmet(shared, roots, prints, sets, similarity)))
     named = prints.groupBy("th").agg(F.min("id").alias("low")).join(roots, F.col("th") == F.col("node"), "left").select("th", "low", F.coalesce("root", "th").alias("root"))
     tops = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_text = checkpointed(named.join(tops, "root").select(F.col("th").alias("t"), "component_id"))
-    return prints.join(by_text, F.col("th") == F.col("t")).select("id", "th", "component_id")
+    return prints.join(by_text, F.col("th") == F.col("t")).select("id", "h", "h2", "component_id")
 
 
 def _shared(prints: DataFrame) -> DataFrame:
@@ -275,23 +285,62 @@ def _shared(prints: DataFrame) -> DataFrame:
     return checkpointed(members.join(several, "band").select("band", "th", "rep"))
 
 
-def _unmet(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(ta, tb), ta < tb, each once: texts of one band key with different roots. In each key the texts of its most
-    frequent root are paired with the others only, so that a large group costs its size times the texts outside it."""
+#: Texts of one band key that are compared in one task.
+CHUNK = 256
+
+
+def _unmet(shared: DataFrame, roots: DataFrame, prints: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of texts of one band key with different roots whose sets are similar enough.
+
+    In each key the texts outside its most frequent root meet all others, chunk by chunk: a task holds two chunks with
+    their sets, counts common members for all their pairs at once and gives only the pairs that are similar. A pair is
+    looked at in the first of its common keys.
+    """
     of = shared.join(roots, F.col("th") == F.col("node"), "left").select("band", "th", F.coalesce("root", "th").alias("root"))
     counts = of.groupBy("band", "root").agg(F.count("*").alias("n"))
-    main = counts.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    of = checkpointed(of.join(main, "band"))
-    out = of.where("root <> main").select("band", F.col("th").alias("x"), F.col("root").alias("rx"))
-    every = of.select(F.col("band").alias("bb"), F.col("th").alias("y"), F.col("root").alias("ry"), (F.col("root") == F.col("main")).alias("in_main"))
-    met = out.join(every, (F.col("band") == F.col("bb")) & (F.col("rx") != F.col("ry")) & (F.col("in_main") | (F.col("x") < F.col("y"))))
-    return met.select(F.least("x", "y").alias("ta"), F.greatest("x", "y").alias("tb")).distinct()
+    main = counts.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("n_out"), F.count("*").alias("roots")).where("roots > 1")
+    bands = prints.select("th", "bands").dropDuplicates(["th"])
+    of = of.join(main, "band").join(bands, "th").join(sets, "th")
+    chunk = lambda n, salt: F.pmod(F.xxhash64("th", F.lit(salt)), F.ceil(F.col(n) / CHUNK).cast("long"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / CHUNK).cast("long") - 1))
+    cols = ["band", "ca", "cb", "th", "root", "bands", "s"]
+    of = checkpointed(of)
+    left = of.where("root <> main").withColumn("ca", chunk("n_out", 1)).withColumn("cb", each("n")).select(cols)
+    right = of.withColumn("cb", chunk("n", 2)).withColumn("ca", each("n_out")).select(*cols, (F.col("root") == F.col("main")).alias("in_main"))
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        a, b = [], []
+        if x.num_rows and y.num_rows:
+            band = x["band"][0].as_py()
+            ths, roots_y, main_y = (y[c].to_numpy() for c in ("th", "root", "in_main"))
+            bands_y = np.array(y["bands"].to_pylist(), np.int64)
+            members = [np.frombuffer(v, np.uint32) for v in y["s"].to_pylist()]
+            sizes = np.array([len(m) for m in members])
+            values, at = np.unique(np.concatenate(members), return_inverse=True)
+            owners, held = np.repeat(np.arange(len(members)), sizes)[np.argsort(at, kind="stable")], np.bincount(at, minlength=len(values))
+            begin = np.cumsum(held) - held
+            for th, root, own, keys in zip(x["th"].to_pylist(), x["root"].to_pylist(), x["s"].to_pylist(), x["bands"].to_pylist(), strict=True):
+                own = np.frombuffer(own, np.uint32)
+                both = np.zeros(len(members), np.int64)
+                if len(values) and len(own):
+                    place = np.minimum(np.searchsorted(values, own), len(values) - 1)
+                    place = place[values[place] == own]
+                    both = np.bincount(ragged_take(owners, begin[place], held[place]), minlength=len(members))
+                first = keys.index(band)
+                met = (both >= similarity * (len(own) + sizes - both)) & (roots_y != root) & (main_y | (ths > th)) & ~(bands_y[:, :first] == np.array(keys[:first], np.int64)).any(1)
+                b += ths[met].tolist()
+                a += [th] * int(met.sum())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    keys = ["band", "ca", "cb"]
+    right = right.withColumnsRenamed({k: f"of_{k}" for k in keys})
+    return left.groupBy(*keys).cogroup(right.groupBy(*[f"of_{k}" for k in keys])).applyInArrow(compare, "a long, b long").distinct()
 
 
 def _sets(texts: DataFrame, prints: DataFrame, need: DataFrame, words: int) -> DataFrame:
     """(th, s): the hashed runs of words of each text hash in need. One document per text is read."""
-    chosen = prints.groupBy("th").agg(F.min("id").alias("low")).join(need.distinct(), "th")
-    rows = texts.withColumn("h", F.xxhash64("text")).join(chosen, F.col("h").eqNullSafe(F.col("th")) & F.col("id").eqNullSafe(F.col("low"))).select("th", "text")
+    chosen = prints.groupBy("h", "h2", "th").agg(F.min("id").alias("low")).join(need.distinct(), "th").withColumnsRenamed({"h": "__h", "h2": "__h2"})
+    rows = texts.select("id", "text", *_hashes(F.col("text"))).join(chosen, (F.col("h") == F.col("__h")) & (F.col("h2") == F.col("__h2")) & F.col("id").eqNullSafe(F.col("low"))).select("th", "text")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,5 +371,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with one document of each group of similar_groups: the one with the smallest id, with all its rows of the group. Rows with a null id stay."""
     groups = _grouped(docs, id_col, text_col, **how)
-    gone = groups.where("id <> component_id").select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
-    return docs.join(gone, (F.col(id_col) == F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__th")), "left_anti")
+    gone = groups.where("id <> component_id").select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("h2").alias("__h2")).distinct()
+    h, h2 = _hashes(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.join(gone, (F.col(id_col) == F.col("__id")) & (h == F.col("__h")) & (h2 == F.col("__h2")), "left_anti")

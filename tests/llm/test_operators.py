@@ -199,12 +199,34 @@ def test_similar_groups_equal_all_pairs(spark):
     assert len(edges) > 20 and got == {i: low[c] for (i, _), c in zip(rows, comp, strict=True)}
 
 
-def test_unmet_pairs(spark):
-    """Of a key's texts all pairs of different roots are named, also B and C beside a first text that is like neither."""
-    shared = spark.createDataFrame([(1, t, 1) for t in (1, 2, 3, 4, 5)] + [(2, 2, 2), (2, 9, 2)], "band long, th long, rep long")
-    roots_ = spark.createDataFrame([(1, 1), (4, 1), (2, 2), (9, 2)], "node long, root long")
-    got = sorted((x.ta, x.tb) for x in simhash._unmet(shared, roots_).collect())
-    assert got == [(1, 2), (1, 3), (1, 5), (2, 3), (2, 4), (2, 5), (3, 4), (3, 5), (4, 5)]
+@pytest.mark.parametrize("chunk", [1, 3, 256])
+def test_unmet_pairs(spark, monkeypatch, chunk):
+    """All similar pairs of a key's texts with different roots are found, whatever the chunks, and no other."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    r = random.Random(chunk)
+    sets = {t: {*range(t % 4 * 3, t % 4 * 3 + 9), *([100 + t] if t % 3 else [])} for t in range(30)} | {30: set(), 31: set()}
+    root = {t: 0 if t % 4 == 0 and t < 20 else t for t in sets}
+    bands = {t: [r.randrange(2) * 7 + j * 100 for j in range(4)] for t in sets}
+    several = [(b, t) for t in sets for b in bands[t]]
+    want = set()
+    for x in sets:
+        for y in sets:
+            u = len(sets[x] | sets[y])
+            if x < y and root[x] != root[y] and set(bands[x]) & set(bands[y]) and len(sets[x] & sets[y]) >= 0.8 * u:
+                want.add((x, y))
+    shared = spark.createDataFrame([(b, t, 0) for b, t in several], "band long, th long, rep long")
+    roots_ = spark.createDataFrame([(t, 0) for t in sets if root[t] == 0], "node long, root long")
+    prints = spark.createDataFrame([(t, bands[t]) for t in sets], "th long, bands array<long>")
+    packed = spark.createDataFrame([(t, bytearray(np.array(sorted(v), np.uint32).tobytes())) for t, v in sets.items()], "th long, s binary")
+    got = [tuple(sorted((x.a, x.b))) for x in simhash._unmet(shared, roots_, prints, packed, 0.8).collect()]
+    assert len(want) > 20 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_two_hashes_tell_texts(spark):
+    """Texts that share the first hash and differ in the second are different texts."""
+    prints = spark.createDataFrame([(1, 5, 8), (2, 5, 8), (3, 5, 9), (4, 6, 1)], "id long, h long, h2 long")
+    th = {r.id: r.th for r in simhash._numbered(prints).collect()}
+    assert th[1] == th[2] == 5 and th[3] not in (5, 6) and th[4] == 6
 
 
 def test_drop_similar_repeated_id(spark):
