@@ -108,8 +108,9 @@ def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa
 
 
 def head_of(docs: DataFrame, text_col: str, pairs: bool, head_words: int = HEAD_WORDS, head_pairs: int = HEAD_PAIRS) -> Head:
-    """The words, and pairs of them, that are most frequent in all documents (ties: smaller first). Each slice of texts is
-    counted before the shuffle; what comes to the driver is bounded by both numbers and by HEAD_BYTES."""
+    """The words, and pairs of them, that are most frequent in all documents: all from some count on, at most as many as
+    the numbers say. Each slice of texts is counted before the shuffle; what comes to the driver is bounded by both
+    numbers and by HEAD_BYTES, and by a row per step of the count."""
     text = docs.select(F.col(text_col).alias("text"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,8 +119,7 @@ def head_of(docs: DataFrame, text_col: str, pairs: bool, head_words: int = HEAD_
             short = pc.less_equal(pc.binary_length(found), HEAD_BYTES)
             yield pa.RecordBatch.from_arrays([found.filter(short).cast(pa.string()), pa.array(np.bincount(codes, minlength=len(found))).filter(short)], names=["word", "n"])
 
-    top = text.mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(head_words).collect()
-    frequent = [r.word for r in top]
+    frequent = sorted(r.word for r in _most_frequent(text.mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), head_words))
     if not pairs or not frequent:
         return Head(frequent, [])
     known = pa.array(frequent, pa.large_string())
@@ -133,10 +133,22 @@ def head_of(docs: DataFrame, text_col: str, pairs: bool, head_words: int = HEAD_
             pair, n = np.unique(at[a[hit]] << 32 | at[b[hit]], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
 
-    best = text.mapInArrow(both, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pair").limit(head_pairs).collect()
+    best = _most_frequent(text.mapInArrow(both, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), head_pairs)
     return Head(frequent, [(frequent[r.pair >> 32], frequent[r.pair & 0xFFFFFFFF]) for r in best])
 
 
+def _most_frequent(counts: DataFrame, most: int) -> list:
+    """Rows of counts (..., n) from some n on, as many as there can be without exceeding `most`. Counts are taken in steps of about a thirtieth."""
+    counts = checkpointed(counts.withColumn("step", F.floor(F.log2("n") * 20).cast("int")))
+    floor, held = None, 0
+    for r in sorted(counts.groupBy("step").agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["step"]):
+        held += r["rows"]
+        if held > most:
+            break
+        floor = r["step"]
+    return [] if floor is None else counts.where(F.col("step") >= floor).collect()
+
+
 def bucket_totals(docs: DataFrame, text_col: str, head: Head, buckets: int, pairs: bool) -> list[int]:
     """Features in each bucket over all texts; one row per task and bucket is shuffled, one per bucket collected."""
     shared = docs.sparkSession.sparkContext.broadcast(head)

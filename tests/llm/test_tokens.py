@@ -188,4 +188,4 @@ def test_ranks_are_gapless_over_ranges(spark):
 def test_head_is_the_most_frequent(spark):
     docs = spark.createDataFrame([("b a b c",), ("A b",), (None,)], "text string")
     h = resample.head_of(docs, "text", True, 2, 1)
-    assert h.words.to_pylist() == ["b", "a"] and len(h.pair) == 1
+    assert h.words.to_pylist() == ["a", "b"] and len(h.pair) == 1
