@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelane.llm import sentencepiece_bpe
 from cuelane.llm.byte_bpe import coded, flat_strings, packed, pieces_of, unpacked
 from cuelane.llm.common import SLICE_BYTES, byte_slices, checkpointed, ragged_take, ship, texts_of
 
 #: Tokens of A in a lane, and pieces whose ids a worker remembers.
 LANE, SEEN_PIECES = 1024, 200_000
+#: Bytes of text whose ids are lists at one time.
+STEP_BYTES = 1 << 20
 _A: dict[str, "ByteTokenizer"] = {}
+_B: dict[str, "PieceTokenizer"] = {}
 
 
 class ByteTokenizer:
@@ -67,7 +70,7 @@ class ByteTokenizer:
             part = new[i : i + 20_000]
             ids = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
             lens.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-            got.append(np.fromiter((x for one in ids for x in one), np.int64, int(lens[-1].sum())))
+            got.append(np.fromiter(chain.from_iterable(ids), np.int64, int(lens[-1].sum())))
         self.seen.update(zip(new, range(len(self.seen), len(self.seen) + len(new)), strict=True))
         self.flat, self.lens = np.concatenate(got), np.concatenate(lens)
         slot = np.fromiter(map(self.seen.__getitem__, texts), np.int64, len(texts))[use]
@@ -89,18 +92,33 @@ def tokenizer(path: str | None) -> ByteTokenizer:
 class PieceTokenizer:
     """A sentencepiece model: ids without begin and end, and the bytes of each id."""
 
-    def __init__(self, path: str | None):
-        self.model = m = sentencepiece_bpe.model(path)
-        byte = {int(i): b for b, i in enumerate(m.byte_id.tolist()) if i}
-        raw = [bytes([byte[i]]) if i in byte else p.replace(sentencepiece_bpe.SPACE, " ").encode() for i, p in enumerate(m.text)]
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+        raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
         self.raw, self.size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(b) for b in raw], np.int64)
         self.begin = np.cumsum(self.size) - self.size
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        ids, off = self.model.encode_texts(texts)
-        inner = np.ones(len(ids), bool)
-        inner[off[:-1]] = inner[off[1:] - 1] = False
-        return ids[inner].astype(np.int64), off - 2 * np.arange(len(off))
+        """Ids of all texts, flat, and offsets; a part of the texts at a time is a list."""
+        flat, lens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in byte_slices(texts, STEP_BYTES):
+            ids = self.sp.encode(texts.slice(lo, hi - lo).to_pylist(), num_threads=1)
+            lens.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.int64, int(lens[-1].sum())))
+        return np.concatenate(flat), np.concatenate(([0], np.cumsum(np.concatenate(lens))))
+
+
+def piece_tokenizer(path: str | None) -> PieceTokenizer:
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    if path not in _B:
+        _B[path] = PieceTokenizer(path)
+    return _B[path]
 
 
 def without(ids: np.ndarray, off: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +220,7 @@ def link_blocks(docs: DataFrame, id_col: str, text_col: str, a_path: str | None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 32
-        ta, tb = tokenizer(a_path), PieceTokenizer(b_path)
+        ta, tb = tokenizer(a_path), piece_tokenizer(b_path)
         for batch in batches:
             texts = texts_of(batch.column(1))
             for lo, hi in byte_slices(texts, block_bytes):
