@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 Texts become pre-tokens with positions. Inside a block of documents equal pre-tokens are one word with all its
-positions, so that only words are shuffled: each different word of the whole table is encoded once, its ids are
-decoded by a join with the token-byte table, ids and bytes are joined back to the blocks, and each block puts its
-documents together by position.
+positions, so that only words are shuffled: all blocks' rows of a bucket of words meet in one task, each different word
+is encoded once, ids are joined back to the blocks, and each block puts its documents together by position and meets
+the token-byte table to decode them.
 """
 
 from __future__ import annotations
@@ -11,18 +11,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelane.llm.common import SLICE_BYTES, byte_slices, checkpointed, ragged_take, ship, texts_of
+from cuelane.llm.common import SLICE_BYTES, byte_slices, ragged_take, ship, texts_of
 
 _RANKS: dict[str, dict[bytes, int]] = {}
+#: Different words whose ids a task remembers.
+SEEN_WORDS = 1_000_000
 #: Bytes that no white space of any length begins with: a text may be cut before a space that one of them follows.
 _SOLID = np.ones(256, bool)
 _SOLID[:0x21] = False
@@ -146,50 +147,115 @@ def merged(word: bytes, table: dict[bytes, int]) -> list[int]:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Whole numbers as compressed bytes."""
-    return pa.compress(values.astype("<u4").tobytes(), codec="zstd", asbytes=True)
+    """Whole numbers below 2^32 as compressed bytes, all lowest bytes first, then the next ones."""
+    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
 
 
 def unpacked(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw, 4 * n, codec="zstd", asbytes=True), "<u4").astype(np.int64)
+    planes = np.frombuffer(pa.decompress(raw, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
-def pretoken_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """(block, ids, counts, codes, words): documents of about block_bytes of text, or one longer one, with the number of
-    pre-tokens of each, the different words of the block, and for all positions the number of the word there."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+def _zipped(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unzipped(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+class Block:
+    """Pre-tokens of some texts: how many each text has, the different words from the most frequent one on, and for all
+    positions the number of the word there. Equal texts make equal blocks; key tells blocks."""
+
+    def __init__(self, texts: pa.Array):
+        raw, off = flat_strings(texts)
+        starts = pieces_of(raw, off)
+        pieces, use = coded(raw, starts)
+        words = Words()
+        flat, lens = words.of(pieces.to_pylist())
+        codes = ragged_take(flat, (np.cumsum(lens) - lens)[use], lens[use])
+        sums = np.concatenate(([0], np.cumsum(lens[use])))
+        self.counts = np.diff(sums[np.searchsorted(starts, off)])  # pieces tile the texts, so that each begins with a piece of its own
+        order = np.argsort(-np.bincount(codes, minlength=len(words.number)), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.codes = rank[codes]
+        found = [w.encode() for w in words.number]
+        self.words = [found[i] for i in order]
+        self.key = hashlib.blake2b(off.tobytes() + raw.tobytes(), digest_size=16).digest()
 
+    def buckets(self, n: int) -> np.ndarray:
+        return np.fromiter((zlib.crc32(w) % n for w in self.words), np.int64, len(self.words))
+
+
+def _blocks(docs: DataFrame, block_bytes: int, rows: Callable[[Block, pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = texts_of(batch.column(1))
             for lo, hi in byte_slices(texts, block_bytes):
-                raw, off = flat_strings(texts.slice(lo, hi - lo))
-                starts = pieces_of(raw, off)
-                pieces, use = coded(raw, starts)
-                words = Words()
-                flat, lens = words.of(pieces.to_pylist())
-                codes = ragged_take(flat, (np.cumsum(lens) - lens)[use], lens[use])
-                sums = np.concatenate(([0], np.cumsum(lens[use])))
-                counts = np.diff(sums[np.searchsorted(starts, off)])  # pieces tile the texts, so that each begins with a piece of its own
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([at]), pa.array([batch.column(0).slice(lo, hi - lo).to_pylist()], pa.list_(batch.column(0).type)), pa.array([counts.tolist()], pa.list_(pa.int32())), pa.array([packed(codes)], pa.binary()), pa.array([list(words.number)], pa.list_(pa.string()))],
-                    names=["block", "ids", "counts", "codes", "words"],
-                )
-                at += 1
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"block long, ids array<{id_type}>, counts array<int>, codes binary, words array<string>")
+                yield rows(Block(texts.slice(lo, hi - lo)), batch.slice(lo, hi - lo))
+
+    return docs.mapInArrow(run, schema)
+
+
+def word_rows(docs: DataFrame, block_bytes: int, buckets: int) -> DataFrame:
+    """(bucket, block, lens, words): the different words of a block that fall into a bucket, in one row."""
+
+    def rows(block: Block, _: pa.RecordBatch) -> pa.RecordBatch:
+        bucket = block.buckets(buckets)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        out: list[list] = [[], [], [], []]
+        for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            own = [block.words[i] for i in order[lo:hi]]
+            for col, v in zip(out, (int(bucket[order[lo]]), block.key, _zipped(np.array([len(w) for w in own], "<u4").tobytes()), _zipped(b"".join(own))), strict=True):
+                col.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int32(), *[pa.binary()] * 3], strict=True)], names=["bucket", "block", "lens", "words"])
+
+    return _blocks(docs, block_bytes, rows, "bucket int, block binary, lens binary, words binary")
+
+
+def position_rows(docs: DataFrame, block_bytes: int, buckets: int) -> DataFrame:
+    """(block, ids, counts, codes, buckets): the documents of a block, their pre-tokens by number, and the bucket of each number."""
+    id_type = docs.schema["id"].dataType.simpleString()
+
+    def rows(block: Block, batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = batch.column(0)
+        data = [[block.key], [ids.to_pylist()], [block.counts.tolist()], [packed(block.codes)], [_zipped(block.buckets(buckets).astype("<u4").tobytes())]]
+        types = [pa.binary(), pa.list_(ids.type), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(d, t) for d, t in zip(data, types, strict=True)], names=["block", "ids", "counts", "codes", "buckets"])
+
+    return _blocks(docs, block_bytes, rows, f"block binary, ids array<{id_type}>, counts array<long>, codes binary, buckets binary")
 
 
 def encode_words(words: DataFrame, path: str | None = None) -> DataFrame:
-    """(word, ids array<int>) of different words (word string)."""
+    """(block, bucket, lens, ids) of word_rows. All rows of a bucket meet in one task, which encodes each different word
+    once; beyond SEEN_WORDS different words it begins anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks(path)
+        seen: dict[bytes, list[int]] = {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([merged(w.encode(), table) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], names=["word", "ids"])
-
-    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+            out_lens, out_ids = [], []
+            for lens, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                text, at, ids, n = _unzipped(text), 0, [], []
+                for size in np.frombuffer(_unzipped(lens), "<u4").tolist():
+                    word = text[at : at + size]
+                    at += size
+                    own = seen.get(word)
+                    if own is None:
+                        if len(seen) >= SEEN_WORDS:
+                            seen.clear()
+                        own = seen[word] = merged(word, table)
+                    ids += own
+                    n.append(len(own))
+                out_lens.append(_zipped(np.array(n, "<u4").tobytes()))
+                out_ids.append(_zipped(np.array(ids, "<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(out_lens, pa.binary()), pa.array(out_ids, pa.binary())], names=["block", "bucket", "lens", "ids"])
+
+    return words.repartition("bucket").mapInArrow(run, "block binary, bucket int, lens binary, ids binary")
 
 
 def token_bytes(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -207,53 +273,74 @@ def decode_ids(rows: DataFrame, key: str, path: str | None = None) -> DataFrame:
     return one.select(key, F.transform("parts", lambda x: x["token"]).alias("ids"), F.unhex(F.array_join(F.transform("parts", lambda x: x["h"]), "")).alias("raw"))
 
 
-def _together(left: pa.Table, right: pa.Table, keep: bool) -> pa.Table:
-    """Rows of one block's documents from its positions and the ids and bytes of its words."""
+class TokenBytes:
+    """Bytes of all tokens, one after another, with where each begins."""
+
+    def __init__(self, path: str | None):
+        table = ranks(path)
+        raw = [b""] * (max(table.values()) + 1)
+        for token, rank in table.items():
+            raw[rank] = token
+        self.raw, self.size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(b) for b in raw], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+
+
+_BYTES: dict[str, TokenBytes] = {}
+
+
+def _together(left: pa.Table, right: pa.Table, path: str | None, keep: bool) -> pa.Table:
+    """Rows of one block's documents from its positions and the ids of its words; bytes of ids from the token-byte table."""
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids", "decoded"] * keep
     cols: list[list] = [[] for _ in names]
-    right = right.combine_chunks()
-    k = right["k"].to_numpy().astype(np.int64)
-    lens, sizes = pc.list_value_length(right["ids"]).to_numpy().astype(np.int64), pc.binary_length(right["raw"]).to_numpy().astype(np.int64)
-    ids = right["ids"].combine_chunks().flatten().to_numpy().astype(np.int64) if len(k) else np.zeros(0, np.int64)
-    raw = np.frombuffer(b"".join(right["raw"].to_pylist()), np.uint8)
-    place = np.empty(len(k), np.int64)
-    place[k] = np.arange(len(k))
-    begin, byte_begin = (np.cumsum(lens) - lens)[place], (np.cumsum(sizes) - sizes)[place]
-    lens, sizes = lens[place], sizes[place]
+    file = rank_file(path)
+    if file not in _BYTES:
+        _BYTES[file] = TokenBytes(path)
+    tokens = _BYTES[file]
+    coded_rows = {r["bucket"]: r for r in right.to_pylist()}  # equal blocks have equal rows
+    lens = [np.frombuffer(_unzipped(coded_rows[b]["lens"]), "<u4") for b in sorted(coded_rows)]
+    ids = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(_unzipped(coded_rows[b]["ids"]), "<u4") for b in sorted(coded_rows))])
+    lens = np.concatenate([np.zeros(0, np.int64), *lens]).astype(np.int64)
+    start = np.cumsum(lens) - lens
     id_type = left.schema.field("ids").type.value_type
     for row in left.to_pylist():
         counts = np.array(row["counts"], np.int64)
-        codes = unpacked(row["codes"], int(counts.sum()))
-        out = ragged_take(ids, begin[codes], lens[codes]).astype("<u4")
-        text = ragged_take(raw, byte_begin[codes], sizes[codes])
-        stops = np.cumsum(counts)
-        n = np.concatenate(([0], np.cumsum(lens[codes])))[np.concatenate(([0], stops))]
-        b = np.concatenate(([0], np.cumsum(sizes[codes])))[np.concatenate(([0], stops))]
+        bucket = np.frombuffer(_unzipped(row["buckets"]), "<u4")
+        if len(bucket) != len(lens):
+            raise RuntimeError("the texts were dealt otherwise when they were read again; store the table first")
+        place = np.empty(len(bucket), np.int64)
+        place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
+        codes = place[unpacked(row["codes"], int(counts.sum()))]
+        out = ragged_take(ids, start[codes], lens[codes])
+        n = np.concatenate(([0], np.cumsum(lens[codes])))[np.concatenate(([0], np.cumsum(counts)))]
         cols[0] += row["ids"]
         cols[1] += np.diff(n).tolist()
-        cols[2] += [hashlib.sha256(out[x:y].tobytes()).hexdigest() for x, y in zip(n[:-1], n[1:], strict=True)]
-        cols[3] += [hashlib.sha256(text[x:y].tobytes()).hexdigest() for x, y in zip(b[:-1], b[1:], strict=True)]
-        if keep:
-            cols[4] += [out[x:y].tolist() for x, y in zip(n[:-1], n[1:], strict=True)]
-            cols[5] += [text[x:y].tobytes() for x, y in zip(b[:-1], b[1:], strict=True)]
+        for x, y in zip(n[:-1], n[1:], strict=True):
+            own = out[x:y]
+            text = ragged_take(tokens.raw, tokens.begin[own], tokens.size[own]).tobytes()
+            cols[2].append(hashlib.sha256(own.tobytes()).hexdigest())
+            cols[3].append(hashlib.sha256(text).hexdigest())
+            if keep:
+                cols[4].append(own.tolist())
+                cols[5].append(text)
     types = [id_type, pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()]
     return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names=names)
 
 
-def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, block_bytes: int = SLICE_BYTES, keep: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, block_bytes: int = 2 * SLICE_BYTES, keep: bool = False) -> DataFrame:
     """(id, n_tokens long, ids_sha256, decoded_sha256), one row per input row; with keep also token_ids array<int> and decoded binary.
 
     Ids are those of the rank file for each match of the pattern, without special tokens; ids_sha256 is over them as
     little-endian 32-bit numbers. A null text counts as empty: no tokens. Texts of any length are encoded whole, repeated
-    rows stay repeated, ids may be null, an empty table gives an empty one, other columns are not read. Blocks are
-    written to the checkpoint folder once; only words, not positions, meet the encoded words, in as many rows as blocks hold the word.
+    rows stay repeated, ids may be null, an empty table gives an empty one, other columns are not read. The texts are
+    read twice, for words and for positions; a table whose rows come in another order each time has to be stored first,
+    else the job fails.
     """
-    ship(docs.sparkSession)
-    blocks = checkpointed(pretoken_blocks(docs, id_col, text_col, block_bytes))
-    places = blocks.select("block", F.posexplode("words").alias("k", "word"))
-    known = decode_ids(encode_words(places.select("word").distinct(), path), "word", path)
-    back = places.join(known, "word").select(F.col("block").alias("home"), "k", "ids", "raw")
+    spark = docs.sparkSession
+    ship(spark)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    known = encode_words(word_rows(texts, block_bytes, buckets), path).withColumnRenamed("block", "home")
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>, decoded binary" * keep
-    both = blocks.select("block", "ids", "counts", "codes").groupBy("block").cogroup(back.groupBy("home"))
-    return both.applyInArrow(lambda left, right: _together(left, right, keep), schema).withColumnRenamed("id", id_col)
+    both = position_rows(texts, block_bytes, buckets).groupBy("block").cogroup(known.groupBy("home"))
+    return both.applyInArrow(lambda left, right: _together(left, right, path, keep), schema).withColumnRenamed("id", id_col)
