@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelane.functions.normalise import DOUBLED, LETTERS, MOST, cardinal_hu, roman_value
+from cuelane.functions.rules import RuleTrie, by_text
 
 #: Names of months, ordinals that are not built from the cardinal, and endings of the last number word.
 MONTHS = "január február március április május június július augusztus szeptember október november december".split()
@@ -52,6 +52,10 @@ def times_hu(text: str) -> str:
     return re.sub(r"(\d{1,2}):(\d{2})(?::(\d{2}))?(-kor)?\b", say, text)
 
 
+#: Fixed value: the form of a word of letters and digits; small letters with accents are no part of it, so that days and numbers with endings are not taken.
+_MIXED = re.compile(r"\b(?=[A-Za-zÁÉÍÓÖŐÚÜŰ\d-]*\d)(?=[A-Za-zÁÉÍÓÖŐÚÜŰ\d-]*[A-Za-zÁÉÍÓÖŐÚÜŰ])[A-Za-zÁÉÍÓÖŐÚÜŰ\d-]+\b")
+
+
 def alphanumeric_hu(text: str) -> str:
     """Words of letters and digits: letters by name, numbers in words; a hyphen is a space and letters after it stay."""
 
@@ -61,11 +65,11 @@ def alphanumeric_hu(text: str) -> str:
             if part.isdigit():
                 out.append(cardinal_hu(int(part)) if int(part) < MOST else part)
             elif part != "-":
-                out.append(part if after_hyphen else " ".join(LETTERS.get(c, c) for c in part.lower()))
+                out.append(part if after_hyphen else " ".join(LETTERS.get(c.lower(), c) for c in part))
             after_hyphen = part == "-"
         return " ".join(out)
 
-    return re.sub(r"(?<![\w-])(?=[\w-]*\d)(?=[\w-]*[^\W\d_])[^\W_](?:[^\W_]|-)*(?![\w])", say, text)
+    return _MIXED.sub(say, text)
 
 
 _SHORT = "|".join(map(re.escape, sorted(SHORT_MONTHS, key=len, reverse=True)))
@@ -121,22 +125,21 @@ def clean_hu(text: str, final: list[tuple[str, str]] = ()) -> str:
     return text
 
 
-def normalise_text(text: str, words: list[tuple[str, str]] = (), force: list[tuple[str, str, int, int]] = (), final: list[tuple[str, str]] = ()) -> str:
+def normalise_text(text: str, words: list[tuple[str, str]] | RuleTrie = (), force: list[tuple[str, str, int, int]] = (), final: list[tuple[str, str]] = ()) -> str:
     """Roman numerals, times, word rules, forced rules, mixed words, dates, ordinals, numbers, clean-up, final replacements, in this order."""
     text = times_hu(roman_hu(text))
-    for key, value in words:
-        text = re.sub(rf"(?i)\b{re.escape(key)}\b", lambda _, v=value: v, text)
+    text = (words if isinstance(words, RuleTrie) else RuleTrie(list(words))).apply(text)
     for key, value, before, after in force:
         text = text.replace(key, " " * before + value + " " * after)
     return clean_hu(numbers_hu(ordinals_hu(dates_hu(alphanumeric_hu(text)))), final)
 
 
 def over_texts(rows: DataFrame, rule: Callable[[str], str], name: str, col: str = "text") -> DataFrame:
-    """Adds name: rule of the text, done once per different text in Arrow batches and joined back; null stays null."""
+    """Adds name: rule of the text, done once per different text of a batch; null stays null."""
+    return rows.withColumn(name, by_text(rule)(F.col(col)))
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(**{name: [rule(t) for t in pdf["__t"]]})
 
-    done = rows.select(F.col(col).alias("__t")).where("__t IS NOT NULL").distinct().mapInPandas(run, f"__t string, `{name}` string")
-    return rows.join(done, F.col(col) == F.col("__t"), "left").drop("__t")
+def normaliser(words: list[tuple[str, str]] = (), force: list[tuple[str, str, int, int]] = (), final: list[tuple[str, str]] = ()) -> Callable[[Column], Column]:
+    """normalise_text as a column function, for a registry of languages."""
+    trie = RuleTrie(list(words))
+    return by_text(lambda t: normalise_text(t, trie, force, final))

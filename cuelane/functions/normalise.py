@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuelane.functions.rules import by_text
+
 
 def _quote(s: str) -> str:
     return re.escape(s).replace("\\ ", " ")
 
 
 def apply_word_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """Whole words replaced, ignoring case, rule after rule (a later rule sees the earlier result). For up to about 50 rules; beyond, see rules_by_worker."""
+    """Whole words replaced, ignoring case, rule after rule (a later rule sees the earlier result). For up to about 50 rules; beyond, see rules.rule_table."""
     for key, value in rules:
         text = F.regexp_replace(text, f"(?iu)(?<![\\p{{L}}\\p{{N}}_]){_quote(key)}(?![\\p{{L}}\\p{{N}}_])", value.replace("\\", "\\\\").replace("$", "\\$"))
     return text
@@ -28,22 +29,6 @@ def apply_force_rules(text: Column, rules: list[tuple[str, str, int, int]]) -> C
     return text
 
 
-def rules_by_worker(texts: DataFrame, rules: list[tuple[str, str]], col: str = "text") -> DataFrame:
-    """(text, normalised) of the different texts under many whole-word rules, compiled once per worker; join the result back."""
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        compiled = [(re.compile(rf"(?i)\b{re.escape(k)}\b"), v) for k, v in rules]
-        for pdf in batches:
-            out = []
-            for t in pdf["text"]:
-                for rx, v in compiled:
-                    t = rx.sub(lambda _, v=v: v, t)
-                out.append(t)
-            yield pd.DataFrame({"text": pdf["text"], "normalised": out})
-
-    return texts.select(F.col(col).alias("text")).where("text IS NOT NULL").distinct().mapInPandas(run, "text string, normalised string")
-
-
 def normalise_en(text: Column, substrings: list[tuple[str, str]], words: list[tuple[str, str]]) -> Column:
     """Substring rules with a space on both sides, whole-word rules, single spaces, '... ' in front, lower case."""
     t = apply_word_rules(apply_force_rules(text, [(k, v, 1, 1) for k, v in substrings]), words)
@@ -78,13 +63,22 @@ def strip_suffix(word: Column) -> Column:
 
 
 #: Names of letters.
-LETTERS = {"a": "a", "b": "bé", "c": "cé", "d": "dé", "e": "e", "f": "ef", "g": "gé", "h": "há", "i": "i", "j": "jé", "k": "ká", "l": "el", "m": "em", "n": "en", "o": "o", "p": "pé", "q": "kú", "r": "er", "s": "es", "t": "té", "u": "ú", "v": "vé", "w": "duplavé", "x": "iksz", "y": "ipszilon", "z": "zé"}
+LETTERS = {
+    "a": "a", "b": "bé", "c": "cé", "d": "dé", "e": "e", "f": "ef", "g": "gé", "h": "há", "i": "í", "j": "jé", "k": "ká", "l": "el", "m": "em", "n": "en", "o": "ó", "p": "pé", "q": "kú", "r": "er", "s": "ess", "t": "té", "u": "ú", "v": "vé", "w": "dupla vé", "x": "iksz", "y": "ipszilon", "z": "zé",
+    "á": "á", "é": "é", "í": "í", "ó": "ó", "ö": "ö", "ő": "ő", "ú": "ú", "ü": "ü", "ű": "ű",
+}
 
 
 def spell_letters(word: Column) -> Column:
-    """Letters by their names, joined by spaces; other characters stay."""
+    """Letters by their names, joined by spaces; other characters stay as they are."""
     names = F.create_map(*[F.lit(x) for kv in LETTERS.items() for x in kv])
-    return F.array_join(F.transform(F.split(F.lower(word), ""), lambda c: F.coalesce(names[c], c)), " ")
+    return F.array_join(F.transform(F.split(word, ""), lambda c: F.coalesce(names[F.lower(c)], c)), " ")
+
+
+def spell_acronyms(text: Column) -> Column:
+    """Words of two or more capitals by the names of their letters, unless all of them are Roman digits."""
+    cut = F.split(F.regexp_replace(text, "(?U)\\b(?![IVXLCDM]+\\b)([A-ZÁÉÍÓÖŐÚÜŰ]{2,})\\b", "\u0001$1\u0001"), "\u0001")  # every second part is an acronym
+    return F.array_join(F.transform(cut, lambda part, i: F.when(i % 2 == 1, spell_letters(part)).otherwise(part)), "")
 
 
 _EN = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
@@ -136,15 +130,9 @@ MOST = 10**36
 
 
 def numbers_to_words(rows: DataFrame, lang: str, col: str = "text") -> DataFrame:
-    """Adds spoken: whole numbers in the text as words of the language (en, hu); others stay. Different texts are done once and joined back."""
+    """Adds spoken: whole numbers in the text as words of the language (en, hu); others stay."""
     say = CARDINALS[lang]
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(spoken=[re.sub(r"\b\d+\b", lambda m: say(int(m[0])) if int(m[0]) < MOST else m[0], t) for t in pdf["__t"]])
-
-    done = rows.select(F.col(col).alias("__t")).where("__t IS NOT NULL").distinct().mapInPandas(run, "__t string, spoken string")
-    return rows.join(done, F.col(col) == F.col("__t"), "left").drop("__t")
+    return rows.withColumn("spoken", by_text(lambda t: re.sub(r"\b\d+\b", lambda m: say(int(m[0])) if int(m[0]) < MOST else m[0], t))(F.col(col)))
 
 
 #: Fixed values of Roman letters.
@@ -160,18 +148,13 @@ def roman_value(s: str) -> int:
 
 def roman_before_dot(rows: DataFrame, col: str = "text") -> DataFrame:
     """Adds arabic: runs of IVXLCDM before a dot as numbers, without a check of their form."""
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(arabic=[re.sub(r"[IVXLCDM]+(?=\.)", lambda m: str(roman_value(m[0])), t) for t in pdf["__t"]])
-
-    done = rows.select(F.col(col).alias("__t")).where("__t IS NOT NULL").distinct().mapInPandas(run, "__t string, arabic string")
-    return rows.join(done, F.col(col) == F.col("__t"), "left").drop("__t")
+    return rows.withColumn("arabic", by_text(lambda t: re.sub(r"[IVXLCDM]+(?=\.)", lambda m: str(roman_value(m[0])), t))(F.col(col)))
 
 
 def normalise_by_lang(text: Column, lang: Column, registry: dict[str, Callable[[Column], Column]]) -> Column:
-    """Each row's text by its language's normaliser; an unknown language changes nothing."""
-    out = text
+    """Each row's text by the normaliser that the registry has for its language, a column function of SQL or of by_text;
+    each sees the texts of its own language only. An unknown or null language changes nothing."""
+    out = F.when(~F.coalesce(lang.isin(*registry), F.lit(False)), text)
     for name, f in registry.items():
-        out = F.when(lang == name, f(text)).otherwise(out)
+        out = F.coalesce(out, f(F.when(lang == name, text)))
     return out

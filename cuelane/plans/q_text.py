@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from cuelane.functions import hungarian as hu
 from cuelane.functions import normalise as nm
 from cuelane.functions import phonemes as ph
+from cuelane.functions import rules as rl
 from cuelane.operators import segment as sg
 from cuelane.operators.timeline import stamp
 from cuelane.plans import fixtures as fx
@@ -118,9 +120,23 @@ def t1(spark, d):
     return fx.table(spark, d, "documents").where("lang = 'en'").select("doc_id", _en(F.col("text")).alias("text"))
 
 
-@query("t4_apply_word_rules", "SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\\bthe\\b', 'of', 'g'), '(?i)\\bof\\b', 'X$1', 'g') AS text FROM documents")
+#: Rules of the t4 query, as many as a real rule file has.
+RULES = 717
+
+
+@query("t4_apply_word_rules", r"""WITH RECURSIVE toks AS MATERIALIZED (SELECT r, doc_id, unnest(x) AS t, unnest(range(len(x))) AS i FROM (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS x FROM documents)),
+f AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) - 1 AS k FROM (SELECT lower(t) AS w, count(*) AS n FROM toks WHERE regexp_matches(t, '^[\p{L}\p{N}_]') GROUP BY 1)),
+top AS MATERIALIZED (SELECT * FROM f WHERE k < 717), rules AS MATERIALIZED (SELECT a.k, a.w, b.k AS v, b.w AS value FROM top a JOIN top b ON b.k = (a.k * 7 + 3) % (SELECT count(*) FROM top)),
+chain(k, step, fired, target, said) AS (SELECT k, 0, k, v, value FROM rules UNION ALL SELECT c.k, c.step + 1, r.k, r.v, r.value FROM chain c JOIN rules r ON r.k = c.target WHERE c.target > c.fired),
+final AS MATERIALIZED (SELECT w, arg_max(said, step) AS said FROM chain JOIN rules USING (k) GROUP BY w)
+SELECT any_value(doc_id) AS doc_id, string_agg(coalesce(said, t), '' ORDER BY i) AS text FROM toks LEFT JOIN final ON lower(t) = w GROUP BY r UNION ALL SELECT doc_id, text FROM documents WHERE text IS NULL OR text = ''""")
 def t4(spark, d):
-    return fx.table(spark, d, "documents").select("doc_id", nm.apply_word_rules(F.col("text"), [("the", "of"), ("of", "X$1")]).alias("text"))
+    """Every rule's value is another rule's key, so that rules chain."""
+    docs = fx.table(spark, d, "documents")
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([\\p{L}\\p{N}_]+)"), 1)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    top = [r.w for r in words.orderBy(F.desc("n"), "w").limit(RULES).collect()]
+    rules = [(w, top[(k * 7 + 3) % len(top)]) for k, w in enumerate(top)]
+    return docs.select("doc_id", rl.rule_table(rules)(F.col("text")).alias("text"))
 
 
 @query("t5_apply_force_rules", "SELECT doc_id, replace(replace(text, 'th', ' TH  '), 'er', 'R ') AS text FROM documents")
@@ -149,11 +165,22 @@ def t11(spark, d):
     return w.select("word", nm.strip_suffix(F.col("word")).alias("stem"))
 
 
-@query("t13_spell_letters", "WITH l AS (SELECT DISTINCT p_brand FROM part), c AS (SELECT p_brand, unnest(string_split(lower(p_brand), '')) AS c, unnest(range(length(p_brand))) AS i FROM l) SELECT p_brand, string_agg(CASE c " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in nm.LETTERS.items()) + " ELSE c END, ' ' ORDER BY i) AS spelt FROM c GROUP BY 1")
+# The names of letters are written out here, not taken from the code.
+_NAMES = "a:a b:bé c:cé d:dé e:e f:ef g:gé h:há i:í j:jé k:ká l:el m:em n:en o:ó p:pé q:kú r:er s:ess t:té u:ú v:vé w:dupla_vé x:iksz y:ipszilon z:zé".split(" ")
+_NAMED = "CASE lower({0}) " + " ".join("WHEN '{}' THEN '{}'".format(*x.replace("_", " ").split(":")) for x in _NAMES) + " ELSE {0} END"
+
+
+@query("t13_spell_letters", "WITH l AS (SELECT DISTINCT p_brand FROM part), c AS (SELECT p_brand, unnest(string_split(p_brand, '')) AS c, unnest(range(length(p_brand))) AS i FROM l) SELECT p_brand, string_agg(" + _NAMED.format("c") + ", ' ' ORDER BY i) AS spelt FROM c GROUP BY 1")
 def t13(spark, d):
     return fx.table(spark, d, "part").select("p_brand").distinct().select("p_brand", nm.spell_letters(F.col("p_brand")).alias("spelt"))
 
 
+@query("t13_spell_acronyms", "WITH d AS (SELECT c_custkey, upper(c_mktsegment) AS a, c_name FROM customer), c AS (SELECT c_custkey, unnest(string_split(a, '')) AS c, unnest(range(length(a))) AS i FROM d), s AS (SELECT c_custkey, string_agg(" + _NAMED.format("c") + ", ' ' ORDER BY i) AS said FROM c GROUP BY 1) SELECT c_custkey, 'Az ' || said || '-nak XIV DC ' || c_name || ' Ab' AS text FROM d JOIN s USING (c_custkey)")
+def t13_acronyms(spark, d):
+    c = fx.table(spark, d, "customer")
+    return c.select("c_custkey", nm.spell_acronyms(F.concat(F.lit("Az "), F.upper("c_mktsegment"), F.lit("-nak XIV DC "), "c_name", F.lit(" Ab"))).alias("text"))
+
+
 def _values(table: dict[str, str]) -> str:
     return "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in table.items()) + ")"
 
@@ -181,18 +208,44 @@ def t12(spark, d):
     return w.select("word", ph.phonemes_to_hu(tokens).alias("spelling"))
 
 
-@query("t2_roman_before_dot")
+@query("t2_roman_before_dot", r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS t FROM documents WHERE text IS NOT NULL AND text <> ''),
+x AS MATERIALIZED (SELECT r, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM (SELECT r, regexp_extract_all(t, '[IVXLCDM]+\.?|[^IVXLCDM]+') AS ps FROM d)),
+l AS (SELECT p, i, CASE substr(p, i, 1) WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 WHEN 'D' THEN 500 WHEN 'M' THEN 1000 END AS v FROM (SELECT p, unnest(range(1, length(p))) AS i FROM (SELECT DISTINCT p FROM x WHERE regexp_matches(p, '^[IVXLCDM]+\.$')))),
+n AS (SELECT p, sum(CASE WHEN after > v THEN -v ELSE v END)::BIGINT || '.' AS said FROM (SELECT *, lead(v) OVER (PARTITION BY p ORDER BY i) AS after FROM l) GROUP BY p),
+o AS (SELECT r, string_agg(coalesce(said, x.p), '' ORDER BY i) AS arabic FROM x LEFT JOIN n ON x.p = n.p GROUP BY r)
+SELECT doc_id, arabic FROM d JOIN o USING (r) UNION ALL SELECT doc_id, text FROM documents WHERE text IS NULL OR text = ''""")
 def t2(spark, d):
-    s = fx.table(spark, d, "documents").select("doc_id", F.regexp_replace(F.upper("text"), "([IVXLCDM])", "$1").alias("text"))
+    s = fx.table(spark, d, "documents").select("doc_id", F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("text"))
     return nm.roman_before_dot(s).select("doc_id", "arabic")
 
 
-@query("q2_numbers_to_words")
+# Hungarian number words below a million, from the words of digits and tens.
+_HU_WORDS = """u(d, w) AS (VALUES (0, ''), (1, 'egy'), (2, 'kettő'), (3, 'három'), (4, 'négy'), (5, 'öt'), (6, 'hat'), (7, 'hét'), (8, 'nyolc'), (9, 'kilenc')),
+t(d, w, j) AS (VALUES (0, '', ''), (1, 'tíz', 'tizen'), (2, 'húsz', 'huszon'), (3, 'harminc', 'harminc'), (4, 'negyven', 'negyven'), (5, 'ötven', 'ötven'), (6, 'hatvan', 'hatvan'), (7, 'hetven', 'hetven'), (8, 'nyolcvan', 'nyolcvan'), (9, 'kilencven', 'kilencven')),
+hu AS MATERIALIZED (SELECT h.d * 100 + t.d * 10 + u.d AS n, CASE h.d WHEN 0 THEN '' WHEN 1 THEN 'száz' WHEN 2 THEN 'kétszáz' ELSE h.w || 'száz' END || CASE u.d WHEN 0 THEN t.w ELSE t.j || u.w END AS w FROM u h, t, u)"""
+
+
+def _hu(n: str) -> str:
+    """SQL of the words of a number below a million."""
+    of = lambda x: f"(SELECT w FROM hu WHERE hu.n = {x})"
+    return f"CASE WHEN {n} = 0 THEN 'nulla' WHEN {n} < 1000 THEN {of(n)} ELSE CASE {n} // 1000 WHEN 1 THEN '' WHEN 2 THEN 'két' ELSE {of(f'({n}) // 1000')} END || 'ezer' || CASE WHEN {n} % 1000 = 0 THEN '' WHEN {n} > 2000 THEN '-' ELSE '' END || {of(f'({n}) % 1000')} END"
+
+
+@query("q2_numbers_to_words", "WITH " + _HU_WORDS + " SELECT o_orderkey, 'order ' || " + _hu("o_orderkey") + " || ' by ' || " + _hu("o_custkey") + " AS spoken FROM orders")
 def q2(spark, d):
     o = fx.table(spark, d, "orders").select("o_orderkey", F.concat_ws(" ", F.lit("order"), "o_orderkey", F.lit("by"), "o_custkey").alias("text"))
     return nm.numbers_to_words(o, "hu").select("o_orderkey", "spoken")
 
 
+@query("u1_normalise_registry", "WITH " + _HU_WORDS + ", o AS (SELECT o_orderkey, o_custkey, ['en', 'hu', 'xx', NULL][o_orderkey % 4 + 1] AS lang, 'The ' || o_orderkey || ' & (' || o_custkey || ') darab' AS text FROM orders) SELECT o_orderkey, CASE lang WHEN 'en' THEN " + _EN.format("text") + " WHEN 'hu' THEN 'A ' || replace(" + _hu("o_orderkey") + ", '-', '') || ' & ' || replace(" + _hu("o_custkey") + ", '-', '') || ' darab' ELSE text END AS text FROM o")
+def u1_registry(spark, d):
+    """Hungarian and English in one query; an unknown and a null language change nothing."""
+    o = fx.table(spark, d, "orders")
+    lang = F.element_at(F.array(F.lit("en"), F.lit("hu"), F.lit("xx"), F.lit(None)), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    text = F.concat(F.lit("The "), F.col("o_orderkey").cast("string"), F.lit(" & ("), F.col("o_custkey").cast("string"), F.lit(") darab"))
+    return o.select("o_orderkey", nm.normalise_by_lang(text, lang, {"en": _en, "hu": hu.normaliser([("the", "A")])}).alias("text"))
+
+
 @query("u1_normalise_by_lang", "SELECT doc_id, CASE WHEN lang = 'en' THEN " + _EN.format("text") + " ELSE text END AS text FROM documents")
 def u1(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", nm.normalise_by_lang(F.col("text"), F.col("lang"), {"en": _en}).alias("text"))
