@@ -188,6 +188,39 @@ def _reach(t: pa.Table, group: np.ndarray, rule: str, cap: int, width: int) -> p
     return pa.table([t[c].take(pa.array(own)) for c in names] + [pa.array(k[own] - lo), nxt, nxt_b], names=[*names, "k", "nxt", "nxt_b"])
 
 
+def _finished(t: pa.Table, group: np.ndarray, rule: str, cap: int) -> pa.Table:
+    """All cuts of stretches that are short enough to be looked at in one place."""
+    edges = [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), len(group)]
+    start, end, mark = (t[c].to_pylist() for c in ("start_ms", "end_ms", "mark"))
+    cuts: list[int] = []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        todo = [(a, b)]
+        while todo:
+            lo, hi = todo.pop()
+            begin, total = start[lo], end[hi - 1] - start[lo]
+            if hi - lo < 2 or total <= cap:
+                continue
+            stop = comma = wide = None
+            i = lo
+            while i < hi - 1 and start[i] - begin <= cap:
+                if end[i] - begin <= cap:
+                    stop, comma = (i if mark[i] == 2 else stop), (i if mark[i] == 1 else comma)
+                    gap = start[i + 1] - end[i]
+                    wide = (gap, i) if wide is None or gap >= wide[0] else wide
+                i += 1
+            if rule == "max_gap":
+                at = [lo + 1 if wide is None else wide[1] + 1]
+            elif stop is not None or comma is not None:
+                at = [(comma if stop is None else stop) + 1]
+            else:
+                parts = max(2, -(-total // cap))
+                part = [min(parts - 1, (x - begin) * parts // total) for x in start[lo:hi]] if rule == "recursive" else [0]
+                at = [lo + j for j in range(1, len(part)) if part[j] != part[j - 1]] or [lo + (hi - lo) // 2]
+            cuts += at
+            todo += zip([lo, *at], [*at, hi], strict=True)
+    return t.select(["media_id", "seg_idx", "k"]).take(pa.array(cuts, pa.int64()))
+
+
 def _cuts(spans: DataFrame, rule: str, cap: int) -> tuple[DataFrame, DataFrame]:
     """One round over the words of open stretches: the cuts (media_id, seg_idx, k) that follow one from the other, and the
     words of what no cut could be found for, as stretches of their own."""
@@ -219,13 +252,14 @@ def _cuts(spans: DataFrame, rule: str, cap: int) -> tuple[DataFrame, DataFrame]:
     return cuts, parts.withColumn("begin", F.min("start_ms").over(W.partitionBy("media_id", "seg_idx", "lo"))).where(f"until_ms - begin > {cap} AND hi - lo > 1").drop("begin")
 
 
-def split_words(words: DataFrame, rule: str = "recursive", cap: int = 11500) -> DataFrame:
+def split_words(words: DataFrame, rule: str = "recursive", cap: int = 11500, local: int = chains.BLOCK) -> DataFrame:
     """Words with seg_idx of segments cut until none is longer than cap ms (or is one word), renumbered in order.
 
     recursive: after the last sentence end whose word ends within cap of the start, else the last comma, else into equal
     spans of time. halving: the same, else in the middle. max_gap: at the largest gap in reach, the last of equal ones.
-    The last word of a stretch is never its mark. Each round finds all cuts of all open stretches that marks or gaps
-    give, in blocks of time, and cuts what is left over; words of short segments take no part. Recordings are not null.
+    The last word of a stretch is never its mark. Stretches of up to `local` words are cut to the end at once. For longer
+    ones each round finds all cuts that marks or gaps give, in blocks of time, and cuts what is left over; words of
+    short segments take no part. Recordings are not null.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
@@ -239,14 +273,14 @@ def split_words(words: DataFrame, rule: str = "recursive", cap: int = 11500) ->
         F.last("end_ms").over(whole).alias("until_ms"), F.last("start_ms").over(whole).alias("last_ms"), F.first("start_ms").over(whole).alias("begin"),
     ).where(f"until_ms - begin > {cap} AND hi > 1").drop("begin")
     spans = chains.stored(spans)
-    cuts = None
+    finish = lambda t, g: _finished(t, g, rule, cap)
+    cuts = chains.by_groups(spans.where(f"hi - lo <= {local}"), ["media_id", "seg_idx", "lo"], ["k"], finish, "media_id string, seg_idx int, k long")
+    spans = spans.where(f"hi - lo > {local}")
     while not spans.isEmpty():
         found, spans = _cuts(spans, rule, cap)
-        cuts = found if cuts is None else cuts.unionByName(found)
-    if cuts is None:
-        cut = n.withColumn("__cut", F.lit(False))
-    else:
-        cut = n.join(cuts.distinct().withColumn("__cut", F.lit(True)), ["media_id", "seg_idx", "k"], "left")
+        cuts = cuts.unionByName(found).unionByName(chains.by_groups(spans.where(f"hi - lo <= {local}"), ["media_id", "seg_idx", "lo"], ["k"], finish, "media_id string, seg_idx int, k long"))
+        spans = spans.where(f"hi - lo > {local}")
+    cut = n.join(cuts.distinct().withColumn("__cut", F.lit(True)), ["media_id", "seg_idx", "k"], "left")
     first = F.when((F.col("k") == 0) | F.col("__cut"), 1).otherwise(0)
     order = W.partitionBy("media_id").orderBy("seg_idx", "k")
     return cut.withColumn("seg_idx", (F.sum(first).over(order) - 1).cast("int")).drop("k", "__cut")

@@ -130,7 +130,15 @@ def w4(spark, d):
     return _rows(sg.punct_segments(fx.words(spark, d)))
 
 
-@query("w5_punct_comma_segments")
+_COMMAS = _marked("gap > 300 OR regexp_matches(before, '[.!?]$')").replace("mk AS", "isl AS MATERIALIZED") + """,
+p AS MATERIALIZED (SELECT media_id, seg_idx AS isl, row_number() OVER w - 1 AS k, start_ms, end_ms, input_pos, word LIKE '%,' AND lead(word) OVER w IS NOT NULL AS comma, coalesce(before LIKE '%,' OR before IS NULL, true) OR row_number() OVER w = 1 AS can FROM isl WINDOW w AS (PARTITION BY media_id, seg_idx ORDER BY start_ms, input_pos)),
+nx AS MATERIALIZED (SELECT a.media_id, a.isl, a.k, min(b.k) + 1 AS nxt FROM p a JOIN p b ON a.media_id = b.media_id AND a.isl = b.isl AND b.comma AND b.k >= a.k AND b.end_ms - a.start_ms >= 8000 WHERE a.can GROUP BY ALL),
+walk AS (SELECT DISTINCT media_id, isl, 0::BIGINT AS k FROM p UNION ALL SELECT w.media_id, w.isl, nx.nxt FROM walk w JOIN nx USING (media_id, isl, k)),
+mk AS (SELECT p.media_id, p.start_ms, p.end_ms, p.input_pos, (sum(CASE WHEN walk.k IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY p.media_id ORDER BY p.start_ms, p.input_pos) - 1)::INT AS seg_idx FROM p LEFT JOIN walk ON p.media_id = walk.media_id AND p.isl = walk.isl AND p.k = walk.k)
+"""
+
+
+@query("w5_punct_comma_segments", oracle("words", _COMMAS + _ROWS).replace("WITH ", "WITH RECURSIVE ", 1))
 def w5(spark, d):
     return _rows(sg.punct_comma_segments(fx.words(spark, d)))
 
@@ -164,17 +172,39 @@ def _long(spark, d, rule):
     return sg.segment_rows(sg.split_words(sg.pause_segments(fx.words(spark, d), 100000), rule)).drop("words")
 
 
-@query("w9_split_long_recursive")
+def _split(cut: str) -> str:
+    """Recursion over stretches longer than 11.5 s: part is the number of the piece that a word goes to."""
+    return oracle("words", _marked("gap > 100000").replace("mk AS", "seg AS") + f""",
+n AS MATERIALIZED (SELECT media_id, seg_idx AS seg, row_number() OVER w - 1 AS k, start_ms, end_ms, word, speaker, input_pos, lead(start_ms) OVER w AS nstart, CASE WHEN regexp_matches(word, '[.!?]\\s*$') THEN 2 WHEN regexp_matches(word, ',\\s*$') THEN 1 ELSE 0 END AS mark FROM seg WINDOW w AS (PARTITION BY media_id, seg_idx ORDER BY start_ms, input_pos)),
+span(media_id, seg, lo, hi, long) AS (SELECT media_id, seg, 0::BIGINT, count(*)::BIGINT, arg_max(end_ms, k) - min(start_ms) > 11500 AND count(*) > 1 FROM n GROUP BY media_id, seg
+ UNION ALL SELECT media_id, seg, min(k), max(k) + 1, arg_max(end_ms, k) - min(start_ms) > 11500 AND count(*) > 1 FROM (
+  SELECT *, {cut} AS part FROM (SELECT *, max(CASE WHEN fits AND mark = 2 THEN k END) OVER s AS stop, max(CASE WHEN fits AND mark = 1 THEN k END) OVER s AS comma, max(CASE WHEN fits THEN (nstart - end_ms) * 1000000 + k END) OVER s AS wide,
+    greatest(2, ceil((until_ms - begin) / 11500.0)) AS parts, max(CASE WHEN k = hi - 1 THEN start_ms END) OVER s AS last_ms FROM (
+   SELECT n.*, span.lo, span.hi, min(n.start_ms) OVER g AS begin, max(CASE WHEN n.k = span.hi - 1 THEN n.end_ms END) OVER g AS until_ms, n.end_ms - min(n.start_ms) OVER g <= 11500 AND n.k <= span.hi - 2 AS fits
+   FROM span JOIN n ON span.media_id = n.media_id AND span.seg = n.seg AND n.k >= span.lo AND n.k < span.hi WHERE span.long WINDOW g AS (PARTITION BY n.media_id, n.seg, span.lo)) WINDOW s AS (PARTITION BY media_id, seg, lo)))
+  GROUP BY media_id, seg, lo, part),
+o AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY media_id ORDER BY seg, lo) - 1)::INT AS seg_idx FROM span WHERE NOT long),
+x AS MATERIALIZED (SELECT o.seg_idx, n.* FROM o JOIN n ON o.media_id = n.media_id AND o.seg = n.seg AND n.k >= o.lo AND n.k < o.hi),
+sp AS (SELECT media_id, seg_idx, speaker FROM (SELECT media_id, seg_idx, speaker, row_number() OVER (PARTITION BY media_id, seg_idx ORDER BY count(*) DESC, min(input_pos)) AS rn FROM x WHERE speaker IS NOT NULL GROUP BY media_id, seg_idx, speaker) WHERE rn = 1),
+r AS (SELECT media_id, seg_idx, min(start_ms) AS start_ms, arg_max(end_ms, k) AS end_ms, trim(replace(string_agg(word, ' ' ORDER BY k), '"', '')) AS text, count(DISTINCT speaker) > 1 AS mixed_speakers FROM x GROUP BY media_id, seg_idx)
+SELECT media_id, seg_idx, start_ms, end_ms, text, speaker, mixed_speakers FROM r LEFT JOIN sp USING (media_id, seg_idx)""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_AT_MARK = "CASE WHEN stop IS NOT NULL THEN (k > stop)::INT WHEN comma IS NOT NULL THEN (k > comma)::INT "
+_HALF = "(k - lo >= (hi - lo) // 2)::INT"
+
+
+@query("w9_split_long_recursive", _split(_AT_MARK + f"WHEN (last_ms - begin) * parts < until_ms - begin THEN {_HALF} ELSE least(parts - 1, floor((start_ms - begin) * parts / (until_ms - begin)))::INT END"))
 def w9(spark, d):
     return _long(spark, d, "recursive")
 
 
-@query("w10_split_long_max_gap")
+@query("w10_split_long_max_gap", _split("CASE WHEN wide IS NULL THEN k > lo ELSE k > wide % 1000000 END::INT"))
 def w10(spark, d):
     return _long(spark, d, "max_gap")
 
 
-@query("w11_split_long_halving")
+@query("w11_split_long_halving", _split(_AT_MARK + f"ELSE {_HALF} END"))
 def w11(spark, d):
     return _long(spark, d, "halving")
 

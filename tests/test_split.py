@@ -56,22 +56,23 @@ def model(ws, cap, rule):
     return out
 
 
-def cut(spark, recordings, rule, cap):
+def cut(spark, recordings, rule, cap, local):
     rows = [(m, 0, i, *w, 0.5, "S") for m, ws in recordings.items() for i, w in enumerate(ws)]
     got = {}
-    for r in segment.split_words(spark.createDataFrame(rows, SCHEMA), rule, cap).collect():
+    for r in segment.split_words(spark.createDataFrame(rows, SCHEMA), rule, cap, local).collect():
         got.setdefault(r.media_id, {}).setdefault(r.seg_idx, []).append((r.input_pos, r.word, r.start_ms, r.end_ms))
     return {m: [[w[1:] for w in sorted(parts[k])] for k in sorted(parts)] for m, parts in got.items()}
 
 
+@pytest.mark.parametrize("local", [1, 100, 4096])
 @pytest.mark.parametrize("nested", [False, True])
 @pytest.mark.parametrize("rule", segment.RULES)
-def test_split_words(spark, rule, nested):
+def test_split_words(spark, rule, nested, local):
     recordings = {f"m{i}": some_words(RNG.choice([1, 2, 5, 20, 60, 300]), nested) for i in range(60)}
     recordings["same"] = [("a", 0, 100 * i) for i in range(1, 80)]
     recordings["plain"] = [("a", 500 * i, 500 * i + 400) for i in range(900)]
     recordings["long words"] = [("a.", 90_000 * i, 90_000 * i + 80_000) for i in range(5)]
-    got = cut(spark, recordings, rule, 3000)
+    got = cut(spark, recordings, rule, 3000, local)
     for m, ws in recordings.items():
         assert got[m] == model(ws, 3000, rule), m
     assert segment.split_words(spark.createDataFrame([], SCHEMA), rule).count() == 0
