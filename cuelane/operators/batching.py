@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from cuelane.operators import chains
+
 
 def blank(col: str) -> Column:
     return F.trim(F.coalesce(F.col(col), F.lit(""))) == ""
@@ -34,30 +36,26 @@ def merge_translations(segments: DataFrame, done: DataFrame, model: str, pair: s
     return segments.join(d, ["media_id", "seg_idx"], "left").withColumn("translated_text", F.coalesce("__t", F.lit(""))).drop("__t").withColumn("model", F.lit(model)).withColumn("pair", F.lit(pair))
 
 
-def cut_batches(starts: list[int], ends: list[int], least: int = 50, most: int = 100, gap: int = 5000) -> list[int]:
-    """Batch number per item: cut before the first gap of at least `gap` after `least` items, else before the largest gap (the first of equal ones) up to `most`; a rest of `least` or fewer is one batch."""
-    n, lo, batch, out = len(starts), 0, 0, []
-    while n - lo > least:
-        hi = min(n, lo + most)
-        spots = range(lo + least, hi)
-        at = next((i for i in spots if starts[i] - ends[i - 1] >= gap), None)
-        if at is None:
-            at = max(spots, key=lambda i: (starts[i] - ends[i - 1], -i)) if hi < n and len(spots) else hi
-        out += [batch] * (at - lo)
-        lo, batch = at, batch + 1
-    return out + [batch] * (n - lo)
-
-
 def smart_batches(segments: DataFrame, least: int = 50, most: int = 100, gap: int = 5000) -> DataFrame:
-    """Adds batch_id and item (place in the batch, from 1). A cut depends on the one before, so each recording is cut by cut_batches."""
-    schema = T.StructType([*segments.schema.fields, T.StructField("batch_id", T.IntegerType()), T.StructField("item", T.IntegerType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_ms", "seg_idx"])
-        pdf["batch_id"] = cut_batches(pdf["start_ms"].tolist(), pdf["end_ms"].tolist(), least, most, gap)
-        return pdf.assign(item=pdf.groupby("batch_id").cumcount() + 1)
-
-    return segments.groupBy("media_id").applyInPandas(run, schema)
+    """Adds batch_id and item (place in the batch, from 1): a cut before the first gap of at least `gap` after `least`
+    items, else before the largest gap (the first of equal ones) up to `most`; a rest of `least` or fewer is one batch.
+
+    For each item a window over the next `most` gaps tells where the next cut would be if a batch began there; the cuts
+    are the chain of these from the first item. Texts take no part in that. Recordings are not null.
+    """
+    order = W.partitionBy("media_id").orderBy("start_ms", "seg_idx")
+    n = segments.withColumn("__k", F.row_number().over(order).cast("long") - 1)
+    by_k = W.partitionBy("media_id").orderBy("k")
+    slim = n.select("media_id", F.col("__k").alias("k"), F.count("*").over(W.partitionBy("media_id")).alias("n"), (F.col("start_ms") - F.lag("end_ms").over(order)).alias("gap"))
+    ahead = by_k.rowsBetween(least, most - 1)
+    first, widest = F.min(F.when(F.col("gap") >= gap, F.col("k"))).over(ahead), F.max(F.struct("gap", (-F.col("k")).alias("before"))).over(ahead)
+    cut = F.when(F.col("n") - F.col("k") > least, F.coalesce(F.col("first"), F.when(F.col("k") + most < F.col("n"), F.coalesce(-F.col("widest.before"), F.col("k") + most))))
+    points = slim.select("media_id", "k", "n", first.alias("first"), widest.alias("widest")).select("media_id", "k", cut.alias("nxt"))
+    block = lambda c: F.expr(f"{c} div {chains.BLOCK}")
+    cuts = chains.chain(chains.stored(points.withColumn("b", block("k")).withColumn("nxt_b", block("nxt"))), ["media_id"])
+    marked = n.join(cuts.select("media_id", F.col("k").alias("__k"), F.lit(1).alias("__cut")), ["media_id", "__k"], "left")
+    numbered = marked.withColumn("batch_id", (F.count("__cut").over(W.partitionBy("media_id").orderBy("__k")) - 1).cast("int"))
+    return numbered.withColumn("item", F.row_number().over(W.partitionBy("media_id", "batch_id").orderBy("__k"))).select(*segments.columns, "batch_id", "item")
 
 
 def numbered_prompt(items: DataFrame) -> DataFrame:
@@ -79,6 +77,32 @@ def bisect_rejected(items: DataFrame) -> DataFrame:
     return items.withColumn("failed", F.col("n") == 1).withColumn("next_label", F.when(F.col("n") == 1, F.col("label")).when(F.col("item") <= half, F.concat("label", F.lit("-A"))).otherwise(F.concat("label", F.lit("-B")))).withColumn("next_item", F.when((F.col("n") == 1) | (F.col("item") <= half), F.col("item")).otherwise(F.col("item") - half))
 
 
+def bisect_until_done(items: DataFrame, ask: Callable[[DataFrame], DataFrame], rounds: int = 60) -> DataFrame:
+    """Rounds of bisection until nothing is open. items: (media_id, batch_id, item, ...) with `batch_id` told whole first.
+
+    ask gets the open items with label ('<batch_id>', then '-A' and '-B' for each halving), item and n of the part, and
+    gives (media_id, label, item, line) for the parts that it has answered; a part counts as answered if each of its
+    items has a line. What is not answered is halved and asked again, a single item has failed for good. Result: the
+    columns of items with label, depth, line and failed, one row per item. A round asks for open items only, and is
+    stored before the next; 2^k items need k + 1 rounds. Empty items give an empty result.
+    """
+    part = ["media_id", "label"]
+    own = items.withColumn("label", F.col("batch_id").cast("string")).withColumn("__item", F.col("item"))
+    left = chains.stored(own.withColumn("n", F.count("*").over(W.partitionBy(*part))))
+    done: DataFrame | None = None
+    for depth in range(rounds):
+        told = ask(left.drop("__item")).select(*part, "item", "line").where("line IS NOT NULL").dropDuplicates([*part, "item"])
+        tried = left.join(told, [*part, "item"], "left").withColumn("told", F.count("line").over(W.partitionBy(*part))).withColumn("depth", F.lit(depth))
+        tried = chains.stored(tried.withColumn("failed", (F.col("told") < F.col("n")) & (F.col("n") == 1)).withColumn("open", (F.col("told") < F.col("n")) & (F.col("n") > 1)))
+        settled = tried.where("NOT open").withColumn("line", F.when(~F.col("failed"), F.col("line")))
+        done = settled if done is None else done.unionByName(settled)
+        left = bisect_rejected(tried.where("open").drop("line", "told", "depth", "failed", "open"))
+        left = chains.stored(left.drop("label", "item", "failed", "n").withColumnsRenamed({"next_label": "label", "next_item": "item"}).withColumn("n", F.count("*").over(W.partitionBy(*part))))
+        if left.isEmpty():
+            return done.drop("item", "n", "told", "open").withColumnRenamed("__item", "item")
+    raise RuntimeError("items are open after all rounds")
+
+
 def glossary_hint(pairs: DataFrame, most: int = 20) -> DataFrame:
     """(glossary_id, hint): the first pairs, 'a -> b; c -> d', both sides trimmed and not blank."""
     r = pairs.where(~blank("term") & ~blank("translation")).withColumn("rn", F.row_number().over(W.partitionBy("glossary_id").orderBy("pos"))).where(F.col("rn") <= most)

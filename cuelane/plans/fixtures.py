@@ -128,4 +128,4 @@ def oracle(needs: str, body: str) -> str:
 
     for name in needs.split():
         add(name)
-    return "WITH " + ",\n".join(SQL[n] for n in want) + ("\n" if body.lstrip().upper().startswith("SELECT") else ",\n") + body.strip()
+    return "WITH " + ",\n".join(SQL[n].replace(" AS (", " AS MATERIALIZED (", 1) for n in want) + ("\n" if body.lstrip().upper().startswith("SELECT") else ",\n") + body.strip()

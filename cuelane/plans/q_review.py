@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from cuelane.operators import batching as bt
 from cuelane.operators import review as rv
@@ -57,7 +58,11 @@ def p12(spark, d):
     return bt.merge_translations(fx.segments(spark, d), _done(spark, d), "m1", "en-hu").select("media_id", "seg_idx", "translated_text", "model", "pair")
 
 
-@query("b1_smart_batches")
+@query("b1_smart_batches", oracle("segments", """k AS MATERIALIZED (SELECT media_id, seg_idx, start_ms, end_ms, text, row_number() OVER w - 1 AS k, start_ms - lag(end_ms) OVER w AS gap, count(*) OVER (PARTITION BY media_id) AS n FROM segments WINDOW w AS (PARTITION BY media_id ORDER BY start_ms, seg_idx)),
+x AS MATERIALIZED (SELECT media_id, k, CASE WHEN n - k > 50 THEN coalesce(min(CASE WHEN gap >= 5000 THEN k END) OVER f, CASE WHEN k + 100 < n THEN arg_max(k, gap * 10000000 - k) OVER f END) END AS nxt FROM k WINDOW f AS (PARTITION BY media_id ORDER BY k ROWS BETWEEN 50 FOLLOWING AND 99 FOLLOWING)),
+walk AS (SELECT DISTINCT media_id, 0::BIGINT AS k FROM k UNION ALL SELECT x.media_id, x.nxt FROM walk JOIN x USING (media_id, k) WHERE x.nxt IS NOT NULL),
+m AS (SELECT k.*, (count(walk.k) OVER (PARTITION BY k.media_id ORDER BY k.k) - 1)::INT AS batch_id FROM k LEFT JOIN walk ON k.media_id = walk.media_id AND k.k = walk.k)
+SELECT media_id, seg_idx, start_ms, end_ms, text, batch_id, row_number() OVER (PARTITION BY media_id, batch_id ORDER BY k)::INT AS item FROM m""").replace("WITH ", "WITH RECURSIVE ", 1))
 def b1(spark, d):
     return bt.smart_batches(fx.segments(spark, d).select("media_id", "seg_idx", "start_ms", "end_ms", "text"))
 
@@ -93,6 +98,19 @@ def b4(spark, d):
     return bt.bisect_rejected(i.join(n, ["media_id", "batch_id"]).withColumn("label", F.col("batch_id").cast("string"))).select("media_id", "item", "failed", "next_label", "next_item")
 
 
+@query("b4_bisect_rounds", oracle("segments", """it AS MATERIALIZED (SELECT media_id, (seg_idx // 100)::INT AS batch_id, row_number() OVER (PARTITION BY media_id, seg_idx // 100 ORDER BY seg_idx) AS item, text, (seg_idx * 7 + length(text)) % 23 = 0 AS bad FROM segments),
+node(media_id, batch_id, label, lo, hi, depth, refused) AS (SELECT media_id, batch_id, batch_id::VARCHAR, 1::BIGINT, max(item), 0, bool_or(bad) FROM it GROUP BY media_id, batch_id
+ UNION ALL SELECT media_id, batch_id, label, min(item), max(item), depth, bool_or(bad) FROM (SELECT i.media_id, i.batch_id, i.item, i.bad, n.depth + 1 AS depth, n.label || CASE WHEN i.item < n.lo + (n.hi - n.lo + 1) // 2 THEN '-A' ELSE '-B' END AS label
+  FROM node n JOIN it i ON i.media_id = n.media_id AND i.batch_id = n.batch_id AND i.item BETWEEN n.lo AND n.hi WHERE n.refused AND n.hi > n.lo) GROUP BY media_id, batch_id, label, depth)
+SELECT i.media_id, i.batch_id, i.item::INT AS item, n.label, n.depth, CASE WHEN NOT n.refused THEN upper(i.text) END AS line, n.refused AS failed FROM node n JOIN it i ON i.media_id = n.media_id AND i.batch_id = n.batch_id AND i.item BETWEEN n.lo AND n.hi WHERE NOT (n.refused AND n.hi > n.lo)""").replace("WITH ", "WITH RECURSIVE ", 1).replace("upper(i.text)", "'t ' || i.text"))
+def b4_rounds(spark, d):
+    """Batches of up to 100 segments; a part with an item that is refused gets no answer."""
+    s = fx.segments(spark, d).select("media_id", F.expr("seg_idx div 100").cast("int").alias("batch_id"), "seg_idx", "text")
+    i = s.withColumn("item", F.row_number().over(W.partitionBy("media_id", "batch_id").orderBy("seg_idx"))).withColumn("bad", (F.col("seg_idx") * 7 + F.length("text")) % 23 == 0)
+    ask = lambda open_: open_.withColumn("refused", F.max("bad").over(W.partitionBy("media_id", "label"))).where("NOT refused").select("media_id", "label", "item", F.concat(F.lit("t "), "text").alias("line"))
+    return bt.bisect_until_done(i, ask).select("media_id", "batch_id", "item", "label", "depth", "line", "failed")
+
+
 @query("b5_glossary_hint", """WITH g AS (SELECT p_size AS glossary_id, p_partkey AS pos, CASE WHEN p_partkey % 7 = 0 THEN ' ' ELSE p_name END AS term, p_type AS translation FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY glossary_id ORDER BY pos) AS rn FROM g WHERE trim(term) <> '' AND trim(translation) <> '')
 SELECT glossary_id, string_agg(trim(term) || ' -> ' || trim(translation), '; ' ORDER BY rn) AS hint FROM r WHERE rn <= 20 GROUP BY 1""")
 def b5(spark, d):
@@ -133,8 +151,8 @@ def j15(spark, d):
     return bt.parse_alignment_answer(a)
 
 
-@query("b7_apply_updates", oracle("edits", """s AS (SELECT media_id, seg_idx, start_ms AS s0, end_ms AS s1, lag(end_ms) OVER w AS pe, lead(start_ms) OVER w AS ns FROM segments WINDOW w AS (PARTITION BY media_id ORDER BY seg_idx)),
-r AS (SELECT e.media_id, e.seg_idx, e.start_ms, e.end_ms, s0, s1, e.text AS x1, CASE WHEN seg_idx % 2 = 0 THEN 'edit: ' || seg_idx END AS y1, CASE WHEN e.start_ms < 0 THEN 'negative' WHEN e.start_ms >= e.end_ms THEN 'empty' WHEN e.start_ms < pe THEN 'overlaps previous' WHEN e.end_ms > ns THEN 'overlaps next' END AS reason FROM edits e JOIN s USING (media_id, seg_idx) WHERE op = 'update'),
+@query("b7_apply_updates", oracle("edits", """s AS MATERIALIZED (SELECT media_id, seg_idx, start_ms AS s0, end_ms AS s1, lag(end_ms) OVER w AS pe, lead(start_ms) OVER w AS ns FROM segments WINDOW w AS (PARTITION BY media_id ORDER BY seg_idx)),
+r AS MATERIALIZED (SELECT e.media_id, e.seg_idx, e.start_ms, e.end_ms, s0, s1, e.text AS x1, CASE WHEN seg_idx % 2 = 0 THEN 'edit: ' || seg_idx END AS y1, CASE WHEN e.start_ms < 0 THEN 'negative' WHEN e.start_ms >= e.end_ms THEN 'empty' WHEN e.start_ms < pe THEN 'overlaps previous' WHEN e.end_ms > ns THEN 'overlaps next' END AS reason FROM edits e JOIN s USING (media_id, seg_idx) WHERE op = 'update'),
 tr AS (SELECT * REPLACE (CASE WHEN translated_text IS NOT NULL THEN 't: ' || text END AS translated_text) FROM segments) SELECT s.media_id, s.seg_idx, CASE WHEN ok THEN r.start_ms ELSE s.start_ms END AS start_ms, CASE WHEN ok THEN r.end_ms ELSE s.end_ms END AS end_ms, CASE WHEN ok THEN coalesce(x1, s.text) ELSE s.text END AS text, CASE WHEN ok THEN coalesce(y1, s.translated_text) ELSE s.translated_text END AS translated_text, reason,
  coalesce(ok AND (r.start_ms <> s.start_ms OR r.end_ms <> s.end_ms OR coalesce(x1 <> s.text, x1 IS NOT NULL) OR coalesce(y1 <> s.translated_text, y1 IS NOT NULL)), false) AS changed
 FROM tr s LEFT JOIN (SELECT *, reason IS NULL AS ok FROM r) r USING (media_id, seg_idx)"""))

@@ -7,22 +7,11 @@ import numpy as np
 import pytest
 
 from cuelane.functions import normalise as nm
-from cuelane.operators import batching, intervals, signals, timeline, words
+from cuelane.operators import intervals, signals, timeline, words
 
 RNG = random.Random(11)
 
 
-def test_cut_batches():
-    for _ in range(200):
-        n = RNG.randint(0, 400)
-        starts = np.cumsum([RNG.choice([100, 200, 6000]) if RNG.random() < 0.02 else 150 for _ in range(n)]).tolist()
-        ends = [s + 100 for s in starts]
-        got = batching.cut_batches(starts, ends)
-        sizes = [got.count(b) for b in range(max(got, default=-1) + 1)]
-        assert sum(sizes) == n and all(50 <= s <= 100 for s in sizes[:-1]) and got == sorted(got)
-    assert batching.cut_batches(list(range(0, 6000, 100)), list(range(50, 6050, 100))).count(0) == 60
-
-
 def test_absorb_short():
     assert intervals.absorb_short([(0, 100, "single"), (100, 400, "overlap")], 250) == [(0, 400, "overlap")]
     assert intervals.absorb_short([(0, 500, "single"), (500, 600, "overlap"), (600, 1000, "single")], 250) == [(0, 1000, "single")]
