@@ -1,9 +1,10 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one per block element. A line weighs its text outside links, times the share of that text,
-so that menus weigh little or nothing. Inside an article or main element each character counts as much as a whole surge
-elsewhere; elements whose tag, role or name says that they are no article text weigh nothing. Sums over sliding windows
-of lines show where text surges and where it dives to nothing; the text between these points is kept.
+so that menus weigh little or nothing; inside an article or main element it weighs ten times as much. Elements whose tag,
+role or name says that they are no article text weigh nothing. Sums over sliding windows of lines show where text
+surges and where it dives to nothing, in article elements and outside; the text between these points is kept, with
+headings and paragraphs beside it that are links.
 """
 
 from __future__ import annotations
@@ -22,23 +23,26 @@ from cuelane.llm.common import byte_slices, ship, texts_of
 
 #: Lines in a window, and the weight in one at which text surges.
 WINDOW, SURGE = 3, 60
-#: What a character inside an article or main element counts, and the characters that a doubtful name there has to be made up for with.
-GAIN, DOUBT = 60, 100
+#: How much more a line inside an article or main element weighs, and the characters that a doubtful name there has to be made up for with.
+GAIN, DOUBT = 10, 100
 
 _ATTRS = r"""(?:[\s/]+|=|[^\s/>=]++(?:\s*=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>"'][^\s>]*|(?=>|\Z)))?)*+"""
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)({_ATTRS})(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""([^\s/>=]+)\s*(?:=\s*("[^"]*"?|'[^']*'?|[^\s>"'][^\s>]*))?""")
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
 _BLANK = re.compile(r"\s+")
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "canvas", "object", "noembed", "noframes"}
+_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "canvas", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rb", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br", "label"}
+_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rb", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br", "label", "math", "mi", "mo", "mn", "mrow", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mtext", "mover", "munder", "mstyle", "mspace", "semantics"}
 _OUT_TAGS = {"nav", "aside", "form", "menu", "dialog", "button", "select", "head", "footer"}
 _OUT_NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adslot", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "disqus",
     "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notification", "overlay", "paywall", "popup", "promo", "promoted", "promotion",
     "replies", "respond", "sidebar", "signup", "skip", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "hidden",
 }
+#: Elements that hold running text, and names that on them, inside an article, only weigh against it: a paragraph may be about any of these.
+_PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figcaption", "dd", "dt"}
+_WORDS_TOO = {"banner", "overlay", "promotion", "replies", "skip", "subscription", "notification", "menu", "login", "masthead"}
 #: Names that may well stand on article text: inside an article they only weigh against it.
 _DOUBTFUL_NAMES = {"notice", "recommended", "related", "reply", "share", "sharing", "social", "tags", "widget", "widgets"}
 _OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
@@ -59,17 +63,21 @@ def _standing(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
         return False, False
     names = set(_NAME_PARTS.split(found.get("class", "") + " " + found.get("id", "")))
     doubtful = bool(names & _DOUBTFUL_NAMES)
+    if in_article and tag in _PROSE and names & _WORDS_TOO:
+        doubtful, names = True, names - _WORDS_TOO
     return bool(names & _OUT_NAMES) or not in_article and (doubtful or "header" in names), doubtful and in_article
 
 
 class Line(NamedTuple):
-    """A block's text, its characters outside links, and where it stands."""
+    """A block's text, its characters outside links, and where it stands; prose tells that its element holds running text, home is the number of the innermost article."""
 
     text: str
     plain: int
     out: bool
     article: bool
     doubtful: bool
+    prose: bool = False
+    home: int = 0
 
 
 def lines_of(page: str) -> list[Line]:
@@ -79,6 +87,8 @@ def lines_of(page: str) -> list[Line]:
     linked = 0
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, out, article, doubtful
     out = article = doubtful = links = 0
+    held: dict[str, int] = {}  # open elements by tag
+    homes, seen = [0], 0  # numbers of open articles
 
     def tidy(text: str) -> str:
         return _BLANK.sub(" ", html.unescape(text) if "&" in text else text).strip()
@@ -88,7 +98,7 @@ def lines_of(page: str) -> list[Line]:
         if buf:
             text = tidy("".join(buf))
             if text:
-                lines.append(Line(text, max(0, len(text) - linked), out > 0, article > 0, doubtful > 0))
+                lines.append(Line(text, max(0, len(text) - linked), out > 0, article > 0, doubtful > 0, any(x[0] in _PROSE for x in stack[-4:]), homes[-1]))
             buf.clear()
         linked = 0
 
@@ -98,8 +108,11 @@ def lines_of(page: str) -> list[Line]:
             tag, was_out, was_article, was_doubtful = stack.pop()
             out -= was_out
             article -= was_article
+            if was_article:
+                homes.pop()
             doubtful -= was_doubtful
             links -= tag == "a"
+            held[tag] -= 1
 
     pos, size = 0, len(page)
     while pos < size:
@@ -128,6 +141,8 @@ def lines_of(page: str) -> list[Line]:
         elif tag == "br":
             buf.append(" ")
         if closing:
+            if not held.get(tag):
+                continue  # nothing to close
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     pop(i)
@@ -142,6 +157,10 @@ def lines_of(page: str) -> list[Line]:
         is_article = tag in ("article", "main") or bool(re.search(r"role\s*=\s*[\"']?(?:main|article)\b", m[2]))
         is_out, is_doubtful = _standing(tag, m[2], article > 0)
         stack.append((tag, is_out, is_article and not is_out, is_doubtful))
+        held[tag] = held.get(tag, 0) + 1
+        if is_article and not is_out:
+            seen += 1
+            homes.append(seen)
         out += is_out
         article += is_article and not is_out
         doubtful += is_doubtful
@@ -150,9 +169,9 @@ def lines_of(page: str) -> list[Line]:
     return lines
 
 
-def weight_of(line: Line, articles: bool) -> float:
-    """What a line adds to its windows; with `articles` the page has article elements with text, and only they count."""
-    if line.out or articles and not line.article:
+def weight_of(line: Line) -> float:
+    """What a line adds to its windows."""
+    if line.out:
         return 0.0
     dense = line.plain * line.plain / len(line.text)
     if line.doubtful:
@@ -190,10 +209,21 @@ def surges(weights: list[float], window: int, surge: float) -> list[bool]:
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The page's main text, blocks joined by an empty line; empty if it has none."""
     lines = lines_of(page or "")
-    articles = any(x.article and not x.out for x in lines)
-    weights = [weight_of(x, articles) for x in lines]
-    kept = surges(weights, window, surge)
-    return "\n\n".join(x.text for x, w, k in zip(lines, weights, kept, strict=True) if k and not x.out and (w or not x.doubtful) and (x.article or not articles))
+    weights = [weight_of(x) for x in lines]
+    kept = grown(lines, surges(weights, window, surge))
+    return "\n\n".join(x.text for x, w, k in zip(lines, weights, kept, strict=True) if k and not x.out and (w or not x.doubtful))
+
+
+def grown(lines: list[Line], kept: list[bool]) -> list[bool]:
+    """Kept lines and, on both sides of each run, the headings and paragraphs of the same article next to it that weigh nothing because they are links."""
+    out = list(kept)
+    for order in (range(1, len(lines)), range(len(lines) - 2, -1, -1)):
+        step = 1 if order.step > 0 else -1
+        for i in order:
+            x = lines[i]
+            if not out[i] and out[i - step] and x.prose and not x.out and not x.doubtful and x.plain == 0 and x.home == lines[i - step].home:
+                out[i] = True
+    return out
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

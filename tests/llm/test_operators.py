@@ -444,6 +444,81 @@ def test_html_window_step():
     assert main(f'<body><div class="notice">{prose}</div><p>{prose}</p></body>') == prose
 
 
+def test_html_linked_ends_class_words_and_formulas():
+    main = html_extract.main_text
+    text = "Some text of the article that goes on for long enough. " * 2
+    text = text.strip()
+    linked = main(f"<article><h1><a href=/x>Linked headline of it</a></h1><p>{text}</p><p><a href=/y>The last paragraph is one link.</a></p></article>")
+    assert linked == f"Linked headline of it\n\n{text}\n\nThe last paragraph is one link."
+    colonel = "On his promotion to colonel he was given a regiment in the south, and he took the banner with him wherever he went after that day."
+    for name in ("promotion", "banner", "overlay", "replies", "skip", "subscription"):
+        assert main(f"<article><p>{text}</p><p class='{name}'>{colonel}</p></article>") == f"{text}\n\n{colonel}"
+        assert main(f"<article><p>{text}</p><div class='{name}'>{colonel}</div></article>") == text
+    assert main(f"<article><p>{text} <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p></article>") == f"{text} x=2"
+    assert main(f"<body><main><p>{text}</p></main><div>{colonel}</div><div class=sidebar>{colonel}</div></body>") == f"{text}\n\n{colonel}"
+
+
+def test_html_unclosed_elements_take_linear_time():
+    import time
+
+    def took(n):
+        begin = time.perf_counter()
+        assert html_extract.main_text("<article>" + "<div>word</p>" * n + "</article>").count("word") == n
+        return time.perf_counter() - begin
+
+    took(1000)
+    assert took(32_000) < 8 * took(8_000) + 1
+
+
+def plain_extraction(page):
+    """The whole extraction by its definition: lines weigh plain^2 / size, ten times as much in articles; a line stays if it
+    lies between two weighing lines of one run of windows with weight, or is a linked prose line of the same article beside a line that stays."""
+    lines = html_extract.lines_of(page)
+    w = [0.0 if x.out else max(0.0, x.plain**2 / len(x.text) - 100) if x.doubtful else x.plain**2 / len(x.text) * (10 if x.article else 1) for x in lines]
+    n, size = len(w), html_extract.WINDOW
+    sums = [sum(w[i : i + size]) for i in range(n)]
+    least = min(html_extract.SURGE, max(sums, default=0))
+    stay = []
+    for x in range(n):
+        i = j = x
+        if sums[x] <= 0:
+            stay.append(False)
+            continue
+        while i > 0 and sums[i - 1] > 0:
+            i -= 1
+        while j < n and sums[j] > 0:
+            j += 1
+        stay.append(max(sums[i:j]) >= least and any(w[i : x + 1]) and any(w[x:j]))
+    while True:
+        more = [k for k in range(n) if not stay[k] and lines[k].prose and not lines[k].out and not lines[k].doubtful and lines[k].plain == 0 and any(0 <= m < n and stay[m] and lines[m].home == lines[k].home for m in (k - 1, k + 1))]
+        if not more:
+            break
+        for k in more:
+            stay[k] = True
+    return "\n\n".join(x.text for x, v, s in zip(lines, w, stay, strict=True) if s and not x.out and (v or not x.doubtful))
+
+
+def test_html_equals_its_definition():
+    """Made-up pages with and without articles, and how many of them the window step changes."""
+    r = random.Random(8)
+    block = lambda: r.choice(["p", "div", "li", "h2"])
+    words = lambda n: " ".join(r.choice(VOCAB) for _ in range(n))
+    changed = 0
+    for _ in range(400):
+        parts = []
+        for _ in range(r.randrange(1, 14)):
+            t, kind = block(), r.randrange(6)
+            name = r.choice(["", " class=share", " class=promotion", " class=sidebar"])
+            parts.append(f"<{t}{name}>{words(r.randrange(1, 30))}</{t}>" if kind < 3 else f"<{t}><a href=x>{words(3)}</a></{t}>" if kind < 5 else f"<{t}>{words(2)} <a href=x>{words(4)}</a></{t}>")
+        body = "".join(parts)
+        cut = r.randrange(len(parts) + 1)
+        page = r.choice([f"<body>{body}</body>", f"<body><article>{body}</article></body>", f"<body>{''.join(parts[:cut])}<main>{''.join(parts[cut:])}</main></body>"])
+        got = html_extract.main_text(page)
+        assert got == plain_extraction(page), page
+        changed += got != html_extract.main_text(page, window=1)
+    assert changed > 40
+
+
 def test_surges_by_definition():
     r = random.Random(2)
     for _ in range(400):
