@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from cuelane.operators import chains
+
 #: Width of the time buckets that interval joins meet in, besides the recording, so that one long recording is many keys.
 BUCKET_MS = 60_000
 
@@ -98,49 +101,72 @@ def atomic_regions(turns: DataFrame) -> DataFrame:
     return g.groupBy("media_id", "g", "kind").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).select("media_id", "start_ms", "end_ms", "kind")
 
 
-def absorb_short(regions: list[tuple[int, int, str]], least: int) -> list[tuple[int, int, str]]:
-    """Regions with the first one shorter than `least` given away until none is: an edge to its neighbour, between equal kinds all three fuse, else to the longer neighbour (the left on ties)."""
-    r = list(regions)
-    while len(r) > 1:
-        i = next((i for i, (a, b, _) in enumerate(r) if b - a < least), None)
-        if i is None:
-            break
-        a, b, _ = r[i]
-        if i == 0:
-            r[0:2] = [(a, r[1][1], r[1][2])]
-        elif i == len(r) - 1:
-            r[-2:] = [(r[-2][0], b, r[-2][2])]
-        elif r[i - 1][2] == r[i + 1][2]:
-            r[i - 1 : i + 2] = [(r[i - 1][0], r[i + 1][1], r[i - 1][2])]
-        elif r[i - 1][1] - r[i - 1][0] >= r[i + 1][1] - r[i + 1][0]:
-            r[i - 1 : i + 1] = [(r[i - 1][0], b, r[i - 1][2])]
-        else:
-            r[i : i + 2] = [(a, r[i + 1][1], r[i + 1][2])]
-    return r
+def _absorbed(t: pa.Table, group: np.ndarray, least: int) -> pa.Table:
+    """One walk over each group of regions: what is kept so far is long, a short region goes to its left, its right or fuses both."""
+    starts, ends, kinds = (t[c].to_pylist() for c in ("start_ms", "end_ms", "kind"))
+    edges = [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), len(group)]
+    rows: list[int] = []  # a row of each group, for its recording
+    out: list[tuple[int, int, str]] = []
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        kept: list[tuple[int, int, str]] = []
+        i, begin = lo, starts[lo]  # the next region, with what it has been given on its left
+        while i < hi:
+            end, kind = ends[i], kinds[i]
+            if end - begin >= least or i + 1 == hi and not kept:
+                kept.append((begin, end, kind))
+            elif i + 1 == hi:
+                kept[-1] = (kept[-1][0], end, kept[-1][2])
+            elif not kept:
+                i += 1
+                continue  # begin stays: the next one takes it
+            else:
+                left, right = kept[-1], kinds[i + 1]
+                if left[2] == right:
+                    i += 1
+                    kept[-1] = (left[0], ends[i], right)
+                elif left[1] - left[0] >= ends[i + 1] - starts[i + 1]:
+                    kept[-1] = (left[0], end, left[2])
+                else:
+                    i += 1
+                    continue
+            i += 1
+            begin = starts[i] if i < hi else 0
+        rows += [lo] * len(kept)
+        out += kept
+    cols = list(zip(*out, strict=True)) or [[], [], []]
+    return pa.table([t["media_id"].take(pa.array(rows, pa.int64())), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["media_id", "start_ms", "end_ms", "kind"])
 
 
 def filter_short_regions(regions: DataFrame, least: int = 250) -> DataFrame:
-    """absorb_short per recording."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start_ms")
-        rows = absorb_short(list(zip(pdf["start_ms"].tolist(), pdf["end_ms"].tolist(), pdf["kind"].tolist(), strict=True)), least)
-        return pd.DataFrame([(pdf["media_id"].iloc[0], *r) for r in rows], columns=["media_id", "start_ms", "end_ms", "kind"])
+    """Regions (media_id, start_ms, end_ms, kind) with the first one shorter than `least` given away until none is: an edge
+    to its neighbour, between equal kinds all three fuse, else to the longer neighbour (the left on ties).
 
-    return regions.select("media_id", "start_ms", "end_ms", "kind").groupBy("media_id").applyInPandas(run, "media_id string, start_ms long, end_ms long, kind string")
+    Where two long regions follow each other nothing passes from one to the other, so the regions between such places
+    are walked through by themselves. Recordings are not null.
+    """
+    w = W.partitionBy("media_id").orderBy("start_ms", "end_ms")
+    long = F.col("end_ms") - F.col("start_ms") >= least
+    cut = F.when(long & F.coalesce(F.lag(long).over(w), F.lit(False)), 1).otherwise(0)
+    parts = regions.select("media_id", "start_ms", "end_ms", "kind").withColumn("__cut", cut).withColumn("part", F.sum("__cut").over(w)).drop("__cut")
+    return chains.by_groups(parts, ["media_id", "part"], ["start_ms", "end_ms"], lambda t, g: _absorbed(t, g, least), "media_id string, start_ms long, end_ms long, kind string")
 
 
 def change_points(regions: DataFrame, tolerance: int = 50) -> DataFrame:
-    """(media_id, t_ms): borders between regions; a border within `tolerance` of the running value is averaged into it (half to even)."""
+    """(media_id, t_ms): borders between regions; a border within `tolerance` of the running value is averaged into it (half
+    to even). The running value is never behind the last border, so a wider step between borders begins anew, and only
+    borders that follow each other closely are folded together."""
     w = W.partitionBy("media_id").orderBy("start_ms")
-    t = regions.select("media_id", F.lead("start_ms").over(w).alias("t")).where("t IS NOT NULL").groupBy("media_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    t = regions.select("media_id", F.lead("start_ms").over(w).alias("t")).where("t IS NOT NULL")
+    by_t = W.partitionBy("media_id").orderBy("t")
+    far = F.coalesce(F.col("t") - F.lag("t").over(by_t) > tolerance, F.lit(True))
+    near = t.withColumn("far", F.when(far, 1).otherwise(0)).withColumn("part", F.sum("far").over(by_t.rowsBetween(W.unboundedPreceding, 0)))
+    one = near.groupBy("media_id", "part").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     mean = lambda a, b: F.bround((a + b) / 2).cast("long")
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        return F.when((F.size(acc) > 0) & (x - F.get(acc, F.size(acc) - 1) <= tolerance), F.concat(F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1)), F.array(mean(last, x)))).otherwise(F.concat(acc, F.array(x)))
-
-    return t.select("media_id", F.explode(F.aggregate("ts", F.array().cast("array<bigint>"), step)).alias("t_ms"))
+    met = lambda acc, x: x - acc["last"] <= tolerance
+    start = F.struct(F.get("ts", F.lit(0)).alias("last"), F.array().cast("array<bigint>").alias("done"))
+    step = lambda acc, x: F.struct(F.when(met(acc, x), mean(acc["last"], x)).otherwise(x).alias("last"), F.when(met(acc, x), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["last"]))).alias("done"))
+    values = F.aggregate(F.slice("ts", F.lit(2), F.greatest(F.size("ts") - 1, F.lit(0))), start, step, lambda acc: F.concat(acc["done"], F.array(acc["last"])))
+    return one.select("media_id", F.explode(values).alias("t_ms"))
 
 
 def stitch_overlapping_turns(turns: DataFrame, windows: DataFrame, overlap: int) -> DataFrame:

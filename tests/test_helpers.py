@@ -12,19 +12,6 @@ from cuelane.operators import intervals, signals, timeline, words
 RNG = random.Random(11)
 
 
-def test_absorb_short():
-    assert intervals.absorb_short([(0, 100, "single"), (100, 400, "overlap")], 250) == [(0, 400, "overlap")]
-    assert intervals.absorb_short([(0, 500, "single"), (500, 600, "overlap"), (600, 1000, "single")], 250) == [(0, 1000, "single")]
-    for _ in range(200):
-        t, r = 0, []
-        for _ in range(RNG.randint(1, 12)):
-            d = RNG.randint(10, 600)
-            r.append((t, t + d, RNG.choice(["single", "overlap"])))
-            t += d
-        out = intervals.absorb_short(r, 250)
-        assert (out[0][0], out[-1][1]) == (0, t) and (len(out) == 1 or all(b - a >= 250 for a, b, _ in out))
-
-
 def test_tag_runs():
     assert words.drop_tag_runs(["<", "spk", ":1", ">", "hi", "<b>"]) == [False] * 4 + [True, True]
     assert words.drop_tag_runs(["<spk:", "1"]) == [True, True]
