@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cuelane.operators import chains
+from cuelane.operators.timeline import stamp
 
 
 def blank(col: str) -> Column:
@@ -25,7 +26,10 @@ def untranslated_segments(segments: DataFrame) -> DataFrame:
 
 
 def synthesis_ready(segments: DataFrame, limit: int | None = None) -> DataFrame:
-    """Segments with a translation, numbered by start; with `limit` the first so many of each recording."""
+    """Segments with a translation, numbered by start; with `limit` the first so many of each recording. A blank
+    translated_text gives way to translates_text where the table has that column."""
+    if "translates_text" in segments.columns:
+        segments = segments.withColumn("translated_text", F.when(blank("translated_text"), F.col("translates_text")).otherwise(F.col("translated_text")))
     out = segments.where(~blank("translated_text")).withColumn("rank", F.row_number().over(W.partitionBy("media_id").orderBy("start_ms", "seg_idx")))
     return out if limit is None else out.where(F.col("rank") <= limit)
 
@@ -64,6 +68,20 @@ def numbered_prompt(items: DataFrame) -> DataFrame:
     return items.groupBy("media_id", "batch_id").agg(F.count("*").alias("n"), F.array_join(F.transform(lines, lambda x: F.concat(x["item"].cast("string"), F.lit(". "), x["text"])), "\n").alias("prompt"))
 
 
+def timed_prompt(items: DataFrame) -> DataFrame:
+    """(media_id, batch_id, n, prompt): 'item. [start – end] text' lines in order of item, texts trimmed and on one line."""
+    at = lambda c: stamp(F.col(c), ":", ".")
+    line = F.concat(F.col("item").cast("string"), F.lit(". ["), at("start_ms"), F.lit(" – "), at("end_ms"), F.lit("] "), F.replace(F.trim("text"), F.lit("\n"), F.lit(" ")))
+    return items.groupBy("media_id", "batch_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", line.alias("line")))), lambda x: x["line"]), "\n").alias("prompt"))
+
+
+def subtitle_prompt(entries: DataFrame) -> DataFrame:
+    """(media_id, batch_id, prompt): 'id# [start – end] text' lines of the subtitles (ord, entry_id, ...) given to a batch."""
+    at = lambda c: stamp(F.col(c), ":", ".")
+    line = F.concat(F.col("entry_id").cast("string"), F.lit("# ["), at("start_ms"), F.lit(" – "), at("end_ms"), F.lit("] "), "text")
+    return entries.groupBy("media_id", "batch_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), "\n").alias("prompt"))
+
+
 def parse_numbered_answer(answers: DataFrame) -> DataFrame:
     """(media_id, batch_id, item, line) of answers (n, answer) with exactly n non-blank lines; numbers in front are removed."""
     lines = F.filter(F.split("answer", "\n"), lambda x: F.trim(x) != "")

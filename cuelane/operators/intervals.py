@@ -73,6 +73,19 @@ def split_by_speaker(segments: DataFrame, words: DataFrame, turns: DataFrame, mi
     give a part each with its words. Parts without words are dropped if shorter than min_chunk, else keep the whole
     text; if all parts go, the segment stays as UNKNOWN.
     """
+    return _split(segments, words, turns, min_segment, min_chunk).drop("outcome")
+
+
+def split_counters(segments: DataFrame, words: DataFrame, turns: DataFrame, min_segment: int = 500, min_chunk: int = 200) -> DataFrame:
+    """(media_id, scanned, skipped_short, split, created): segments looked at, those too short to split, those that several
+    speakers share, and the parts that came of these beyond one each."""
+    parts = _split(segments, words, turns, min_segment, min_chunk).groupBy("media_id", "seg_idx").agg(F.first("outcome").alias("outcome"), F.count("*").alias("n"))
+    is_split = F.col("outcome") == "split"
+    return parts.groupBy("media_id").agg(F.count("*").alias("scanned"), F.count_if(F.col("outcome") == "short").alias("skipped_short"), F.count_if(is_split).alias("split"), F.coalesce(F.sum(F.when(is_split, F.col("n") - 1)), F.lit(0)).alias("created"))
+
+
+def _split(segments: DataFrame, words: DataFrame, turns: DataFrame, min_segment: int, min_chunk: int) -> DataFrame:
+    """split_by_speaker with the outcome of each segment: short, whole, split or lost."""
     short = segments.where(F.col("end_ms") - F.col("start_ms") < min_segment).select("media_id", "seg_idx", F.lit(0).alias("part"), "start_ms", "end_ms", "text", F.coalesce("speaker", F.lit("UNKNOWN")).alias("speaker"))
     rest = segments.where(F.col("end_ms") - F.col("start_ms") >= min_segment)
     runs = speaker_runs(rest, turns).withColumn("n", F.count("*").over(W.partitionBy("media_id", "seg_idx")))
@@ -85,7 +98,8 @@ def split_by_speaker(segments: DataFrame, words: DataFrame, turns: DataFrame, mi
     kept = parts.select("media_id", "seg_idx", F.col("run_idx").alias("part"), "start_ms", "end_ms", F.coalesce("said", "text").alias("text"), "speaker")
     lost = many.select("media_id", "seg_idx").distinct().join(kept.select("media_id", "seg_idx").distinct(), ["media_id", "seg_idx"], "left_anti").join(whole, ["media_id", "seg_idx"])
     lost = lost.select("media_id", "seg_idx", F.lit(0).alias("part"), F.col("s0").alias("start_ms"), F.col("s1").alias("end_ms"), "text", F.lit("UNKNOWN").alias("speaker"))
-    return short.unionByName(one).unionByName(kept).unionByName(lost)
+    told = lambda df, outcome: df.withColumn("outcome", F.lit(outcome))
+    return told(short, "short").unionByName(told(one, "whole")).unionByName(told(kept, "split")).unionByName(told(lost, "lost"))
 
 
 def atomic_regions(turns: DataFrame) -> DataFrame:

@@ -22,6 +22,14 @@ def clip_name(start: Column, end: Column, wrap: bool = False) -> Column:
     return F.concat_ws("_", stamp(start % day if wrap else start), stamp(end % day if wrap else end))
 
 
+def clip_name_of_seconds(start: Column, end: Column, mode: str = "trunc") -> Column:
+    """Name stem of a window in seconds: milliseconds cut off (trunc) or rounded, half to even (round); nothing is below zero."""
+    if mode not in ("trunc", "round"):
+        raise ValueError("mode is trunc or round")
+    ms = lambda s: F.greatest(F.lit(0), (F.bround(s * 1000) if mode == "round" else F.floor(s * 1000)).cast("long"))
+    return clip_name(ms(start), ms(end))
+
+
 def clip_window(names: DataFrame) -> DataFrame:
     """Adds start_ms, end_ms (null for names that do not follow the format) and named_ms (null if negative)."""
     g = lambda i: F.regexp_extract("file_name", NAME, i).cast("long")
@@ -54,9 +62,10 @@ def onset_shift(clips: DataFrame) -> DataFrame:
 
 
 def tail_trim(chunks: DataFrame, clips: DataFrame, chunk_ms: int = 5, tail_ms: int = 100, guard: float = 0.7) -> DataFrame:
-    """(media_id, stem, threshold_db, new_ms): clips cut after the last chunk at or above a threshold plus a tail. The
+    """(media_id, stem, threshold_db, new_ms, guard_triggered, guard_resolved, status): clips cut after the last chunk at or above a threshold plus a tail. The
     threshold goes down from -50 to -80 dB in steps of 5 while the result is shorter than `guard` of the window; if none
-    meets it, the last is used. chunks: (media_id, stem, idx, db)."""
+    meets it, the last is used. guard_triggered tells that the threshold went
+    down, guard_resolved that some threshold met the guard; else the clip is to stay as it was. chunks: (media_id, stem, idx, db)."""
     levels = [-50 - 5 * i for i in range(7)]
     last = chunks.groupBy("media_id", "stem").agg(*[F.max(F.when(F.col("db") >= t, F.col("idx"))).alias(f"l{-t}") for t in levels])
     j = clips.join(last, ["media_id", "stem"], "left")
@@ -69,7 +78,10 @@ def tail_trim(chunks: DataFrame, clips: DataFrame, chunk_ms: int = 5, tail_ms: i
     length = F.lit(None).cast("long")
     for t in levels:
         length = F.when(F.col("threshold_db") == t, new(t)).otherwise(length)
-    return out.select("media_id", "stem", "threshold_db", length.cast("long").alias("new_ms"))
+    resolved = fine(levels[-1])
+    for t in reversed(levels[:-1]):
+        resolved = fine(t) | resolved
+    return out.select("media_id", "stem", "threshold_db", length.cast("long").alias("new_ms"), (~fine(levels[0])).alias("guard_triggered"), resolved.alias("guard_resolved"), F.when(resolved, "success").otherwise("skipped_guard_unresolved").alias("status"))
 
 
 def overlay_plan(clips: DataFrame, most: float = 1.18) -> DataFrame:

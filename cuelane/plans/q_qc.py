@@ -114,18 +114,30 @@ def a5(spark, d):
     return tl.timing_stats(_onsets(spark, d))
 
 
-@query("q11_tail_trim", oracle("clips", """c AS (SELECT media_id, attempt, actual_ms // 5 AS n, greatest(1, actual_ms // 5 - l_suppkey % 90) AS loud, l_partkey % 40 AS fade, actual_ms, end_ms - start_ms AS window_ms FROM clips),
+_Q11 = oracle("clips", """c AS (SELECT media_id, attempt, actual_ms // 5 AS n, greatest(1, actual_ms // 5 - l_suppkey % 90) AS loud, l_partkey % 40 AS fade, actual_ms, end_ms - start_ms AS window_ms FROM clips),
 th AS (SELECT unnest([-50, -55, -60, -65, -70, -75, -80]) AS t),
 v AS (SELECT media_id, attempt, actual_ms, window_ms, t, (least(n, loud + CASE WHEN fade < 20 THEN (-50 - t) // 5 * 3 ELSE 0 END) * 5 + 100) AS new_ms FROM c, th),
 f AS (SELECT *, new_ms >= actual_ms OR new_ms >= 0.7 * window_ms AS fine FROM v)
-SELECT media_id, attempt::VARCHAR AS stem, coalesce(max(t) FILTER (fine), -80) AS threshold_db, (CASE WHEN max(t) FILTER (fine) IS NOT NULL THEN arg_max(new_ms, t) FILTER (fine) ELSE arg_min(new_ms, t) END)::BIGINT AS new_ms FROM f GROUP BY media_id, attempt"""))
-def q11(spark, d):
+SELECT media_id, attempt::VARCHAR AS stem, coalesce(max(t) FILTER (fine), -80) AS threshold_db, (CASE WHEN max(t) FILTER (fine) IS NOT NULL THEN arg_max(new_ms, t) FILTER (fine) ELSE arg_min(new_ms, t) END)::BIGINT AS new_ms FROM f GROUP BY media_id, attempt""")
+
+
+def _trimmed(spark, d):
     c = fx.clips(spark, d).select("media_id", F.col("attempt").cast("string").alias("stem"), "actual_ms", (F.col("end_ms") - F.col("start_ms")).alias("window_ms"), F.expr("actual_ms div 5").alias("n"), F.expr("greatest(1, actual_ms div 5 - l_suppkey % 90)").alias("loud"), (F.col("l_partkey") % 40).alias("fade"))
     ch = c.select("media_id", "stem", "loud", "fade", F.explode(F.expr("sequence(0L, n - 1)")).alias("idx"))
     db = F.when(F.col("idx") < F.col("loud"), F.lit(-20)).when(F.col("fade") < 20, -50 - 5 * F.ceil((F.col("idx") - F.col("loud") + 1) / 3)).otherwise(-90)
     return tl.tail_trim(ch.withColumn("db", db), c.drop("n", "loud", "fade"))
 
 
+@query("q11_tail_trim", _Q11)
+def q11(spark, d):
+    return _trimmed(spark, d).select("media_id", "stem", "threshold_db", "new_ms")
+
+
+@query("q11_guard_outcome", _Q11.replace("SELECT media_id, attempt::VARCHAR AS stem, coalesce", "SELECT media_id, attempt::VARCHAR AS stem, NOT bool_or(fine) FILTER (t = -50) AS guard_triggered, bool_or(fine) AS guard_resolved, CASE WHEN bool_or(fine) THEN 'success' ELSE 'skipped_guard_unresolved' END AS status, coalesce"))
+def q11_guard(spark, d):
+    return _trimmed(spark, d)
+
+
 @query("q12_overlay_plan", oracle("clips", """n AS (SELECT *, lead(start_ms) OVER (PARTITION BY media_id ORDER BY start_ms, end_ms) AS nxt FROM clips), o AS (SELECT *, greatest(0, coalesce(start_ms + actual_ms - nxt, 0)) AS overlap_ms, nxt - start_ms AS target FROM n),
 r AS (SELECT *, CASE WHEN overlap_ms > 0 AND target > 0 THEN least(actual_ms / target, 1.18::DOUBLE) ELSE 1.0::DOUBLE END AS rate FROM o)
 SELECT media_id, attempt, overlap_ms, round(rate, 6) AS rate, (CASE WHEN rate > 1 THEN least(target, floor(actual_ms / rate)) ELSE actual_ms END)::BIGINT AS final_ms FROM r"""))
@@ -168,6 +180,18 @@ def p14(spark, d):
     return fx.clips(spark, d).select("media_id", "attempt", tl.clip_name(F.col("start_ms"), F.col("end_ms")).alias("name"))
 
 
+_SECONDS = "(start_ms + attempt * 0.37::DOUBLE - 1) / 1000"
+
+
+@query("p14_clip_name_of_seconds", oracle("clips", f"""x AS (SELECT media_id, attempt, {_SECONDS} AS a, (end_ms + attempt * 0.5::DOUBLE) / 1000 AS b FROM clips),
+y AS (SELECT media_id, attempt, greatest(0, floor(a * 1000)::BIGINT) AS ta, greatest(0, floor(b * 1000)::BIGINT) AS tb, greatest(0, round_even(a * 1000, 0)::BIGINT) AS ra, greatest(0, round_even(b * 1000, 0)::BIGINT) AS rb FROM x)
+SELECT media_id, attempt, {_STAMP.format("ta", "-", "-")} || '_' || {_STAMP.format("tb", "-", "-")} AS cut, {_STAMP.format("ra", "-", "-")} || '_' || {_STAMP.format("rb", "-", "-")} AS rounded FROM y"""))
+def p14_seconds(spark, d):
+    """Both modes: a name made by the one is not found by the other."""
+    a, b = F.expr("(start_ms + attempt * 0.37D - 1) / 1000"), F.expr("(end_ms + attempt * 0.5D) / 1000")
+    return fx.clips(spark, d).select("media_id", "attempt", tl.clip_name_of_seconds(a, b).alias("cut"), tl.clip_name_of_seconds(a, b, "round").alias("rounded"))
+
+
 @query("p15_clip_duration_report", oracle("clips", """x AS (SELECT media_id, attempt, CASE WHEN attempt % 4 <> 3 THEN end_ms - start_ms END AS named_ms, greatest(0, actual_ms) AS actual_ms FROM clips)
 SELECT media_id, attempt, CASE WHEN named_ms IS NULL THEN '--' ELSE (named_ms // 1000) || '.' || lpad(((named_ms % 1000) // 10)::VARCHAR, 2, '0') END AS named_s, (actual_ms // 1000) || '.' || lpad(((actual_ms % 1000) // 10)::VARCHAR, 2, '0') AS real_s, coalesce(actual_ms - named_ms > 10, false) AS too_long FROM x"""))
 def p15(spark, d):

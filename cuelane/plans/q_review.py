@@ -53,6 +53,12 @@ def p9(spark, d):
     return bt.synthesis_ready(fx.segments(spark, d), 20).select("media_id", "seg_idx", "rank")
 
 
+@query("p9_translates_fallback", oracle("segments", "x AS (SELECT *, CASE WHEN seg_idx % 3 = 0 THEN 'old ' || seg_idx END AS other FROM segments), y AS (SELECT *, CASE WHEN trim(coalesce(translated_text, '')) = '' THEN other ELSE translated_text END AS t FROM x) SELECT media_id, seg_idx, trim(coalesce(translated_text, '')) = '' AS fell_back, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, seg_idx) AS rank FROM y WHERE trim(coalesce(t, '')) <> ''"))
+def p9_fallback(spark, d):
+    s = fx.segments(spark, d).withColumn("translates_text", F.when(F.col("seg_idx") % 3 == 0, F.concat(F.lit("old "), "seg_idx")))
+    return bt.synthesis_ready(s).select("media_id", "seg_idx", F.col("translated_text").startswith("old ").alias("fell_back"), "rank")
+
+
 @query("p12_merge_translations", oracle("segments", "SELECT media_id, seg_idx, CASE WHEN seg_idx % 4 = 1 THEN 't:' || text ELSE '' END AS translated_text, 'm1' AS model, 'en-hu' AS pair FROM segments"))
 def p12(spark, d):
     return bt.merge_translations(fx.segments(spark, d), _done(spark, d), "m1", "en-hu").select("media_id", "seg_idx", "translated_text", "model", "pair")
@@ -79,6 +85,20 @@ def b2(spark, d):
     return bt.numbered_prompt(_items(spark, d))
 
 
+_TS = lambda c: _STAMP.format(c, ":", ".")
+
+
+@query("b2_timed_prompt", oracle("segments", "x AS (SELECT *, (seg_idx // 40)::INT AS batch_id, row_number() OVER (PARTITION BY media_id, seg_idx // 40 ORDER BY seg_idx) AS item FROM segments) SELECT media_id, batch_id, count(*) AS n, string_agg(item || '. [' || " + _TS("start_ms") + " || ' – ' || " + _TS("end_ms") + " || '] ' || replace(trim(text), chr(10), ' '), chr(10) ORDER BY item) AS prompt FROM x GROUP BY ALL"))
+def b2_timed(spark, d):
+    s = fx.segments(spark, d).withColumn("batch_id", F.expr("seg_idx div 40").cast("int"))
+    return bt.timed_prompt(s.withColumn("item", F.row_number().over(W.partitionBy("media_id", "batch_id").orderBy("seg_idx"))))
+
+
+@query("b2_subtitle_prompt", oracle("srt", "SELECT media_id, ord // 15 AS batch_id, string_agg(entry_id || '# [' || " + _TS("start_ms") + " || ' – ' || " + _TS("end_ms") + " || '] ' || text, chr(10) ORDER BY ord) AS prompt FROM srt GROUP BY ALL"))
+def b2_subtitles(spark, d):
+    return bt.subtitle_prompt(fx.srt(spark, d).withColumn("batch_id", F.expr("ord div 15").cast("int")))
+
+
 def _answers(spark, d):
     i = _items(spark, d)
     p = bt.numbered_prompt(i.where("NOT (batch_id % 5 = 2 AND item = 3)").withColumn("text", F.concat(F.lit("u "), "text"))).withColumnRenamed("prompt", "answer").drop("n")

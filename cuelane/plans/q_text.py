@@ -102,6 +102,28 @@ def s10(spark, d):
     return told.select("media_id", "seg_idx", F.round(F.col("start") * 1000).cast("long").alias("start_ms"), F.round(F.col("end") * 1000).cast("long").alias("end_ms"), "text", "speaker")
 
 
+@query("s1_payload_files", oracle("words", "SELECT media_id, input_pos, word, start_ms / 1000.0 AS start, end_ms / 1000.0 AS \"end\", speaker, CAST(NULL AS VARCHAR) AS problem FROM words WHERE doc_id % 10 <> 3 UNION ALL SELECT DISTINCT media_id, NULL, NULL, NULL, NULL, NULL, 'malformed' FROM words WHERE doc_id % 10 = 3"))
+def s1_files(spark, d):
+    """One payload file per recording, every tenth cut off, written and read again."""
+    at = f"{_place(spark)}/payloads"
+    w = fx.words(spark, d)
+    files = tr.words_json(w).join(w.select("media_id", "doc_id").distinct(), "media_id")
+    tr.write_files(files.select("media_id", F.when(F.col("doc_id") % 10 == 3, F.expr("left(content, length(content) - 2)")).otherwise(F.col("content")).alias("content")), at)
+    words, bad = tr.read_payloads(spark, at)
+    return words.select("media_id", "input_pos", "word", "start", "end", "speaker").unionByName(bad, allowMissingColumns=True)
+
+
+@query("s5_subtitle_files", oracle("words", "x AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, input_pos) AS n, count(*) OVER (PARTITION BY media_id) AS m FROM words) SELECT media_id, n::INT AS entry_id, start_ms, end_ms, word AS text FROM x WHERE m % 2 = 0"))
+def s5_files(spark, d):
+    """One subtitle file per recording; those of recordings with an even number of words are picked from the listing and read again."""
+    at = f"{_place(spark)}/subtitles"
+    w = fx.words(spark, d)
+    tr.write_files(tr.words_srt(w), at)
+    picked = tr.list_files(spark, at).where("length > 0").select("media_id")
+    even = w.groupBy("media_id").count().where("count % 2 = 0").select("media_id")
+    return tr.parse_srt(tr.read_files(spark, at).join(picked.join(even, "media_id"), "media_id")).select("media_id", "entry_id", "start_ms", "end_ms", "text")
+
+
 _EN = "'... ' || lower(trim(regexp_replace(regexp_replace(replace({0}, '&', ' and '), '(?i)\\bthe\\b', 'le', 'g'), '\\s+', ' ', 'g')))"
 
 
