@@ -18,15 +18,15 @@ from cuelane.plans.session import ship as _ship
 SLICE_BYTES = 4 << 20
 
 
-#: Bytes of a batch that Spark hands to a worker, and what it is unless set.
-BATCH_BYTES, _UNSET = 16 << 20, ("67108864b", "64m", "64MB", None)
+#: Bytes of a batch that Spark hands to a worker where the session does not say, and the setting.
+BATCH_BYTES, _SETTING = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors, and makes batches for workers smaller where their bytes are not set."""
     _ship(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in _UNSET:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    if not spark._jsparkSession.sessionState().conf().contains(_SETTING):  # also a value like the default may be meant
+        spark.conf.set(_SETTING, f"{BATCH_BYTES}b")
 
 
 def give_back() -> None:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SLOTS = 4096
+#: Copies of one row that are dealt at once.
+CHUNK = 1 << 16
 MAP_SCHEMA = "version int, vslot int, shard int, bytes long, n long, base long"
 
 
@@ -102,7 +104,8 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     as the next version, so that rows move only as far as loads have changed.
     """
     same = docs.select(F.col(id_col).alias("id"), (text_size(text_col) + 8).alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("text_crc32")).groupBy("id", "size", "text_crc32").agg(F.count("*").alias("copies"))
-    rows = same.select("id", "size", "text_crc32", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    chunks = same.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {CHUNK}"))))  # no array grows with the copies of a row
+    rows = chunks.select("id", "size", "text_crc32", F.explode(F.sequence(F.col("chunk") * CHUNK + 1, F.least(F.col("copies"), (F.col("chunk") + 1) * CHUNK))).alias("copy"))
     rows = rows.withColumn("vslot", slot_of(n_slots, "id", "text_crc32", "copy"))
     loads = slot_loads(rows)
     spark = docs.sparkSession

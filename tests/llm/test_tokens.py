@@ -189,3 +189,15 @@ def test_head_is_the_most_frequent(spark):
     docs = spark.createDataFrame([("b a b c",), ("A b",), (None,)], "text string")
     h = resample.head_of(docs, "text", True, 2, 1)
     assert h.words.to_pylist() == ["a", "b"] and len(h.pair) == 1
+
+
+def test_the_session_keeps_its_own_batch_size(spark):
+    from cuelane.llm.common import ship
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    ship(spark)
+    assert spark.conf.get(name) == f"{16 << 20}b"
+    own = spark.newSession()
+    own.conf.set(name, "67108864b")
+    ship(own)
+    assert own.conf.get(name) == "67108864b"
