@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from cuelane.llm.byte_bpe import coded, flat_strings, packed, pieces_of, unpacked
 from cuelane.llm.common import SLICE_BYTES, byte_slices, checkpointed, ragged_take, ship, texts_of
 
-#: Tokens of A in a lane, and pieces whose ids a worker remembers.
-LANE, SEEN_PIECES = 1024, 200_000
+#: Tokens of A in a lane, and pieces of a row that A encodes at once.
+LANE, ROW_PIECES = 1024, 4096
 #: Bytes of text whose ids are lists at one time.
 STEP_BYTES = 1 << 20
 _A: dict[str, "ByteTokenizer"] = {}
@@ -51,32 +51,33 @@ class ByteTokenizer:
         raw = [bytes(byte[c] for c in e) if all(c in byte for c in e) else e.encode() for e in entries]
         self.raw, self.size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(b) for b in raw], np.int64)
         self.begin = np.cumsum(self.size) - self.size
-        self.forget()
 
-    def forget(self) -> None:
-        self.seen: dict[str, int] = {}
-        self.flat, self.lens = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def _ids(self, texts: list[str]) -> np.ndarray:
+        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids)))
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, flat, and offsets. Texts are cut where no token crosses and different pieces are encoded once."""
+        """Ids of all texts, flat, and offsets. Texts are cut where no token crosses and different pieces are encoded once.
+
+        A piece that begins with one space may follow any other, so such pieces are told to the library in long rows;
+        as they tile a row, their ends in bytes say how many ids each has.
+        """
         starts = pieces_of(raw, off)
         pieces, use = coded(raw, starts)
-        if len(self.seen) > SEEN_PIECES:
-            self.forget()
         texts = pieces.to_pylist()
-        new = [p for p in texts if p not in self.seen]
-        got, lens = [self.flat], [self.lens]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            ids = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
-            lens.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-            got.append(np.fromiter(chain.from_iterable(ids), np.int64, int(lens[-1].sum())))
-        self.seen.update(zip(new, range(len(self.seen), len(self.seen) + len(new)), strict=True))
-        self.flat, self.lens = np.concatenate(got), np.concatenate(lens)
-        slot = np.fromiter(map(self.seen.__getitem__, texts), np.int64, len(texts))[use]
-        n = self.lens[slot]
+        apart = np.fromiter((len(p) < 2 or p[0] != " " or p[1].isspace() for p in texts), bool, len(texts))
+        order = np.argsort(apart, kind="stable")
+        joined = len(texts) - int(apart.sum())
+        rows = ["".join(texts[i] for i in order[lo : min(joined, lo + ROW_PIECES)]) for lo in range(0, joined, ROW_PIECES)] + [texts[i] for i in order[joined:]]
+        flat = np.concatenate([np.zeros(0, np.int64), *(self._ids(rows[i : i + 20_000]) for i in range(0, len(rows), 20_000))])
+        ends = np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False)[order].astype(np.int64))
+        lens = np.diff(np.searchsorted(np.cumsum(self.size[flat]), ends, side="right"), prepend=0)
+        at = np.empty(len(texts), np.int64)
+        at[order] = np.arange(len(texts))
+        slot = at[use]
+        n = lens[slot]
         sums = np.concatenate(([0], np.cumsum(n)))
-        return ragged_take(self.flat, (np.cumsum(self.lens) - self.lens)[slot], n), sums[np.searchsorted(starts, off)]
+        return ragged_take(flat, (np.cumsum(lens) - lens)[slot], n), sums[np.searchsorted(starts, off)]
 
 
 def tokenizer(path: str | None) -> ByteTokenizer:
@@ -134,7 +135,9 @@ def equal_bytes(tok, ids: np.ndarray, off: np.ndarray, raw: np.ndarray, raw_off:
     ok = np.diff(ends) == np.diff(raw_off)
     same, same_off = without(ids, off, ok)
     joined = ragged_take(tok.raw, tok.begin[same], tok.size[same])
-    want = raw[np.repeat(ok, np.diff(raw_off))]
+    want = raw if ok.all() else raw[np.repeat(ok, np.diff(raw_off))]
+    if np.array_equal(joined, want):
+        return ok
     owner = np.repeat(np.arange(len(ok)), np.where(ok, np.diff(raw_off), 0))
     ok[owner[joined != want]] = False
     return ok
@@ -167,9 +170,10 @@ def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, off_a: np.ndarray, lane: in
             state, stop = state[:, live], stop[:, live]
     if not linked_a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ia, ib = np.concatenate(linked_a), np.concatenate(linked_b)
-    order = np.argsort(ia, kind="stable")
-    return ia[order], ib[order]
+    partner = np.full(len(ends_a), -1)
+    partner[np.concatenate(linked_a)] = np.concatenate(linked_b)
+    ia = np.flatnonzero(partner >= 0)
+    return ia, partner[ia]
 
 
 def _decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +187,9 @@ _DIGITS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def written_groups(a: np.ndarray, b: np.ndarray, ia: np.ndarray, ib: np.ndarray, off_a: np.ndarray, off_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """'a1,a2|b1;a3|b2,b3' of all documents as bytes, and offsets. Each id is written with the sign behind it, in order of
     group, side and place; a document's last sign goes."""
-    group_a, group_b = np.searchsorted(ia, np.arange(len(a))), np.searchsorted(ib, np.arange(len(b)))
+    closes_a, closes_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    closes_a[ia] = closes_b[ib] = 1
+    group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
     ends_a, ends_b = np.append(ia + 1, len(a)), np.concatenate(([0], ib + 1))
     at_a, at_b = np.arange(len(a)) + ends_b[group_a], np.arange(len(b)) + ends_a[group_b]
     ids, sign = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
@@ -211,7 +217,8 @@ def align_block(texts: pa.Array, ta: ByteTokenizer, tb: PieceTokenizer) -> dict:
     ia, ib = lockstep(np.cumsum(ta.size[a]), np.cumsum(tb.size[b]), off_a)
     out, out_off = written_groups(a, b, ia, ib, off_a, off_b)
     shas = [hashlib.sha256(out[x : y - 1].tobytes()).hexdigest() if y > x else "" for x, y in zip(out_off[:-1], out_off[1:], strict=True)]
-    pairs, codes = np.unique(a[ia] << 32 | b[ib], return_inverse=True)
+    linked = pa.array(a[ia] << 32 | b[ib]).dictionary_encode()
+    pairs, codes = linked.dictionary.to_numpy(), linked.indices.to_numpy().astype(np.int64)
     return {"n_a": np.diff(off_a), "n_b": np.diff(off_b), "n_groups": np.diff(np.searchsorted(ia, off_a)), "sha": shas, "pairs": pairs, "codes": codes, "n": np.bincount(codes, minlength=len(pairs))}
 
 
