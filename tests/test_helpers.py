@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from cuelane.functions import normalise as nm
-from cuelane.operators import intervals, signals, timeline, words
+from cuelane.operators import intervals, segment, signals, timeline, words
 
 RNG = random.Random(11)
 
