@@ -18,6 +18,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TOKENS = re.compile(r"\w+|\W", re.S)
+#: Tokens that a worker remembers with what becomes of them.
+SEEN_TOKENS = 500_000
 
 
 class _Folded(dict):
@@ -34,8 +36,22 @@ class _Folded(dict):
 _FOLD = _Folded()
 
 
+class _Alone(dict):
+    """What becomes of a token by itself, worked out once per token."""
+
+    def __init__(self, trie: _Trie):
+        super().__init__()
+        self.trie = trie
+
+    def __missing__(self, token: str) -> str:
+        if len(self) >= SEEN_TOKENS:
+            self.clear()
+        self[token] = out = self.trie.together(token)
+        return out
+
+
 class _Trie:
-    """Rules whose keys begin and end with word characters."""
+    """Rules whose keys begin and end with word characters. Where no phrase can begin, every token is done by itself."""
 
     def __init__(self, rules: list[tuple[str, str]]):
         self.values = [_TOKENS.findall(v) for _, v in rules]
@@ -48,8 +64,16 @@ class _Trie:
                 node = node.setdefault(t, {})
             node.setdefault(None, []).append(i)
             self.longest = max(self.longest, len(tokens))
+        self.phrases = {t for t, node in self.root.items() if node.keys() - {None}}
+        self.said_phrase = any(t.translate(_FOLD) in self.phrases for v in self.values for t in v)
+        self.alone = _Alone(self)
 
     def apply(self, text: str) -> str:
+        if not self.phrases or not self.said_phrase and self.phrases.isdisjoint(_TOKENS.findall(text.translate(_FOLD))):
+            return "".join(map(self.alone.__getitem__, _TOKENS.findall(text)))
+        return self.together(text)
+
+    def together(self, text: str) -> str:
         tokens, folded = _TOKENS.findall(text), _TOKENS.findall(text.translate(_FOLD))
         if len(tokens) != len(folded):
             folded = [t.translate(_FOLD) for t in tokens]
