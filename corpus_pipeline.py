@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelane.llm import decontaminate, line_dedup, quality, sentencepiece_bpe, simhash
-from cuelane.llm.common import shared_folder, table
+from cuelane.llm.common import remove, shared_folder, table
 
 #: Columns that operators add to the documents they return; own columns of these names are put aside meanwhile.
 ADDED = ("expected_grade", "p_top", "keep", "kept_text", "n_lines", "n_dropped")
@@ -74,10 +74,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage. Each stage's rows are written to the shared folder and read again by the next."""
+    """The rows of the last stage. Each stage's rows are written to the shared folder, read again by the next, and removed when that one is written; the last stage's stay."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    done = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if done is not None:
+            remove(spark, done)
+        done = f"{folder}/{name}"
     return docs
