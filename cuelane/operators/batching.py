@@ -136,7 +136,20 @@ def block_translation_join(items: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def context_entries(batches: DataFrame, srt: DataFrame, margin: int = 6000, grow: float = 1.8, most: int = 40_000) -> DataFrame:
-    """(media_id, batch_id, entry_id): subtitles that overlap the batch's window widened by the smallest margin that finds any (6, 10.8, 19.44, 34.992 s), else all of the recording."""
+    """(media_id, batch_id, entry_id): subtitles that overlap the batch's window widened by the smallest margin that finds
+    any (6, 10.8, 19.44, 34.992 s), else all of the recording: expand_context of context_classes."""
+    return expand_context(context_classes(batches, srt, margin, grow, most), srt)
+
+
+def expand_context(classes: DataFrame, srt: DataFrame) -> DataFrame:
+    """(media_id, batch_id, entry_id) of context_classes, the rows that stand for a whole recording written out."""
+    whole = classes.where("whole").select("media_id", "batch_id").join(srt.select("media_id", "entry_id"), "media_id")
+    return classes.where("NOT whole").select("media_id", "batch_id", "entry_id").unionByName(whole)
+
+
+def context_classes(batches: DataFrame, srt: DataFrame, margin: int = 6000, grow: float = 1.8, most: int = 40_000) -> DataFrame:
+    """(media_id, batch_id, entry_id, whole): the subtitles near each batch; a batch that has none near is one row with
+    `whole` and no entry, which stands for all of its recording, so that the rows stay in proportion to the input."""
     rungs, m = [], float(margin)
     while m <= most:
         rungs.append(round(m))
@@ -153,7 +166,7 @@ def context_entries(batches: DataFrame, srt: DataFrame, margin: int = 6000, grow
         rung = F.when(need < r, r).otherwise(rung)
     near = j.withColumn("rung", rung).withColumn("low", F.min("rung").over(W.partitionBy("media_id", "batch_id"))).where("rung = low").select("media_id", "batch_id", "entry_id")
     rest = batches.join(near.select("media_id", "batch_id").distinct(), ["media_id", "batch_id"], "left_anti")
-    return near.unionByName(rest.select("media_id", "batch_id").join(e.select("media_id", "entry_id"), "media_id"))
+    return near.withColumn("whole", F.lit(False)).unionByName(rest.select("media_id", "batch_id", F.lit(None).cast(e.schema["entry_id"].dataType).alias("entry_id"), F.lit(True).alias("whole")))
 
 
 def choose_alignment(lines: DataFrame) -> DataFrame:

@@ -155,6 +155,16 @@ def j10(spark, d):
     return bt.context_entries(b, fx.srt(spark, d))
 
 
+@query("j10_context_classes", oracle("segments srt", _IT + """, bw AS (SELECT media_id, batch_id, min(start_ms) AS b0, max(end_ms) AS b1 FROM it GROUP BY ALL), sr AS (SELECT media_id, entry_id, start_ms, end_ms FROM srt WHERE ord % 40 = 0),
+c AS (SELECT bw.media_id, batch_id, entry_id, greatest(b0 - end_ms, start_ms - b1) AS need FROM bw JOIN sr USING (media_id)),
+r AS (SELECT *, CASE WHEN need < 6000 THEN 1 WHEN need < 10800 THEN 2 WHEN need < 19440 THEN 3 WHEN need < 34992 THEN 4 ELSE 5 END AS rung FROM c),
+l AS MATERIALIZED (SELECT *, min(rung) OVER (PARTITION BY media_id, batch_id) AS low FROM r)
+SELECT media_id, batch_id, entry_id, false AS whole FROM l WHERE rung = low AND low < 5 UNION ALL SELECT media_id, batch_id, NULL, true FROM bw WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.media_id = bw.media_id AND l.batch_id = bw.batch_id AND low < 5)"""))
+def j10_classes(spark, d):
+    b = _items(spark, d).groupBy("media_id", "batch_id").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    return bt.context_classes(b, fx.srt(spark, d).where("ord % 40 = 0"))
+
+
 @query("j14_choose_alignment", oracle("segments", _IT + """, x AS (SELECT *, CASE WHEN (batch_id + item) % (2 + length(media_id) % 4) = 0 THEN text ELSE '' END AS by_time, 'm:' || text AS by_model, 's:' || text AS by_share, length(media_id) % 5 = 0 AS model_ok FROM it),
 c AS (SELECT *, avg(CASE WHEN trim(by_time) = '' THEN 0.0 ELSE 1.0 END) OVER (PARTITION BY media_id, batch_id) AS cov FROM x), t AS (SELECT *, CASE WHEN model_ok THEN by_model WHEN cov >= 0.4 THEN by_time ELSE by_share END AS t FROM c)
 SELECT media_id, batch_id, item, CASE WHEN trim(t) = '' AND cov < 0.6 THEN by_share ELSE t END AS text FROM t"""))
