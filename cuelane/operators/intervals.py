@@ -222,28 +222,47 @@ def best_assignment(gain: list[list[int]]) -> int:
     return sum(gain[match[k] - 1][k - 1] for k in range(1, m + 1) if match[k])
 
 
-def _mapped(pairs: list) -> int:
-    """The most time that a one to one map of speakers explains; pairs: (ref, hyp, ms)."""
-    rs, hs = sorted({p[0] for p in pairs}), sorted({p[1] for p in pairs})
-    time = {(p[0], p[1]): p[2] for p in pairs}
-    return int(best_assignment([[time.get((r, h), 0) for h in hs] for r in rs]))
+def _mapped(ref: np.ndarray, hyp: np.ndarray, ms: np.ndarray) -> int:
+    """The most time that a one to one map of speakers explains; ref, hyp (numbers) and ms of each pair that is heard together."""
+    rs, r = np.unique(ref, return_inverse=True)
+    hs, h = np.unique(hyp, return_inverse=True)
+    time = np.zeros((len(rs), len(hs)), np.int64)
+    time[r, h] = ms
+    return int(best_assignment(time.tolist()))
+
+
+def _explained(pairs: DataFrame) -> DataFrame:
+    """(media_id, best) of (media_id, x, y, ms), in Arrow batches of whole recordings. A recording's rows are its speaker pairs."""
+
+    def run(t: pa.Table, group: np.ndarray) -> pa.Table:
+        number = lambda c: np.unique(t[c].to_pandas().fillna("").to_numpy(), return_inverse=True)[1]
+        x, y, ms = number("x"), number("y"), t["ms"].to_numpy()
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        ends = [*first[1:], len(group)]
+        best = [_mapped(x[a:b], y[a:b], ms[a:b]) for a, b in zip(first, ends, strict=True)]
+        return pa.table({"media_id": t["media_id"].take(pa.array(first)), "best": pa.array(best, pa.int64())})
+
+    return chains.by_groups(pairs.select("media_id", "x", "y", "ms"), ["media_id"], ["x", "y"], run, "media_id string, best long")
 
 
 def _spoken(turns: DataFrame) -> DataFrame:
-    """(media_id, speaker, start_ms, end_ms): turns of one speaker that meet or overlap as one."""
-    t = turns.where("end_ms > start_ms").select("media_id", "speaker", "start_ms", "end_ms")
-    w = W.partitionBy("media_id", "speaker").orderBy("start_ms", "end_ms")
+    """(media_id, side, speaker, start_ms, end_ms): turns of one speaker of a side that meet or overlap as one."""
+    w = W.partitionBy("media_id", "side", "speaker").orderBy("start_ms", "end_ms")
     top = F.max("end_ms").over(w.rowsBetween(W.unboundedPreceding, -1))
-    t = t.withColumn("brk", F.when(F.col("start_ms") <= top, 0).otherwise(1)).withColumn("g", F.sum("brk").over(w))
-    return t.groupBy("media_id", "speaker", "g").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("g")
+    t = turns.where("end_ms > start_ms").withColumn("brk", F.when(F.col("start_ms") <= top, 0).otherwise(1)).withColumn("g", F.sum("brk").over(w))
+    return t.groupBy("media_id", "side", "speaker", "g").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("g")
 
 
 def diarization_error(reference: DataFrame, hypothesis: DataFrame, collar: int = 250) -> DataFrame:
     """(media_id, missed, false_alarm, confusion, total, der): missed, false and confused speaker time over reference time, outside a collar around reference borders; speakers are mapped one to one for the least confusion.
 
     One sweep over the borders of both sides and of the collars gives active speakers; only the matrix of speakers of a recording meets in one place.
+    Both sides are stored once, since the sweep and the pairs read them several times. Turns without recording or times take no part; all turns without a name count as one speaker's.
     """
-    ref, hyp = _spoken(reference), _spoken(hypothesis)
+    turn = lambda df, side: df.select("media_id", F.lit(side).alias("side"), F.coalesce("speaker", F.lit("")).alias("speaker"), "start_ms", "end_ms").where("media_id IS NOT NULL AND start_ms IS NOT NULL AND end_ms IS NOT NULL")
+    turns = chains.stored(turn(reference, "r").unionByName(turn(hypothesis, "h")))
+    spoken = chains.stored(_spoken(turns))
+    reference, ref, hyp = turns.where("side = 'r'"), spoken.where("side = 'r'"), spoken.where("side = 'h'")
 
     def events(df: DataFrame, start: Column, end: Column, name: str) -> DataFrame:
         e = df.select("media_id", F.explode(F.array(F.struct(start.alias("t"), F.lit(1).alias("d")), F.struct(end.alias("t"), F.lit(-1).alias("d")))).alias("e"))
@@ -254,15 +273,14 @@ def diarization_error(reference: DataFrame, hypothesis: DataFrame, collar: int =
     ev = events(ref, start, end, "r").unionByName(events(hyp, start, end, "h")).unionByName(events(borders, F.col("x") - collar, F.col("x") + collar, "c"))
     ev = ev.groupBy("media_id", "t").agg(*[F.sum(x).alias(x) for x in "rhc"])
     w = W.partitionBy("media_id").orderBy("t")
-    at = ev.select("media_id", F.col("t").alias("start_ms"), F.lead("t").over(w).alias("end_ms"), *[F.sum(x).over(w).alias(x) for x in "rhc"]).where("end_ms IS NOT NULL AND c = 0")
+    at = chains.stored(ev.select("media_id", F.col("t").alias("start_ms"), F.lead("t").over(w).alias("end_ms"), *[F.sum(x).over(w).alias(x) for x in "rhc"]).where("end_ms IS NOT NULL AND c = 0 AND (r > 0 OR h > 0)"))
     ms, r, h = F.col("end_ms") - F.col("start_ms"), F.col("r"), F.col("h")
     sums = at.groupBy("media_id").agg(F.sum(F.greatest(F.lit(0), r - h) * ms).alias("missed"), F.sum(F.greatest(F.lit(0), h - r) * ms).alias("false_alarm"), F.sum(F.least("r", "h") * ms).alias("both"), F.sum(r * ms).alias("total"))
     heard = overlap_join(at.where("r > 0 AND h > 0").select("media_id", "start_ms", "end_ms"), ref.select("media_id", F.col("speaker").alias("x"), F.col("start_ms").alias("r0"), F.col("end_ms").alias("r1")), "start_ms", "end_ms", "r0", "r1")
     heard = overlap_join(heard, hyp.select("media_id", F.col("speaker").alias("y"), F.col("start_ms").alias("h0"), F.col("end_ms").alias("h1")), "start_ms", "end_ms", "h0", "h1")
     pairs = heard.groupBy("media_id", "x", "y").agg(F.sum(ms).alias("ms"))
-    best = pairs.groupBy("media_id").agg(F.collect_list(F.struct("x", "y", "ms")).alias("p")).select("media_id", F.udf(lambda p: _mapped(p), "long")("p").alias("best"))
-    every = reference.select("media_id").unionByName(hypothesis.select("media_id")).distinct()
-    out = every.join(sums, "media_id", "left").join(best, "media_id", "left").na.fill(0)
+    every = turns.select("media_id").distinct()
+    out = every.join(sums, "media_id", "left").join(_explained(pairs), "media_id", "left").na.fill(0)
     out = out.select("media_id", *[F.col(c).cast("long").alias(c) for c in ("missed", "false_alarm")], (F.col("both") - F.col("best")).cast("long").alias("confusion"), F.col("total").cast("long").alias("total"))
     der = (F.col("missed") + F.col("false_alarm") + F.col("confusion")) / F.col("total")
     return out.withColumn("der", F.when(F.col("total") > 0, der).otherwise(0.0))

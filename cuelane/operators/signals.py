@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+#: Samples of a block. Work on samples meets in (media_id, block), so that a long recording is many keys.
+BLOCK = 65_536
+
+
+def _blocked(pcm: DataFrame, block: int) -> DataFrame:
+    """Rows with a place, and the block that they lie in."""
+    return pcm.where("media_id IS NOT NULL AND pos IS NOT NULL").withColumn("block", F.expr(f"pos div {block}"))
+
+
+def _per_block(blocked: DataFrame, parts: dict[str, tuple[Column, str]]) -> DataFrame:
+    """(media_id, block, parts...) where each part, a column with the aggregate (sum, min or max) that makes it and puts it
+    together, holds for the whole recording. Only one row per block crosses from block to recording."""
+    own = blocked.groupBy("media_id", "block").agg(*[getattr(F, how)(c).alias(n) for n, (c, how) in parts.items()])
+    whole = W.partitionBy("media_id")
+    return own.select("media_id", "block", *[getattr(F, how)(n).over(whole).alias(n) for n, (_, how) in parts.items()])
+
 
 def frame_energy(pcm: DataFrame, frame: int) -> DataFrame:
     """(media_id, frame_idx, rms): root mean square per `frame` samples; a last part counts as a frame."""
@@ -43,30 +60,88 @@ def refine_words(words: DataFrame, frames: DataFrame, thresholds: DataFrame, fra
     return end.withColumn("begin", F.greatest("s", F.coalesce(F.lag("end").over(order), F.lit(0)))).select("media_id", "input_pos", "word", F.col("begin").alias("start_ms"), F.col("end").alias("end_ms"))
 
 
-def silence_cuts(x: np.ndarray, rate: int, longest_s: float = 30.0, quiet_s: float = 0.2, level: float = 1e-3) -> list[tuple[int, int]]:
-    """Chunks of at most longest_s, cut in the last quiet run of quiet_s within the final second, else at the limit; chunks that stay below 1e-4 are dropped."""
-    out, lo, most, need = [], 0, int(longest_s * rate), int(quiet_s * rate)
-    while lo < len(x):
-        hi = min(len(x), lo + most)
-        if hi < len(x):
-            quiet = np.concatenate(([0], np.cumsum(np.abs(x[max(lo, hi - rate) : hi]) <= level)))
-            runs = np.flatnonzero(quiet[need:] - quiet[:-need] == need) if len(quiet) > need else []
-            if len(runs):
-                hi = max(lo, hi - rate) + int(runs[-1]) + need // 2
-        if np.abs(x[lo:hi]).max(initial=0) >= 1e-4:
-            out.append((lo, hi))
-        lo = max(hi, lo + 1)
-    return out
-
-
-def silence_chunks(pcm: DataFrame, rate: int, longest_s: float = 30.0) -> DataFrame:
-    """(media_id, chunk, start, end) in samples, by silence_cuts per recording (samples as doubles x)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("pos")["x"].to_numpy()
-        return pd.DataFrame([(pdf.media_id.iloc[0], i, a, b) for i, (a, b) in enumerate(silence_cuts(x, rate, longest_s))], columns=["media_id", "chunk", "start", "end"])
-
-    return pcm.select("media_id", "pos", "x").groupBy("media_id").applyInPandas(run, "media_id string, chunk int, start long, end long")
+def quiet_runs(pcm: DataFrame, least: int, level: float = 1e-3, block: int = BLOCK) -> DataFrame:
+    """(media_id, s, e): runs [s, e) of at least `least` samples x within the level. Runs are found per block; only those
+    that are long enough or touch an edge of their block meet their neighbours."""
+    quiet = _blocked(pcm, block).where(F.abs("x") <= level).select("media_id", "block", "pos")
+    own = quiet.withColumn("g", F.col("pos") - F.row_number().over(W.partitionBy("media_id", "block").orderBy("pos")))
+    own = own.groupBy("media_id", "block", "g").agg(F.min("pos").cast("long").alias("s"), (F.max("pos") + 1).cast("long").alias("e"))
+    own = own.where((F.col("e") - F.col("s") >= least) | (F.col("s") == F.col("block") * block) | (F.col("e") == (F.col("block") + 1) * block))
+    by_pos = W.partitionBy("media_id").orderBy("s")
+    new = F.coalesce(F.lag("e").over(by_pos) < F.col("s"), F.lit(True))
+    own = own.withColumn("new", F.when(new, 1).otherwise(0)).withColumn("run", F.sum("new").over(by_pos))
+    return own.groupBy("media_id", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).where(F.col("e") - F.col("s") >= least).select("media_id", "s", "e")
+
+
+def cuts_between(runs: Iterable[tuple[int, int]], n: int, rate: int, most: int, need: int) -> Iterator[tuple[int, int]]:
+    """Chunks of at most `most` of n samples, given the quiet runs in order: a chunk ends in the middle of the last `need`
+    quiet samples that lie in its final second, else at the limit. Holds one run at a time."""
+    lo, till = 0, None
+    for s, e in [*runs, (n, n)] if isinstance(runs, list) else runs:
+        while lo < n and (lo + most >= n or s > lo + most - need):
+            hi = min(n, lo + most)
+            if hi < n and till is not None:
+                at = min(till, hi) - need
+                if at >= max(lo, hi - rate):
+                    hi = at + need // 2
+            yield lo, hi
+            lo = max(hi, lo + 1)
+        till = e
+
+
+def silence_chunks(pcm: DataFrame, rate: int, longest_s: float = 30.0, quiet_s: float = 0.2, level: float = 1e-3, block: int = BLOCK) -> DataFrame:
+    """(media_id, chunk, start, end) in samples x (doubles at pos 0, 1, ...): chunks of at most longest_s, cut in the last
+    quiet run of quiet_s within the final second, else at the limit; chunks that stay below 1e-4 are dropped.
+
+    Samples are reduced to quiet runs block by block. The runs of a recording, at most one per quiet_s of sound, pass in
+    order through one task, which holds one run at a time; chunks then meet loud samples in stretches of longest_s. A
+    null sample is neither quiet nor loud; rows without recording or place take no part.
+    """
+    most, need = max(1, int(longest_s * rate)), max(1, int(quiet_s * rate))
+    pcm = pcm.select("media_id", F.col("pos").cast("long").alias("pos"), "x").where("media_id IS NOT NULL AND pos IS NOT NULL")
+    size = pcm.groupBy("media_id").agg((F.max("pos") + 1).alias("e")).select("media_id", F.lit(-1).cast("long").alias("s"), "e")
+    rows = size.unionByName(quiet_runs(pcm, need, level, block)).repartition("media_id").sortWithinPartitions("media_id", "s")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+
+        def chunks() -> Iterator[tuple]:
+            it = each()
+            head = next(it, None)
+            while head is not None:
+                media, _, n = head
+                head = None
+
+                def runs() -> Iterator[tuple[int, int]]:
+                    nonlocal head
+                    for m, s, e in it:
+                        if s < 0:
+                            head = (m, s, e)
+                            break
+                        yield s, e
+                    yield n, n
+
+                for lo, hi in cuts_between(runs(), n, rate, most, need):
+                    yield media, lo, hi
+
+        held: list[tuple] = []
+        for row in chunks():
+            held.append(row)
+            if len(held) == 8192:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], ["media_id", "start", "end"])
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], ["media_id", "start", "end"])
+
+    kinds = [pa.string(), pa.int64(), pa.int64()]
+    cuts = rows.select("media_id", "s", "e").mapInArrow(cut, "media_id string, start long, end long")
+    spread = cuts.where("end > start").withColumn("b", F.explode(F.expr(f"sequence(start div {most}, (end - 1) div {most})")))
+    loud = pcm.where(F.abs("x") >= 1e-4).select("media_id", F.expr(f"pos div {most}").alias("b"), "pos")
+    on = (F.col("c.media_id") == F.col("l.media_id")) & (F.col("c.b") == F.col("l.b")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))
+    kept = spread.alias("c").join(loud.alias("l"), on, "left_semi").select("media_id", "start", "end").distinct()
+    return kept.select("media_id", (F.row_number().over(W.partitionBy("media_id").orderBy("start")) - 1).alias("chunk"), "start", "end")
 
 
 def pitch_of(x: np.ndarray, rate: int, low: float = 50.0, high: float = 500.0) -> float:
@@ -99,12 +174,15 @@ def pitch_summary(pitched: DataFrame, least_rms: float = 0.01) -> DataFrame:
     return pitched.groupBy("media_id").agg(F.coalesce(F.avg(hz), zero).alias("mean_hz"), F.coalesce(F.median(hz), zero).alias("median_hz"), F.coalesce(F.stddev_samp(hz), zero).alias("std_hz"), (F.count_if(v) / F.count("*")).alias("voiced"))
 
 
-def signal_prepare(pcm: DataFrame) -> DataFrame:
-    """x without its mean, scaled to a peak of 1 (silent recordings stay 0)."""
-    w = W.partitionBy("media_id")
-    c = pcm.withColumn("x", F.col("sample") - F.avg("sample").over(w))
-    peak = F.max(F.abs("x")).over(w)
-    return c.withColumn("x", F.when(peak > 0, F.col("x") / peak).otherwise(0.0))
+def signal_prepare(pcm: DataFrame, block: int = BLOCK) -> DataFrame:
+    """x without its mean, scaled to a peak of 1 (silent recordings stay 0; x of a null sample is null). Sums and extremes
+    are put together from one row per block, and samples meet them by block. Rows without recording or place take no part."""
+    b = _blocked(pcm, block)
+    whole = _per_block(b, {"__sum": (F.col("sample"), "sum"), "__n": (F.when(F.col("sample").isNotNull(), 1).otherwise(0), "sum"), "__low": (F.col("sample"), "min"), "__high": (F.col("sample"), "max")})
+    mean = F.col("__sum") / F.col("__n")
+    whole = whole.select("media_id", "block", mean.alias("__mean"), F.greatest(F.abs(F.col("__high") - mean), F.abs(F.col("__low") - mean)).alias("__peak"))
+    x = F.when(F.col("__peak") > 0, (F.col("sample") - F.col("__mean")) / F.col("__peak")).otherwise(F.when(F.col("sample").isNotNull(), 0.0))
+    return b.join(whole, ["media_id", "block"]).withColumn("x", x).drop("block", "__mean", "__peak")
 
 
 def clip_levels(pcm: DataFrame, full: float = 32768.0) -> DataFrame:
@@ -147,14 +225,20 @@ def normalize_peak(arrays: DataFrame, target: float = 0.95) -> DataFrame:
     return arrays.withColumn("samples", F.when(peak > 0, F.transform("samples", lambda x: x * (t / peak))).otherwise(F.col("samples")))
 
 
-def nonsilent_end(pcm: DataFrame, window: int = 80, drop_db: float = 18.0) -> DataFrame:
-    """(media_id, end): one past the last sample position whose trailing window lies above the recording's level minus drop_db; the length for short or silent recordings."""
+def nonsilent_end(pcm: DataFrame, window: int = 80, drop_db: float = 18.0, block: int = BLOCK) -> DataFrame:
+    """(media_id, end): one past the last sample position whose trailing window lies above the recording's level minus
+    drop_db; the length for short or silent recordings. A block brings the samples that windows of the next one reach
+    back to, so windows are worked out block by block; the level is put together from one row per block."""
+    block = max(block, window)
     power = F.col("sample").cast("double") * F.col("sample")
-    w = W.partitionBy("media_id").orderBy("pos").rowsBetween(-(window - 1), 0)
-    lv = pcm.groupBy("media_id").agg(F.avg(power).alias("level"), F.count("*").alias("n"))
-    r = pcm.withColumn("p", F.avg(power).over(w)).join(lv, "media_id").where(F.col("pos") >= window - 1)
-    last = r.where(F.col("p") > F.col("level") * 10 ** (-drop_db / 10)).groupBy("media_id").agg((F.max("pos") + 1).alias("e"))
-    return lv.join(last, "media_id", "left").select("media_id", F.coalesce("e", "n").cast("long").alias("end"))
+    b = _blocked(pcm, block).select("media_id", "block", F.col("pos").cast("long").alias("pos"), power.alias("p"))
+    whole = _per_block(b, {"__sum": (F.col("p"), "sum"), "__n": (F.lit(1), "sum"), "__m": (F.when(F.col("p").isNotNull(), 1).otherwise(0), "sum")})
+    reach = F.when(F.col("pos") % block >= block - (window - 1), F.array("block", F.col("block") + 1)).otherwise(F.array("block"))
+    w = W.partitionBy("media_id", "block").orderBy("pos").rowsBetween(-(window - 1), 0)
+    own = b.withColumn("own", F.col("block")).withColumn("block", F.explode(reach)).withColumn("p", F.avg("p").over(w)).where((F.col("own") == F.col("block")) & (F.col("pos") >= window - 1))
+    loud = own.join(whole, ["media_id", "block"]).where(F.col("p") > F.col("__sum") / F.col("__m") * 10 ** (-drop_db / 10))
+    last = loud.groupBy("media_id").agg((F.max("pos") + 1).alias("e"))
+    return whole.groupBy("media_id").agg(F.max("__n").alias("n")).join(last, "media_id", "left").select("media_id", F.coalesce("e", "n").cast("long").alias("end"))
 
 
 def mixdown(clips: DataFrame, block: int = 64) -> DataFrame:
@@ -180,9 +264,16 @@ def mixdown(clips: DataFrame, block: int = 64) -> DataFrame:
     return parts.groupBy("media_id", "block").applyInPandas(add, "media_id string, block long, samples array<int>")
 
 
-def loop_background(background: DataFrame, lengths: DataFrame, percent: float) -> DataFrame:
-    """(media_id, pos, x): the background (media_id, pos, x) repeated and cut to each recording's length (media_id, n), at percent of its loudness."""
-    size = background.groupBy("media_id").agg(F.count("*").alias("size"))
-    at = lengths.join(size, "media_id").select("media_id", "size", F.explode(F.expr("sequence(0L, n - 1)")).alias("out"))
-    b = background.select("media_id", F.col("pos").alias("src"), "x")
-    return at.withColumn("src", F.col("out") % F.col("size")).join(b, ["media_id", "src"]).select("media_id", F.col("out").alias("pos"), (F.col("x") * (percent / 100)).alias("x"))
+def loop_background(background: DataFrame, lengths: DataFrame, percent: float, block: int = BLOCK, turns: int = 1024) -> DataFrame:
+    """(media_id, pos, x): the background (media_id, pos, x) repeated and cut to each recording's length (media_id, n), at
+    percent of its loudness. A sample knows its places by index arithmetic, so nothing is joined per place: it meets the
+    length by block and is dealt for `turns` repetitions at a time, so that a short background under a long recording is
+    many rows of work. Lengths that are null or below 1 give no row."""
+    b = _blocked(background.select("media_id", F.col("pos").cast("long").alias("pos"), "x"), block)
+    size = _per_block(b, {"size": (F.lit(1), "sum")})
+    sized = size.join(lengths.where("n > 0").select("media_id", F.col("n").cast("long").alias("n")), "media_id")
+    round_ = F.col("size") * turns
+    dealt = b.join(sized, ["media_id", "block"]).where("pos < size AND pos < n").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1 - F.col("pos")) / round_))))
+    dealt = dealt.repartition("media_id", "block", "part").withColumn("first", F.col("pos") + F.col("part") * round_)
+    out = F.sequence("first", F.least(F.col("n") - 1, F.col("first") + round_ - 1), F.col("size"))
+    return dealt.select("media_id", F.explode(out).alias("pos"), (F.col("x") * (percent / 100)).alias("x"))
