@@ -89,7 +89,7 @@ t AS MATERIALIZED (SELECT *, regexp_replace(text, '\s+', '', 'g') AS x FROM (SEL
 s AS MATERIALIZED (SELECT *, coalesce(sum(CASE WHEN contains(x, '>') THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY input_pos, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM t),
 o AS MATERIALIZED (SELECT *, min(input_pos) FILTER (x = '<' OR starts_with(x, '<spk')) OVER (PARTITION BY media_id, part) AS lo FROM s),
 m AS (SELECT media_id, part FROM o WHERE input_pos >= lo GROUP BY media_id, part HAVING bool_or(contains(x, '>')) AND regexp_matches(string_agg(x, '' ORDER BY input_pos, text), '^<spk:[0-9]+>'))
-SELECT media_id, input_pos, text FROM o WHERE NOT (input_pos >= coalesce(lo, input_pos + 1) AND EXISTS (SELECT 1 FROM m WHERE m.media_id = o.media_id AND m.part = o.part))""".replace("\\s", "\s"))
+SELECT media_id, input_pos, text FROM o WHERE NOT (input_pos >= coalesce(lo, input_pos + 1) AND EXISTS (SELECT 1 FROM m WHERE m.media_id = o.media_id AND m.part = o.part))""")
 def p3(spark, d):
     role = F.expr("CASE role WHEN 'user' THEN '1' WHEN 'assistant' THEN '2' ELSE '0' END")
     parts = F.concat(F.array(F.lit("<"), F.lit("spk:"), role, F.lit(">")), F.split("text", " "))
