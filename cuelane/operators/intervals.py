@@ -245,42 +245,54 @@ def _explained(pairs: DataFrame) -> DataFrame:
     return chains.by_groups(pairs.select("media_id", "x", "y", "ms"), ["media_id"], ["x", "y"], run, "media_id string, best long")
 
 
-def _spoken(turns: DataFrame) -> DataFrame:
-    """(media_id, side, speaker, start_ms, end_ms): turns of one speaker of a side that meet or overlap as one."""
-    w = W.partitionBy("media_id", "side", "speaker").orderBy("start_ms", "end_ms")
-    top = F.max("end_ms").over(w.rowsBetween(W.unboundedPreceding, -1))
-    t = turns.where("end_ms > start_ms").withColumn("brk", F.when(F.col("start_ms") <= top, 0).otherwise(1)).withColumn("g", F.sum("brk").over(w))
-    return t.groupBy("media_id", "side", "speaker", "g").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("g")
+def _swept(turns: DataFrame, collar: int) -> DataFrame:
+    """(media_id, side, speaker, g, a, b, missed, false_alarm, shared, total) of turns with a side, 'r' or 'h': one row per
+    stretch that a speaker talks through, and one without side per recording. a and b are its ends on a clock that stands
+    still inside collars; the sums over a recording's rows are its times. Turns are shuffled once, by recording."""
+    own = W.partitionBy("media_id", "side", "speaker", "live").orderBy("start_ms", "end_ms")
+    till_now = own.rowsBetween(W.unboundedPreceding, 0)
+    t = turns.repartition("media_id").withColumn("live", F.col("end_ms") > F.col("start_ms"))
+    t = t.withColumn("brk", F.when(F.col("start_ms") <= F.max("end_ms").over(own.rowsBetween(W.unboundedPreceding, -1)), 0).otherwise(1))
+    t = t.withColumn("g", F.sum("brk").over(till_now)).withColumn("till", F.max("end_ms").over(till_now)).withColumn("last", F.coalesce(F.lead("brk").over(own), F.lit(1)))
+    is_ref = F.col("side") == "r"
+
+    def event(at: Column, r: int | Column = 0, h: int | Column = 0, c: int = 0, speaks: bool = False) -> Column:
+        one = lambda v: (v if isinstance(v, Column) else F.lit(v)).cast("int")
+        return F.struct(at.alias("t"), one(r).alias("r"), one(h).alias("h"), one(c).alias("c"), F.lit(speaks).alias("speaks"))
+
+    start, end, side_r, side_h = F.col("start_ms"), F.col("end_ms"), F.when(is_ref, 1).otherwise(0), F.when(is_ref, 0).otherwise(1)
+    nothing = F.array().cast("array<struct<t:bigint,r:int,h:int,c:int,speaks:boolean>>")
+    around = F.when(is_ref, F.array(event(start - collar, c=1), event(start + collar, c=-1), event(end - collar, c=1), event(end + collar, c=-1))).otherwise(F.when(F.col("live"), nothing).otherwise(F.array(event(start))))
+    begins = F.when(F.col("live") & (F.col("brk") == 1), F.array(event(start, side_r, side_h, speaks=True))).otherwise(nothing)
+    ends = F.when(F.col("live") & (F.col("last") == 1), F.array(event(F.col("till"), -side_r, -side_h, speaks=True))).otherwise(nothing)
+    e = t.select("media_id", "side", "speaker", "g", F.explode(F.concat(around, begins, ends)).alias("e")).select("media_id", "side", "speaker", "g", "e.*")
+    by_t = W.partitionBy("media_id").orderBy("t")  # rows of one time share their sums
+    e = e.select("media_id", "side", "speaker", "g", "speaks", "t", *[F.sum(x).over(by_t).alias(x) for x in "rhc"])
+    before = lambda c: F.lag(c).over(by_t)
+    e = e.withColumn("ms", F.when(before("c") == 0, F.col("t") - before("t")).otherwise(0)).withColumn("r", F.coalesce(before("r"), F.lit(0))).withColumn("h", F.coalesce(before("h"), F.lit(0)))
+    e = e.withColumn("clock", F.sum("ms").over(by_t))
+    whose = [F.when(F.col("speaks"), F.col(c)).alias(c) for c in ("side", "speaker", "g")]
+    ms, r, h = F.col("ms"), F.col("r"), F.col("h")
+    return e.groupBy("media_id", *whose).agg(
+        F.min("clock").alias("a"), F.max("clock").alias("b"), F.sum(F.greatest(F.lit(0), r - h) * ms).alias("missed"), F.sum(F.greatest(F.lit(0), h - r) * ms).alias("false_alarm"),
+        F.sum(F.least(r, h) * ms).alias("shared"), F.sum(r * ms).alias("total"))
 
 
 def diarization_error(reference: DataFrame, hypothesis: DataFrame, collar: int = 250) -> DataFrame:
     """(media_id, missed, false_alarm, confusion, total, der): missed, false and confused speaker time over reference time, outside a collar around reference borders; speakers are mapped one to one for the least confusion.
 
-    One sweep over the borders of both sides and of the collars gives active speakers; only the matrix of speakers of a recording meets in one place.
-    Both sides are stored once, since the sweep and the pairs read them several times. Turns without recording or times take no part; all turns without a name count as one speaker's.
+    One sweep over the borders of both sides and of the collars gives active speakers and a clock that stands still inside
+    collars. What two speakers have in common is the overlap of their stretches on that clock, met in buckets of it; only
+    the matrix of speakers of a recording meets in one place. Turns without recording or times take no part; all turns
+    without a name count as one speaker's.
     """
-    turn = lambda df, side: df.select("media_id", F.lit(side).alias("side"), F.coalesce("speaker", F.lit("")).alias("speaker"), "start_ms", "end_ms").where("media_id IS NOT NULL AND start_ms IS NOT NULL AND end_ms IS NOT NULL")
-    turns = chains.stored(turn(reference, "r").unionByName(turn(hypothesis, "h")))
-    spoken = chains.stored(_spoken(turns))
-    reference, ref, hyp = turns.where("side = 'r'"), spoken.where("side = 'r'"), spoken.where("side = 'h'")
-
-    def events(df: DataFrame, start: Column, end: Column, name: str) -> DataFrame:
-        e = df.select("media_id", F.explode(F.array(F.struct(start.alias("t"), F.lit(1).alias("d")), F.struct(end.alias("t"), F.lit(-1).alias("d")))).alias("e"))
-        return e.select("media_id", "e.t", *[(F.col("e.d") if x == name else F.lit(0)).alias(x) for x in ("r", "h", "c")])
-
-    start, end = F.col("start_ms"), F.col("end_ms")
-    borders = reference.select("media_id", F.explode(F.array("start_ms", "end_ms")).alias("x"))
-    ev = events(ref, start, end, "r").unionByName(events(hyp, start, end, "h")).unionByName(events(borders, F.col("x") - collar, F.col("x") + collar, "c"))
-    ev = ev.groupBy("media_id", "t").agg(*[F.sum(x).alias(x) for x in "rhc"])
-    w = W.partitionBy("media_id").orderBy("t")
-    at = chains.stored(ev.select("media_id", F.col("t").alias("start_ms"), F.lead("t").over(w).alias("end_ms"), *[F.sum(x).over(w).alias(x) for x in "rhc"]).where("end_ms IS NOT NULL AND c = 0 AND (r > 0 OR h > 0)"))
-    ms, r, h = F.col("end_ms") - F.col("start_ms"), F.col("r"), F.col("h")
-    sums = at.groupBy("media_id").agg(F.sum(F.greatest(F.lit(0), r - h) * ms).alias("missed"), F.sum(F.greatest(F.lit(0), h - r) * ms).alias("false_alarm"), F.sum(F.least("r", "h") * ms).alias("both"), F.sum(r * ms).alias("total"))
-    heard = overlap_join(at.where("r > 0 AND h > 0").select("media_id", "start_ms", "end_ms"), ref.select("media_id", F.col("speaker").alias("x"), F.col("start_ms").alias("r0"), F.col("end_ms").alias("r1")), "start_ms", "end_ms", "r0", "r1")
-    heard = overlap_join(heard, hyp.select("media_id", F.col("speaker").alias("y"), F.col("start_ms").alias("h0"), F.col("end_ms").alias("h1")), "start_ms", "end_ms", "h0", "h1")
-    pairs = heard.groupBy("media_id", "x", "y").agg(F.sum(ms).alias("ms"))
-    every = turns.select("media_id").distinct()
-    out = every.join(sums, "media_id", "left").join(_explained(pairs), "media_id", "left").na.fill(0)
-    out = out.select("media_id", *[F.col(c).cast("long").alias(c) for c in ("missed", "false_alarm")], (F.col("both") - F.col("best")).cast("long").alias("confusion"), F.col("total").cast("long").alias("total"))
+    turn = lambda df, side: df.select("media_id", F.lit(side).alias("side"), F.coalesce("speaker", F.lit("")).alias("speaker"), F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms")).where("media_id IS NOT NULL AND start_ms IS NOT NULL AND end_ms IS NOT NULL")
+    parts = chains.stored(_swept(turn(reference, "r").unionByName(turn(hypothesis, "h")), collar))
+    spoken = lambda side, name: parts.where((F.col("side") == side) & (F.col("b") > F.col("a"))).select("media_id", F.col("speaker").alias(name), F.col("a").alias(f"{name}0"), F.col("b").alias(f"{name}1"))
+    heard = overlap_join(spoken("r", "x"), spoken("h", "y"), "x0", "x1", "y0", "y1")
+    pairs = heard.groupBy("media_id", "x", "y").agg(F.sum(F.least("x1", "y1") - F.greatest("x0", "y0")).alias("ms"))
+    sums = parts.groupBy("media_id").agg(*[F.sum(c).alias(c) for c in ("missed", "false_alarm", "shared", "total")])
+    out = sums.join(_explained(pairs), "media_id", "left").na.fill(0)
+    out = out.select("media_id", "missed", "false_alarm", (F.col("shared") - F.col("best")).alias("confusion"), "total")
     der = (F.col("missed") + F.col("false_alarm") + F.col("confusion")) / F.col("total")
     return out.withColumn("der", F.when(F.col("total") > 0, der).otherwise(0.0))

@@ -175,6 +175,10 @@ def test_diarization_error_counts_everything(spark):
     frames = [spark.createDataFrame(sides[s], "media_id string, speaker string, start_ms long, end_ms long") for s in "rh"]
     got = {x.media_id: (x.missed, x.false_alarm, x.confusion, x.total) for x in intervals.diarization_error(*frames).collect()}
     assert got == want
+    odd = [spark.createDataFrame(x, "media_id string, speaker string, start_ms long, end_ms long") for x in ([("a", None, 0, 2000), ("b", "s", 5, 5), (None, "s", 0, 9)], [("a", "t", 0, 2000), ("c", "t", 7, 7), ("d", "t", 100, 400), ("d", "t", None, 9)])]
+    got = {x.media_id: (x.missed, x.false_alarm, x.confusion, x.total, x.der) for x in intervals.diarization_error(*odd).collect()}
+    assert got == {"a": (0, 0, 0, 1500, 0.0), "b": (0, 0, 0, 0, 0.0), "c": (0, 0, 0, 0, 0.0), "d": (0, 300, 0, 0, 0.0)}
+    assert intervals.diarization_error(*[x.limit(0) for x in odd]).count() == 0
 
 
 def test_dates_hu_nine_shapes(spark):
