@@ -245,35 +245,45 @@ def _explained(pairs: DataFrame) -> DataFrame:
     return chains.by_groups(pairs.select("media_id", "x", "y", "ms"), ["media_id"], ["x", "y"], run, "media_id string, best long")
 
 
-def _swept(turns: DataFrame, collar: int) -> DataFrame:
-    """(media_id, side, speaker, g, a, b, missed, false_alarm, shared, total) of turns with a side, 'r' or 'h': one row per
-    stretch that a speaker talks through, and one without side per recording. a and b are its ends on a clock that stands
-    still inside collars; the sums over a recording's rows are its times. Turns are shuffled once, by recording."""
-    own = W.partitionBy("media_id", "side", "speaker", "live").orderBy("start_ms", "end_ms")
+def _swept(turns: DataFrame, collar: int, width: int = BUCKET_MS) -> DataFrame:
+    """(media_id, cell, side, speaker, g, a, b, missed, false_alarm, shared, total) of turns with a side, 'r' or 'h': one
+    row per stretch that a speaker talks through in a cell of time, and one without side per cell. a and b are its ends on a
+    clock of the cell that stands still inside collars; the sums over a recording's rows are its times. Turns are shuffled
+    once, to the cells that they or their collars touch, so a recording of any length is many keys."""
+    at = lambda x: F.floor(x / width)
+    t = turns.withColumn("cell", F.explode(F.sequence(at(F.col("start_ms") - collar), at(F.greatest("start_ms", "end_ms") + collar)))).repartition("media_id", "cell")
+    key = [F.xxhash64("media_id", "cell").alias("key"), "media_id", "cell"]  # sorts by number before it sorts by name
+    lo, hi = F.col("cell") * width, (F.col("cell") + 1) * width
+    t = t.select(*key, "side", "speaker", F.col("start_ms").alias("x"), F.col("end_ms").alias("y"), F.greatest("start_ms", lo).alias("s"), F.least("end_ms", hi).alias("e")).withColumn("live", F.col("e") > F.col("s"))
+    own = W.partitionBy("key", "media_id", "cell", "side", "speaker", "live").orderBy("s", "e")
     till_now = own.rowsBetween(W.unboundedPreceding, 0)
-    t = turns.repartition("media_id").withColumn("live", F.col("end_ms") > F.col("start_ms"))
-    t = t.withColumn("brk", F.when(F.col("start_ms") <= F.max("end_ms").over(own.rowsBetween(W.unboundedPreceding, -1)), 0).otherwise(1))
-    t = t.withColumn("g", F.sum("brk").over(till_now)).withColumn("till", F.max("end_ms").over(till_now)).withColumn("last", F.coalesce(F.lead("brk").over(own), F.lit(1)))
+    t = t.withColumn("brk", F.when(F.col("s") <= F.max("e").over(own.rowsBetween(W.unboundedPreceding, -1)), 0).otherwise(1))
+    t = t.withColumn("g", F.sum("brk").over(till_now)).withColumn("till", F.max("e").over(till_now)).withColumn("last", F.coalesce(F.lead("brk").over(own), F.lit(1)))
     is_ref = F.col("side") == "r"
+    side_r, side_h = F.when(is_ref, 1).otherwise(0), F.when(is_ref, 0).otherwise(1)
 
-    def event(at: Column, r: int | Column = 0, h: int | Column = 0, c: int = 0, speaks: bool = False) -> Column:
-        one = lambda v: (v if isinstance(v, Column) else F.lit(v)).cast("int")
-        return F.struct(at.alias("t"), one(r).alias("r"), one(h).alias("h"), one(c).alias("c"), F.lit(speaks).alias("speaks"))
+    def event(at: Column, r: Column = F.lit(0), h: Column = F.lit(0), c: int = 0, speaks: bool = False) -> Column:
+        return F.struct(at.alias("t"), r.cast("int").alias("r"), h.cast("int").alias("h"), F.lit(c).alias("c"), F.lit(speaks).alias("speaks"))
+
+    def around(border: str) -> Column:
+        a, b = F.greatest(F.col(border) - collar, lo), F.least(F.col(border) + collar, hi)
+        return F.when(is_ref & (b > a), F.array(event(a, c=1), event(b, c=-1))).otherwise(nothing)
 
-    start, end, side_r, side_h = F.col("start_ms"), F.col("end_ms"), F.when(is_ref, 1).otherwise(0), F.when(is_ref, 0).otherwise(1)
     nothing = F.array().cast("array<struct<t:bigint,r:int,h:int,c:int,speaks:boolean>>")
-    around = F.when(is_ref, F.array(event(start - collar, c=1), event(start + collar, c=-1), event(end - collar, c=1), event(end + collar, c=-1))).otherwise(F.when(F.col("live"), nothing).otherwise(F.array(event(start))))
-    begins = F.when(F.col("live") & (F.col("brk") == 1), F.array(event(start, side_r, side_h, speaks=True))).otherwise(nothing)
-    ends = F.when(F.col("live") & (F.col("last") == 1), F.array(event(F.col("till"), -side_r, -side_h, speaks=True))).otherwise(nothing)
-    e = t.select("media_id", "side", "speaker", "g", F.explode(F.concat(around, begins, ends)).alias("e")).select("media_id", "side", "speaker", "g", "e.*")
-    by_t = W.partitionBy("media_id").orderBy("t")  # rows of one time share their sums
-    e = e.select("media_id", "side", "speaker", "g", "speaks", "t", *[F.sum(x).over(by_t).alias(x) for x in "rhc"])
+    live = F.col("live")
+    begins = F.when(live & (F.col("brk") == 1), F.array(event(F.col("s"), side_r, side_h, speaks=True))).otherwise(nothing)
+    ends = F.when(live & (F.col("last") == 1), F.array(event(F.col("till"), -side_r, -side_h, speaks=True))).otherwise(nothing)
+    there = F.when(live, nothing).otherwise(F.array(event(lo)))  # also a recording of empty turns has a row
+    e = t.select("key", "media_id", "cell", "side", "speaker", "g", F.explode(F.concat(around("x"), around("y"), begins, ends, there)).alias("v"))
+    whose = [F.when(F.col("v.speaks"), F.col(c)).alias(c) for c in ("side", "speaker", "g")]
+    e = e.select("key", "media_id", "cell", *whose, "v.t", "v.r", "v.h", "v.c")
+    by_t = W.partitionBy("key", "media_id", "cell").orderBy("t")  # rows of one time share their sums
+    e = e.select("key", "media_id", "cell", "side", "speaker", "g", "t", *[F.sum(x).over(by_t).alias(x) for x in "rhc"])
     before = lambda c: F.lag(c).over(by_t)
     e = e.withColumn("ms", F.when(before("c") == 0, F.col("t") - before("t")).otherwise(0)).withColumn("r", F.coalesce(before("r"), F.lit(0))).withColumn("h", F.coalesce(before("h"), F.lit(0)))
     e = e.withColumn("clock", F.sum("ms").over(by_t))
-    whose = [F.when(F.col("speaks"), F.col(c)).alias(c) for c in ("side", "speaker", "g")]
     ms, r, h = F.col("ms"), F.col("r"), F.col("h")
-    return e.groupBy("media_id", *whose).agg(
+    return e.groupBy("media_id", "cell", "side", "speaker", "g").agg(
         F.min("clock").alias("a"), F.max("clock").alias("b"), F.sum(F.greatest(F.lit(0), r - h) * ms).alias("missed"), F.sum(F.greatest(F.lit(0), h - r) * ms).alias("false_alarm"),
         F.sum(F.least(r, h) * ms).alias("shared"), F.sum(r * ms).alias("total"))
 
@@ -281,15 +291,15 @@ def _swept(turns: DataFrame, collar: int) -> DataFrame:
 def diarization_error(reference: DataFrame, hypothesis: DataFrame, collar: int = 250) -> DataFrame:
     """(media_id, missed, false_alarm, confusion, total, der): missed, false and confused speaker time over reference time, outside a collar around reference borders; speakers are mapped one to one for the least confusion.
 
-    One sweep over the borders of both sides and of the collars gives active speakers and a clock that stands still inside
-    collars. What two speakers have in common is the overlap of their stretches on that clock, met in buckets of it; only
-    the matrix of speakers of a recording meets in one place. Turns without recording or times take no part; all turns
+    One sweep per cell of time over the borders of both sides and of the collars gives active speakers and a clock that
+    stands still inside collars. What two speakers have in common is the overlap of their stretches on that clock; only the
+    matrix of speakers of a recording meets in one place. Turns without recording or times take no part; all turns
     without a name count as one speaker's.
     """
     turn = lambda df, side: df.select("media_id", F.lit(side).alias("side"), F.coalesce("speaker", F.lit("")).alias("speaker"), F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms")).where("media_id IS NOT NULL AND start_ms IS NOT NULL AND end_ms IS NOT NULL")
     parts = chains.stored(_swept(turn(reference, "r").unionByName(turn(hypothesis, "h")), collar))
-    spoken = lambda side, name: parts.where((F.col("side") == side) & (F.col("b") > F.col("a"))).select("media_id", F.col("speaker").alias(name), F.col("a").alias(f"{name}0"), F.col("b").alias(f"{name}1"))
-    heard = overlap_join(spoken("r", "x"), spoken("h", "y"), "x0", "x1", "y0", "y1")
+    spoken = lambda side, name: parts.where((F.col("side") == side) & (F.col("b") > F.col("a"))).select("media_id", "cell", F.col("speaker").alias(name), F.col("a").alias(f"{name}0"), F.col("b").alias(f"{name}1"))
+    heard = spoken("r", "x").join(spoken("h", "y"), ["media_id", "cell"]).where("x0 < y1 AND y0 < x1")
     pairs = heard.groupBy("media_id", "x", "y").agg(F.sum(F.least("x1", "y1") - F.greatest("x0", "y0")).alias("ms"))
     sums = parts.groupBy("media_id").agg(*[F.sum(c).alias(c) for c in ("missed", "false_alarm", "shared", "total")])
     out = sums.join(_explained(pairs), "media_id", "left").na.fill(0)
