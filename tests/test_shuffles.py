@@ -2,16 +2,45 @@
 
 import re
 
-from cuelane.operators import segment
+from cuelane.operators import segment, words as wd
 from cuelane.plans import fixtures as fx
 
 DATA = "/root/testdata/sf0.001"
 
 
 def shuffles(df) -> list[str]:
+    """Of a plan that broadcasts nothing."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return planned(df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def planned(df) -> list[str]:
+    df = df.select("*")
     return re.findall(r"Exchange (.*)", df._jdf.queryExecution().executedPlan().toString())
 
 
 def test_words_are_not_shuffled(spark):
     for df in (fx.words(spark, DATA), segment.pause_segments(fx.words(spark, DATA)), fx.segments(spark, DATA), fx.edits(spark, DATA)):
         assert len(shuffles(df)) == 1 and "REPARTITION_BY_NUM" in shuffles(df)[0]
+
+
+def test_forced_breaks_and_positions_move_no_words(spark):
+    w = fx.words(spark, DATA)
+    forced = segment.forced_segments(w, segment.snap_change_points(w, fx.change_points(spark, DATA)))
+    aligned = wd.align_by_position(w, w)
+    for df in (forced, aligned):
+        assert not [x for x in shuffles(df) if "input_pos" in x or "idx" in x]
+
+
+def test_positions_that_are_there_twice_or_missing(spark):
+    words = spark.createDataFrame([("a", 0, "x", 0, 1), ("a", 1, "y", 1, 2), ("a", 1, "z", 2, 3), ("b", None, "x", 0, 1), (None, 0, "x", 0, 1)], "media_id string, input_pos int, word string, start_ms long, end_ms long")
+    aligned = spark.createDataFrame([("a", 1, "Y", 11, 12), ("a", 1, "q", 21, 22), ("a", 2, "r", 31, 32), ("b", None, "x", 7, 8), (None, 0, "x", 7, 8)], words.schema)
+    got = sorted(map(repr, map(tuple, wd.align_by_position(words, aligned).collect())))
+    assert got == sorted(map(repr, [
+        ("a", 0, "x", None, None, None), ("a", 1, "y", 11, 12, False), ("a", 1, "y", 21, 22, True), ("a", 1, "z", 11, 12, True), ("a", 1, "z", 21, 22, True),
+        ("b", None, "x", None, None, None), (None, 0, "x", 0, 1, False),
+    ]))
