@@ -44,3 +44,11 @@ def test_positions_that_are_there_twice_or_missing(spark):
         ("a", 0, "x", None, None, None), ("a", 1, "y", 11, 12, False), ("a", 1, "y", 21, 22, True), ("a", 1, "z", 11, 12, True), ("a", 1, "z", 21, 22, True),
         ("b", None, "x", None, None, None), (None, 0, "x", 0, 1, False),
     ]))
+
+
+def test_cuts_of_short_stretches_store_and_move_no_words(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(segment.chains, "stored", lambda df, store=segment.chains.stored: kept.append(store(df)) or kept[-1])
+    out = segment.split_words(segment.pause_segments(fx.words(spark, DATA), 100000), "recursive", local=10**6)
+    assert sum(df.count() for df in kept) == 0
+    assert not [x for x in shuffles(out) if "REPARTITION_BY_NUM" not in x]
