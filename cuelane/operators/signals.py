@@ -100,7 +100,8 @@ def silence_chunks(pcm: DataFrame, rate: int, longest_s: float = 30.0, quiet_s:
     most, need = max(1, int(longest_s * rate)), max(1, int(quiet_s * rate))
     pcm = pcm.select("media_id", F.col("pos").cast("long").alias("pos"), "x").where("media_id IS NOT NULL AND pos IS NOT NULL")
     size = pcm.groupBy("media_id").agg((F.max("pos") + 1).alias("e")).select("media_id", F.lit(-1).cast("long").alias("s"), "e")
-    rows = size.unionByName(quiet_runs(pcm, need, level, block)).repartition("media_id").sortWithinPartitions("media_id", "s")
+    # dealt by a hash of its own: Spark would leave out a dealing by media_id, as both parts are dealt so, and then put their partitions together differently
+    rows = size.unionByName(quiet_runs(pcm, need, level, block)).repartition(F.xxhash64("media_id")).sortWithinPartitions("media_id", "s")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:

@@ -52,6 +52,21 @@ def test_silence_chunks_is_the_scan(spark, block):
     assert [tuple(r) for r in signals.silence_chunks(odd, 16).collect()] == [("a", 0, 0, 2)]
 
 
+def test_silence_chunks_where_small_partitions_are_put_together(spark):
+    """Recordings and their quiet runs are of different size, so that Spark joins partitions of the two differently."""
+    pcm = spark.range(9000).selectExpr("concat('v', id div 3) AS media_id", "explode(sequence(0, 29)) AS i", "id").selectExpr("media_id", "CAST((id % 3) * 30 + i AS INT) AS pos", "CASE WHEN i % 10 < 5 THEN 0.0D ELSE 0.5D END AS x")
+    conf = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = signals.silence_chunks(pcm, 16, 1.5).groupBy("start", "end").count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(tuple(r) for r in got) == [(a, b, 3000) for _, a, b in _chunks([0.0 if i % 10 < 5 else 0.5 for i in range(90)], 16, 1.5, 0.2)]
+
+
 def test_long_silence_and_sound_are_cut_in_one_pass():
     n, rate = 4_000_000, 16
     assert len(list(signals.cuts_between([], n, rate, 480, 3))) == -(-n // 480)
