@@ -3,7 +3,7 @@
 import re
 
 from cuelane.operators import segment, words as wd
-from cuelane.plans import fixtures as fx
+from cuelane.plans import catalog, fixtures as fx
 
 DATA = "/root/testdata/sf0.001"
 
@@ -52,3 +52,22 @@ def test_cuts_of_short_stretches_store_and_move_no_words(spark, monkeypatch):
     out = segment.split_words(segment.pause_segments(fx.words(spark, DATA), 100000), "recursive", local=10**6)
     assert sum(df.count() for df in kept) == 0
     assert not [x for x in shuffles(out) if "REPARTITION_BY_NUM" not in x]
+
+
+def test_joins_of_a_recording_move_no_words(spark):
+    for name in ("j3_speaker_runs", "j4_assign_words_to_runs", "a2_retry_gate", "j17_failed_resolved", "j20_promote_failed_clip"):
+        assert not [x for x in shuffles(catalog.queries()[name](spark, DATA)) if "REPARTITION_BY_NUM" not in x], name
+    for name in ("j11_align_by_time", "j13_split_by_durations", "p5_tokens_to_words"):  # no more than by recording
+        assert not [x for x in shuffles(catalog.queries()[name](spark, DATA)) if "REPARTITION_BY_NUM" not in x], name
+
+
+def test_partitions_of_words_follow_the_size_of_texts(spark, monkeypatch):
+    rows = sorted(map(tuple, segment.word_segments(fx.words(spark, DATA)).collect()))
+    monkeypatch.setattr(fx, "TEXT_BYTES", 20_000)
+    fx.parts.cache_clear()
+    try:
+        n = fx.parts(spark, DATA)
+        assert n > 4 and [x for x in shuffles(fx.words(spark, DATA)) if f", {n})" in x]
+        assert sorted(map(tuple, segment.word_segments(fx.words(spark, DATA)).collect())) == rows
+    finally:
+        fx.parts.cache_clear()
