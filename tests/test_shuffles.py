@@ -71,3 +71,9 @@ def test_partitions_of_words_follow_the_size_of_texts(spark, monkeypatch):
         assert sorted(map(tuple, segment.word_segments(fx.words(spark, DATA)).collect())) == rows
     finally:
         fx.parts.cache_clear()
+
+
+def test_split_by_speaker_makes_words_once_per_input(spark):
+    for name in ("j5_split_by_speaker", "j5_split_counters"):
+        got = shuffles(catalog.queries()[name](spark, DATA))
+        assert len(got) <= 6 and not [x for x in got if "REPARTITION_BY_NUM" not in x], got
