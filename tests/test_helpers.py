@@ -209,3 +209,18 @@ def test_phonemes(spark):
     cases = {"d ʒ ɔː n": "dzsón", "i ə ɹ": "iar", "d ˈ ʒ": "dzs", "ˈ . |": None, "": None, "m j u z i ə m": "muzeum", "ŋ:: Q: aː": "nggqá", "t| ʃ": "cs", "t  ʃ": "ts", "m a n h a n": "manhatán", "z i ʌ m": "zeum", "ɹ: k": "rrk", "a: ɹ k": "ark", "n̩ ?": "an?"}
     rows = spark.createDataFrame([(k,) for k in cases], "k string").select("k", ph.phonemes_to_hu(F.split("k", " ")).alias("v"), ph.phonemes_to_hu(F.lit(None).cast("array<string>")).alias("none")).collect()
     assert {r.k: r.v for r in rows} == cases and all(r.none is None for r in rows)
+
+
+def test_compressed_files_are_smaller_and_read_the_same(spark, tmp_path):
+    from cuelane.sources import transcripts
+
+    rows = spark.createDataFrame([(f"m{i}", '{"words": [' + ", ".join(['{"word": "a\\"b", "start": 1.5}'] * 200) + "]}") for i in range(5)] + [("é/x", "[")], "media_id string, content string")
+    size = {}
+    for how in ("none", "gzip"):
+        at = str(tmp_path / how)
+        transcripts.write_files(rows, at, how)
+        assert sorted(map(tuple, transcripts.read_files(spark, at).collect())) == sorted(map(tuple, rows.collect()))
+        words, bad = transcripts.read_payloads(spark, at)
+        assert words.count() == 1000 and [tuple(r) for r in bad.collect()] == [("é/x", "malformed")]
+        size[how] = transcripts.list_files(spark, at).agg({"length": "sum"}).first()[0]
+    assert size["gzip"] * 5 < size["none"]
