@@ -23,8 +23,8 @@ from cuelane.llm.common import SLICE_BYTES, byte_slices, list_offsets, ragged_ta
 
 SPACE = "▁"
 _MODELS: dict[str, "PieceModel"] = {}
-#: Characters encoded in one step, and pieces whose ids a worker remembers between slices.
-STEP_CHARS, SEEN_PIECES = 200_000, 100_000
+#: Characters encoded in one step, pieces and their characters whose ids a worker remembers between slices, and places of pairs that are found at once.
+STEP_CHARS, SEEN_PIECES, SEEN_CHARS, PAIR_PLACES = 200_000, 400_000, 8_000_000, 1 << 20
 
 
 class PieceModel:
@@ -34,6 +34,7 @@ class PieceModel:
         import ahocorasick
         import sentencepiece
 
+        self.path = path
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         for text in ("a  b ", "\ufb01 \u00bd e\u0301\u3000\t\u200b"):  # texts that any normaliser would change
             if sp.decode(sp.encode(text)) != text:
@@ -61,10 +62,12 @@ class PieceModel:
         self.out_len = np.array([len(b) for b in out], np.int64)
         self.out_off = np.concatenate(([0], np.cumsum(self.out_len)))
         self.pair_codes, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.near_code, self.near_ok = np.full(PAIR_PLACES, -1), np.zeros(PAIR_PLACES, bool)
         self.forget()
 
     def forget(self) -> None:
         self.seen: dict[str, int] = {}
+        self.seen_chars = 0
         self.seen_ids, self.seen_len = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def merge(self, text: str) -> list[str]:
@@ -82,10 +85,14 @@ class PieceModel:
         return parts
 
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether right may follow left; answers are kept in a sorted table. Ids from `size` on are characters outside the vocabulary, which nothing merges with."""
+        """Whether right may follow left; answers are kept in a sorted table, and the latest for each place of a smaller one that is looked into first. Ids from `size` on are characters outside the vocabulary, which nothing merges with."""
         ok = (left >= self.size) | (right >= self.size)
         ask = np.flatnonzero(~ok)
         codes = left[ask].astype(np.int64) * self.size + right[ask]
+        place = (codes ^ codes >> 17) * 0x9E3779B1 >> 12 & PAIR_PLACES - 1
+        near = self.near_code[place] == codes
+        ok[ask[near]] = self.near_ok[place[near]]
+        ask, codes, place = ask[~near], codes[~near], place[~near]
         if len(codes):
             known = self._find(codes)
             miss = np.unique(codes[known < 0])
@@ -96,6 +103,8 @@ class PieceModel:
                 self.pair_codes, self.pair_ok = codes_all[order], np.concatenate((self.pair_ok, fresh))[order]
                 known = self._find(codes)
             ok[ask] = self.pair_ok[known]
+            self.near_code[place] = codes
+            self.near_ok[place] = ok[ask]
         return ok
 
     def _find(self, codes: np.ndarray) -> np.ndarray:
@@ -109,7 +118,7 @@ class PieceModel:
 
     def piece_table(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, starts, counts): the ids of piece i are ids[starts[i] : starts[i] + counts[i]]. Pieces seen before are looked up."""
-        if len(self.seen) > SEEN_PIECES:
+        if len(self.seen) > SEEN_PIECES or self.seen_chars > SEEN_CHARS:
             self.forget()
         seen, new, held = self.seen, [], 0
         flat, lens = [self.seen_ids], [self.seen_len]
@@ -124,6 +133,7 @@ class PieceModel:
                 seen[p] = len(seen)
                 new.append(p)
                 held += len(p)
+                self.seen_chars += len(p)
                 if held > STEP_CHARS:
                     step()
                     new, held = [], 0

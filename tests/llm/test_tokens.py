@@ -201,3 +201,25 @@ def test_the_session_keeps_its_own_batch_size(spark):
     own.conf.set(name, "67108864b")
     ship(own)
     assert own.conf.get(name) == "67108864b"
+
+
+def test_pairs_and_pieces_seen_before_are_not_worked_out_again(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from cuelane.llm import sentencepiece_bpe as sb
+
+    rng = random.Random(11)
+    syllables = ["ka", "men", "to", "rí", "la", "ción", "ez", "über"]
+    texts = pa.array([" ".join("".join(rng.choices(syllables, k=rng.randrange(1, 6))) for _ in range(300)) for _ in range(20)])
+    m = sb.PieceModel(sb.model(None).path)
+    want, offsets = m.encode_texts(texts)
+    asked = []
+    monkeypatch.setattr(m, "_find", lambda codes, find=m._find: asked.append(len(codes)) or find(codes))
+    m.forget()  # pieces are encoded again, from pairs that are known
+    got, again = m.encode_texts(texts)
+    assert (got == want).all() and (again == offsets).all() and sum(asked) < len(m.pair_codes) / 2
+    monkeypatch.setattr(sb, "SEEN_CHARS", 100)
+    m.encode_texts(texts)
+    assert m.seen_chars < 20 * 300 * 30 and (m.encode_texts(texts)[0] == want).all()
