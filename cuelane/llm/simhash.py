@@ -149,8 +149,12 @@ def variants(fps: DataFrame, radius: int) -> DataFrame:
 
 
 def links(fps: DataFrame, radius: int) -> DataFrame:
-    """(a, b), a < b: all pairs of different fingerprints within `radius` bits, each once. fps has one row per fingerprint."""
-    index = variants(fps, radius)
+    """(a, b), a < b: all pairs of different fingerprints within `radius` bits, each once. fps has one row per fingerprint.
+
+    The join sorts both sides: the planner sizes the index like the fingerprints, of which it has 64 rows each, and would
+    send it whole through the driver.
+    """
+    index = variants(fps, radius).hint("merge")
     left, right = (index.select(F.col("p").alias(f"p{s}"), F.col("v").alias(f"v{s}"), F.col("fp").alias(s)) for s in "ab")
     x, p = F.col("a").bitwiseXOR(F.col("b")), F.col("pa")
     own: Column = F.lit(False)

@@ -125,6 +125,12 @@ def test_links_are_whole(spark, radius):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_index_of_fingerprints_is_not_broadcast(spark):
+    """The planner sizes it like the fingerprints, of which it has 64 rows each."""
+    plan = simhash.links(spark.range(1000).selectExpr("id AS fp"), 4)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("radius", [3, 4, 5])
 def test_connected_equals_all_pairs(spark, radius):
     """Chains of near fingerprints, a dense group and lone ones against components over all pairs."""
