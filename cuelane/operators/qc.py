@@ -74,7 +74,7 @@ def qc_summary(verdicts: DataFrame) -> DataFrame:
 
 def failure_log(failures: DataFrame) -> DataFrame:
     """Failures per clip as structs in order of attempt, and the latest time (columns attempt, distance, gen_text, transcribed, at)."""
-    return failures.groupBy("media_id", "stem").agg(F.array_sort(F.collect_list(F.struct("attempt", "distance", "gen_text", "transcribed"))).alias("failures"), F.max("at").alias("last_update"))
+    return failures.groupBy("media_id", "stem").agg(F.sort_array(F.collect_list(F.struct("attempt", "distance", "gen_text", "transcribed"))).alias("failures"), F.max("at").alias("last_update"))
 
 
 def collect_new_words(texts: DataFrame, known: DataFrame, produced: DataFrame, dictionary: DataFrame) -> DataFrame:
