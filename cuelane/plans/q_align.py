@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cuelane.operators import align, batching
+from cuelane.operators import align, batching, chains
 from cuelane.plans import fixtures as fx
 from cuelane.plans.q_review import _items
 
@@ -13,9 +13,10 @@ SQL: dict[str, str] = {}
 
 def _context(spark, d):
     i = _items(spark, d)
-    b = i.groupBy("media_id", "batch_id").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
-    s = fx.srt(spark, d)
-    return i, batching.context_entries(b, s).join(s.drop("lang", "ord"), ["media_id", "entry_id"])
+    b = chains.stored_as_dealt(i.groupBy("media_id", "batch_id").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")))
+    s = fx.srt(spark, d).drop("lang", "ord")
+    times = chains.stored_as_dealt(s.drop("text"))  # of entries; both are read several times
+    return i, batching.context_entries(b, times).join(s, ["media_id", "entry_id"])
 
 
 def j11(spark, d):
